@@ -6,10 +6,11 @@ serve GROUPS**2 tables of 2*ROWS minhashes. Two texts with Jaccard similarity s
 probability (1-(1-s**ROWS)**GROUPS)**2: 0.999 at s = 0.85, 0.995 at 0.8, 0.00005 at 0.1.
 
 Texts with equal shingle sets form one class at the start and only its smallest id goes on. In each
-table bucket members are compared with a few centres instead of with each other; what the links
-found so far already connect is never compared again. The number of centres doubles each round, and
-the rounds end when no bucket has two members that are neither connected nor compared. So no link
-between components is lost, and a large group of copies costs about one comparison per member.
+table bucket every member is compared with one centre: the text whose sub-keys are the most common,
+so in a group of copies as a rule the original. What then is not connected to its centre is compared
+with the centre's other members exactly, in blocks of bounded size, by what each text lacks and adds
+against the centre's shingle set. Members that are already connected are not compared with each
+other, no pairs are emitted, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -72,65 +73,139 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def buckets(spark: SparkSession, signed: DataFrame) -> DataFrame:
-    """(key, id) of the table buckets with two or more members, without buckets of equal members.
+    """(key, id, weight) of the table buckets; weight is high for texts with common sub-keys.
 
     A sub-key that only one text has cannot be part of a shared table key, so those go first: most
     texts then form no table key at all.
     """
     subs = signed.select("id", F.posexplode("keys").alias("slot", "sub"))
-    shared = subs.groupBy("slot", "sub").agg(F.count("*").alias("n")).where("n > 1").select("slot", "sub")
+    shared = subs.groupBy("slot", "sub").agg(F.count("*").alias("n")).where("n > 1")
     held = (
-        subs.join(shared, ["slot", "sub"], "left_semi")
+        subs.join(shared, ["slot", "sub"])
         .groupBy("id")
         .agg(
             F.collect_list(F.when(F.col("slot") < GROUPS, F.struct("slot", "sub"))).alias("first"),
             F.collect_list(F.when(F.col("slot") >= GROUPS, F.struct("slot", "sub"))).alias("second"),
+            F.sum(F.log("n")).alias("weight"),
         )
         .where("size(first) > 0 and size(second) > 0")
     )
+    noise = F.xxhash64("id").bitwiseAND(2**20 - 1) / float(2**30)  # parts equal weights
     keys = (
-        held.select("id", F.explode("first").alias("f"), "second")
-        .select("id", "f", F.explode("second").alias("s"))
-        .select(F.xxhash64("f.slot", "f.sub", "s.slot", "s.sub").alias("key"), "id")
+        held.select("id", (F.col("weight") + noise).alias("weight"), F.explode("first").alias("f"), "second")
+        .select("id", "weight", "f", F.explode("second").alias("s"))
+        .select(F.xxhash64("f.slot", "f.sub", "s.slot", "s.sub").alias("key"), "id", "weight")
     )
-    keys = stage(spark, keys, "keys")
-    kept = (
-        keys.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("id").alias("least"), F.sum(F.xxhash64("id").bitwiseAND(2**40 - 1)).alias("members"))
-        .where("n > 1")
-        .groupBy("n", "least", "members")
-        .agg(F.min("key").alias("key"))
-        .select("key")
-    )
-    return stage(spark, keys.join(kept, "key", "left_semi"), "buckets")
+    return stage(spark, keys, "keys")
 
 
-def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (a, b) of pairs whose whole shingle sets have 100 * common >= percent * union."""
-    ids = stage(spark, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    texts = docs.select("id", "text").join(broadcast_if_small(ids, ids.count()), "id", "left_semi")
+def compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """For each (a, b, many) of pairs, by whole shingle sets: (a, b, linked, n_a, n_b, lacks, adds).
+
+    linked: 100 * common >= percent * union. If many: lacks holds a bit for each shingle of b that a
+    has not, adds the shingles of a that b has not.
+    """
     b_texts = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     a_texts = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    rows = pairs.join(a_texts.hint("merge"), "a").join(b_texts.hint("merge"), "b").select("a", "b", "text_a", "text_b")
+    rows = pairs.join(a_texts.hint("merge"), "a").join(b_texts.hint("merge"), "b").select("a", "b", "many", "text_a", "text_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, centre = None, None
         for batch in batches:
-            ids_b, texts_b, linked = batch.column(1).to_pylist(), batch.column(3), []
-            for i, mine in enumerate(shingle_sets(batch.column(2), k)):
+            ids_b, many, texts_b = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4)
+            out: list[list] = [[], [], [], [], []]
+            for i, mine in enumerate(shingle_sets(batch.column(3), k)):
                 if centre is None or ids_b[i] != last:
                     last, centre = ids_b[i], next(shingle_sets(texts_b.slice(i, 1), k))
-                small, large = sorted((len(mine), len(centre)))
-                if small == 0 or 100 * small < percent * large:
-                    linked.append(False)
-                    continue
-                common = small + large - len(np.unique(np.concatenate([mine, centre])))
-                linked.append(100 * common >= percent * (small + large - common))
-            out = batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-            if len(out):
-                yield out
+                at = np.minimum(np.searchsorted(centre, mine), max(len(centre) - 1, 0))
+                shared = centre[at] == mine if len(centre) else np.zeros(len(mine), bool)
+                common = int(shared.sum())
+                total = len(mine) + len(centre) - common
+                lacks = adds = None
+                if many[i]:
+                    gone = np.ones(len(centre), bool)
+                    gone[at[shared]] = False
+                    lacks, adds = np.packbits(gone).tobytes(), mine[~shared].tobytes()
+                for column, x in zip(out, (common > 0 and 100 * common >= percent * total, len(mine), len(centre), lacks, adds), strict=True):
+                    column.append(x)
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *map(pa.array, out, kinds)], ["a", "b", "linked", "n_a", "n_b", "lacks", "adds"]
+            )
+
+    return rows.mapInArrow(compare, "a long, b long, linked boolean, n_a long, n_b long, lacks binary, adds binary")
+
+
+#: Members of a centre are compared in blocks of at most about so many rows a side.
+BLOCK = 1024
 
-    return rows.mapInArrow(compare, "a long, b long")
+
+def joined(links: np.ndarray, comp_x: np.ndarray, comp_y: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links (a boolean matrix) those (x, y) that connect components not yet connected here."""
+    i, j = np.nonzero(links)
+    if not len(i):
+        return []
+    _, first = np.unique(np.stack([comp_x[i], comp_y[j]]), axis=1, return_index=True)
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while up.get(c, c) != c:
+            c = up[c]
+        return c
+
+    found = []
+    for n in first:
+        p, q = root(int(comp_x[i[n]])), root(int(comp_y[j[n]]))
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            found.append((int(x[i[n]]), int(y[j[n]])))
+    return found
+
+
+def rest_links(spark: SparkSession, diffs: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a centre, one of which is not connected to the centre yet."""
+    mine = comp.select(F.col("id").alias("a"), "comp")
+    its = comp.select(F.col("id").alias("b"), F.col("comp").alias("comp_b"))
+    rows = (
+        diffs.where("lacks is not null")
+        .join(mine, "a", "left")
+        .join(its, "b", "left")
+        .select("b", "a", "n_a", "n_b", "lacks", "adds", F.coalesce("comp", "a").alias("comp"), (F.coalesce("comp", "a") != F.coalesce("comp_b", "b")).alias("out"))
+    )
+    rows = stage(spark, rows, "rest")
+    sizes = (
+        rows.groupBy("b").agg(F.count("*").alias("n"), F.count_if("out").alias("n_out")).where("n_out > 0 and n > 1")
+        .select("b", F.ceil(F.col("n") / BLOCK).alias("parts"), F.ceil(F.col("n_out") / BLOCK).alias("out_parts"))
+    )
+    held = rows.join(sizes, "b")
+    all_ = held.withColumns({"j": F.pmod(F.xxhash64("a"), "parts"), "i": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("out_parts") - 1)), "side": F.lit(False)})
+    outs = held.where("out").withColumns({"i": F.pmod(F.xxhash64("a"), "out_parts"), "j": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)), "side": F.lit(True)})
+    columns = ["b", "i", "j", "side", "a", "comp", "n_a", "n_b", "lacks", "adds"]
+
+    def block(t: pa.Table) -> pa.Table:
+        side = t["side"].to_numpy()
+        ids, comps, n = (t[c].to_numpy() for c in ("a", "comp", "n_a"))
+        size = t["n_b"][0].as_py()
+        lacks = np.stack([np.frombuffer(x, np.uint8) for x in t["lacks"].to_pylist()])
+        adds = [np.frombuffer(x, np.uint64) for x in t["adds"].to_pylist()]
+        x, y = np.flatnonzero(side), np.flatnonzero(~side)
+        common = np.zeros((len(x), len(y)), np.float32)
+        for s in range(0, lacks.shape[1], 512):  # some columns at a time, for long texts
+            has = 1 - np.unpackbits(lacks[:, s : s + 512], axis=1, count=min(4096, size - 8 * s)).astype(np.float32)
+            common += has[x] @ has[y].T
+        owner = np.repeat(np.arange(len(adds)), [len(v) for v in adds])
+        values, code, times = np.unique(np.concatenate(adds), return_inverse=True, return_counts=True)
+        owner, code = owner[times[code] > 1], code[times[code] > 1]
+        order = np.argsort(code, kind="stable")
+        at = np.full(len(ids), -1)
+        at[x], at[y] = np.arange(len(x)), np.arange(len(y))
+        for who in np.split(owner[order], np.flatnonzero(np.diff(code[order])) + 1):
+            common[np.ix_(at[who[side[who]]], at[who[~side[who]]])] += 1
+        links = (100 * common >= percent * (n[x][:, None] + n[y][None, :] - common)) & (comps[x][:, None] != comps[y][None, :])
+        found = joined(links, comps[x], comps[y], ids[x], ids[y])
+        return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
+
+    return outs.select(columns).unionByName(all_.select(columns)).groupBy("b", "i", "j").applyInArrow(block, "a long, b long")
 
 
 def classes(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -148,33 +223,18 @@ def classes(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataF
     same = stage(spark, same, "same")
     reps = signed.join(sets.select("set_a", "set_b", "n_shingles", F.col("rep").alias("id")), ["set_a", "set_b", "n_shingles", "id"], "left_semi")
     members = buckets(spark, reps)
-    links, comp, round_ = None, None, 0
-    while True:
-        if comp is None:
-            centres = members.groupBy("key").agg(F.min("id").alias("b"))
-            pairs = members.join(centres, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-        else:
-            labelled = members.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-            open_ = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
-            labelled = labelled.join(open_, "key")
-            centre = F.pmod(F.xxhash64("id", "key"), F.col("n")) < 2**round_
-            labelled = stage(spark, labelled.select("key", "id", "comp", centre.alias("centre")), "open")
-            if labelled.isEmpty():
-                break
-            chosen = labelled.where("centre").select("key", F.col("id").alias("c"), F.col("comp").alias("c_comp"))
-            pairs = (
-                labelled.join(chosen, "key")
-                .where("comp <> c_comp and (not centre or id < c)")
-                .select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b"))
-                .distinct()
-            )
-            members = labelled.where("not centre").select("key", "id")
-        pairs = stage(spark, pairs, "pairs")
-        found = stage(spark, verified(spark, pairs, docs, k, percent), "links")
-        links = found if links is None else stage(spark, links.unionByName(found), "links")
-        comp = components(spark, links)
-        round_ += 1
-    whole = components(spark, links.unionByName(same))
+    centres = members.groupBy("key").agg(F.max_by("id", "weight").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+    pairs = members.join(centres, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    pairs = stage(spark, pairs, "pairs")
+    counts = pairs.groupBy("b").agg((F.count("*") > 1).alias("many"))
+    pairs = pairs.join(counts, "b")
+    ids = stage(spark, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    texts = docs.select("id", "text").join(broadcast_if_small(ids, ids.count()), "id", "left_semi")
+    diffs = stage(spark, compared(pairs, texts, k, percent), "diffs")
+    links = diffs.where("linked").select("a", "b")
+    near = components(spark, links)
+    rest = stage(spark, rest_links(spark, diffs, near, percent), "rest-links")
+    whole = components(spark, near.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(rest).unionByName(same))
     return signed.select("id", "n_shingles").join(whole, "id", "left").select("id", "n_shingles", F.coalesce("comp", "id").alias("comp"))
 
 

@@ -53,6 +53,21 @@ def test_components_equal_brute_force(spark):
         assert got == brute(rows, k, percent)
 
 
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr("foliospark.llm.neardup.BLOCK", 5)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        for j in rng.sample(range(60), rng.choice([0, 1, 2, 3, 4])):
+            words[j] = rng.choice(["X", "Y", f"z{i}"])
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark, df, 3, 85).collect()}
+    assert got == brute(rows, 3, 85)
+
+
 def test_empty_null_ids_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, id long, comp long, key long")
     assert near_duplicates(spark, empty).collect() == []
