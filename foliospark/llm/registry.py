@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import neardup
+from . import mixing, neardup, tokens
 
-QUERIES = {"op4_minhash_neardup": neardup.op4_minhash_neardup}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op4_minhash_neardup": neardup.op4_minhash_neardup,
+    "op5_mixing": mixing.op5_mixing,
+    "op7_token_shards": tokens.op7_token_shards,
+}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.OP5_SQL}

@@ -17,8 +17,13 @@ _RNG = np.random.default_rng(20240607)
 #: A random odd number for each byte; A-Z have the numbers of a-z.
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _BYTE[65:91] = _BYTE[97:123]
+#: The same with A-Z apart.
+RAW_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: White space and ASCII punctuation.
+SEPARATORS = _SPACE.copy()
+SEPARATORS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 #: Texts are gathered into pieces of about so many bytes; a longer text is a piece by itself.
@@ -47,14 +52,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, byte: np.ndarray = _BYTE) -> np.ndarray:
     """Hashes of data[start:end] for each pair."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power("up", len(data)), dtype=np.uint64, out=sums[1:])
+    np.cumsum(byte[data] * _power("up", len(data)), dtype=np.uint64, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * _power("down", len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
-def pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def pieces(texts: pa.Array, piece_bytes: int = PIECE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(number of the first text, bytes, offsets of the texts in them) for runs of texts."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -67,15 +72,15 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + piece_bytes, "right")) - 1)
         last = min(last, n)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, blank_bytes: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each text the number of words before it."""
-    blank = _SPACE[data]
+    blank = blank_bytes[data]
     edge = np.zeros(len(data) + 1, bool)  # a text begins here
     edge[offsets] = True
     before = np.ones(len(data), bool)
@@ -103,10 +108,10 @@ def shingle_rows(words: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
-def text_words(texts: pa.Array) -> Iterator[np.ndarray]:
+def text_words(texts: pa.Array, blank_bytes: np.ndarray = _SPACE) -> Iterator[np.ndarray]:
     """The word hashes of each text, in order."""
     for _, data, offsets in pieces(texts):
-        starts, ends, at = word_bounds(data, offsets)
+        starts, ends, at = word_bounds(data, offsets, blank_bytes)
         words = span_hashes(data, starts, ends)
         for i in range(len(offsets) - 1):
             yield words[at[i] : at[i + 1]]
