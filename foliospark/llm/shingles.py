@@ -19,6 +19,8 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _BYTE[65:91] = _BYTE[97:123]
 #: The same with A-Z apart.
 RAW_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+#: For a second hash, beside RAW_BYTE.
+CHECK_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: White space and ASCII punctuation.

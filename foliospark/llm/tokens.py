@@ -30,15 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import new_path, small_batches, stage, table
-from .shingles import RAW_BYTE, pieces, span_hashes
+from .shingles import CHECK_BYTE, RAW_BYTE, pieces, span_hashes
 
 END_ID = 2
 BLOCK_BYTES = 1 << 16
 MAGIC = b"FOLSST01"
 _FOOTER = struct.Struct("<QQQQQQB7x8s")
-_CHUNK = 1 << 21
+_CHUNK = 1 << 22
 #: Distinct strings whose ids a task remembers.
-CACHE = 300_000
+CACHE = 1_500_000
 
 
 def bloom_bits(keys: list[bytes], n_bits: int) -> np.ndarray:
@@ -188,17 +188,66 @@ class Encoder:
         pre = said.get("pre_tokenizer") or {}
         self.fast = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not said.get("normalizer") and not said.get("truncation") and not said.get("padding")
         self.special = [t["content"].encode() for t in said.get("added_tokens") or []]
-        self.cache: dict[bytes, np.ndarray] = {}
+        line = self.one("\n")
+        self.line = int(line[0]) if len(line) == 1 else None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
+        self.forget()
         byte = np.arange(256)
         self.letter = ((byte | 32) >= 97) & ((byte | 32) <= 122)
         self.visible = (byte >= 33) & (byte <= 126)
         self.two = (byte >= 0xC3) & (byte <= 0xDF)  # first bytes of two-byte letters and signs, none of them white space
+        self.edges, self.lead, self.opens = self.visible.tolist(), self.two.tolist(), (self.visible | self.two).tolist()
         self.mark = self.visible & ~self.letter & ~((byte >= 48) & (byte <= 57)) & (byte != 39)
 
     def one(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def known(self, whole: bytes, keys: np.ndarray, check: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """(ids, start, size): the place of each string's ids. keys ascend; what is new is encoded and
+        remembered, until there are CACHE strings."""
+        at = np.searchsorted(self.keys, keys)
+        near = np.minimum(at, max(len(self.keys) - 1, 0))
+        hit = (self.keys[near] == keys) & (self.check[near] == check) if len(self.keys) else np.zeros(len(keys), bool)
+        new = np.flatnonzero(~hit)
+        found = self.each([whole[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+        new_size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        start, size = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        start[hit], size[hit] = self.start[near[hit]], self.size[near[hit]]
+        start[new], size[new] = len(self.ids) + np.cumsum(new_size) - new_size, new_size
+        ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), f"<u{self.width}")])
+        if len(self.keys) + len(new) > CACHE or len(ids) > 8 * CACHE:
+            self.forget()
+        else:
+            self.keys, self.check = np.insert(self.keys, at[new], keys[new]), np.insert(self.check, at[new], check[new])
+            self.start, self.size = np.insert(self.start, at[new], start[new]), np.insert(self.size, at[new], size[new])
+            self.ids = ids
+        return ids, start, size
+
+    def forget(self) -> None:
+        self.keys, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, f"<u{self.width}")
+
+    def each(self, strings: list[bytes]) -> list[bytes]:
+        """The packed ids of each string. Those between whose ends a lone newline is a string by
+        itself are encoded at once, newlines between them."""
+        out: list[bytes] = [b""] * len(strings)
+        at_once = []
+        for i, k in enumerate(strings):
+            if self.line is not None and b"\n" not in k and (self.edges[k[-1]] or k[-1] > 127 and len(k) > 1 and self.lead[k[-2]]) and (self.opens[k[0]] or k[0] == 32 and len(k) > 1 and self.opens[k[1]]):
+                at_once.append(i)
+            else:
+                out[i] = self.one(k.decode()).astype(f"<u{self.width}").tobytes()
+        for a in range(0, len(at_once), 5000):
+            part = at_once[a : a + 5000]
+            ids = self.one(b"\n".join(strings[i] for i in part).decode())
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) != len(part) - 1:
+                raise ValueError("a string was cut in another way than expected")
+            packed = ids.astype(f"<u{self.width}").tobytes()
+            for i, p, q in zip(part, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True):
+                out[i] = packed[p * self.width : q * self.width]
+        return out
+
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(data)
         cut = np.zeros(n + 1, bool)
@@ -236,29 +285,32 @@ class Encoder:
                 continue
             starts = self.cuts(data, offsets)
             ends = np.append(starts[1:], len(data))
-            _, first, inverse = np.unique(span_hashes(data, starts, ends, RAW_BYTE), return_index=True, return_inverse=True)
-            ids = []
-            for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
-                k = whole[s:e]
-                v = self.cache.get(k)
-                if v is None:
-                    v = self.one(k.decode())
-                    if e - s <= 64:
-                        if len(self.cache) >= CACHE:
-                            self.cache.clear()
-                        self.cache[k] = v
-                ids.append(v)
-            sizes = np.array([len(v) for v in ids])
-            flat = np.concatenate(ids)
-            own = sizes[inverse]
-            total = np.concatenate([[0], np.cumsum(own)])
-            source = np.repeat((np.cumsum(sizes) - sizes)[inverse] - total[:-1], own) + np.arange(total[-1])
-            out = flat[source]
+            own, check = span_hashes(data, starts, ends, RAW_BYTE), span_hashes(data, starts, ends, CHECK_BYTE)
+            keys, first, inverse = np.unique(own, return_index=True, return_inverse=True)
+            check_keys = check[first]
+            if (check_keys[inverse] != check).any():  # two strings have one hash
+                for i, j in zip(offsets[:-1], offsets[1:], strict=True):
+                    yield self.one(whole[i:j].decode())
+                continue
+            flat, start, size = self.known(whole, keys, check_keys, starts[first], ends[first])
+            size = size[inverse]
+            total = np.concatenate([[0], np.cumsum(size)])
+            out = flat[np.repeat(start[inverse] - total[:-1], size) + np.arange(total[-1])]
             at = total[np.searchsorted(starts, offsets)]
             for i in range(len(offsets) - 1):
                 yield out[at[i] : at[i + 1]]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each Python process, so that tasks share what it remembers."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def write_shards(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Writes docs(id, text) as shards under path; the manifest (shard, file, n_docs, n_ids).
 
@@ -270,7 +322,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         fs, base = pafs.FileSystem.from_uri(path)
         number, own = TaskContext.get().partitionId(), uuid.uuid4().hex
         fs.create_dir(base, recursive=True)
