@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, tokens
+from . import decontam, mixing, neardup, quality, tokens
 
 QUERIES = {
+    "op2_decontamination": decontam.op2_decontamination,
     "op4_minhash_neardup": neardup.op4_minhash_neardup,
     "op5_mixing": mixing.op5_mixing,
+    "op6_quality_gam": quality.op6_quality_gam,
     "op7_token_shards": tokens.op7_token_shards,
 }
 ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.OP5_SQL}
