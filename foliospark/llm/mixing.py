@@ -83,7 +83,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     take = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
     finish = (F.col("before") + F.col("copy") * F.col("source_size") + take) / F.col("target")
     copies = copies.withColumns({"take": take, "finish": finish}).where("take > 0")
-    start = F.call_function("regexp_extract", F.col(f"row.{text_col}"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("take").cast("string"), F.lit("}")), F.lit(0))
+    words = F.regexp_extract_all(F.col(f"row.{text_col}"), F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
+    start = F.array_join(F.slice(words, 1, F.col("take").cast("int")), "")
     text = F.when(F.col("take") < F.col("size"), start).otherwise(F.col(f"row.{text_col}"))
     copies = copies.repartitionByRange("finish", "source").sortWithinPartitions("finish", "source").withColumn("cut", text)
     return copies.select(*[F.col("cut").alias(c) if c == text_col else F.length("cut").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.{c}").alias(c) for c in names])

@@ -40,3 +40,9 @@ def test_the_mix_holds_the_taken_words(spark):
 
 def test_empty(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_long_text_is_cut(spark):
+    df = spark.createDataFrame([(1, "long word " * 60_000, "a", 1, "x", 2, 0), (2, "b " * 9_000, "b", 1, "x", 2, 0)], SCHEMA)
+    out = {(r.doc_id, r.n) for r in mix(df, percent=60, repeats=1).select("doc_id", word_count(F.col("text")).alias("n")).collect()}
+    assert out == {(1, 69_000), (2, 8_400)} or sum(n for _, n in out) == 77_400
