@@ -1,0 +1 @@
+"""Rebuilding, checking and assembling structured question papers on Spark."""
