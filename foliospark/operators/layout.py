@@ -6,8 +6,12 @@ equality and work is dealt by key; positions carry an explicit order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from foliospark.functions import geometry as g
@@ -115,11 +119,6 @@ def densest(rows: DataFrame, keys: list[str], value: str, tol: float, least: int
 def merge_boxes(boxes: DataFrame, keys: list[str], near: float) -> DataFrame:
     """Boxes of a key merged while two are nearer than near; merged boxes grow, so the order counts:
     first by (y0, x0), then each takes in what is near until nothing is."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-    from pyspark.sql import types as T
-
     def merged(todo: list[list[float]]) -> list[dict]:
         todo, done = sorted(todo, key=lambda b: (b[1], b[0], b[3], b[2])), []
         while todo:

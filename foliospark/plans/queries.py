@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import statistics
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from foliospark.functions import text as tx
@@ -323,3 +326,49 @@ def keys_walk(t):
 def box_merge_closure(t):
     boxes = t("lineitem").select("l_orderkey", (F.col("l_partkey") % 500).cast("double").alias("x0"), (F.col("l_quantity") * 10).cast("double").alias("y0")).withColumns({"x1": F.col("x0") + 40, "y1": F.col("y0") + 12})
     return lay.merge_boxes(boxes, ["l_orderkey"], 25.0)
+
+
+@query()
+def line_cluster_median(t):
+    """Values in order; a new group where a value is 60 or more above the running median of the group."""
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def groups(xs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def sizes(values):
+            cur, out = [], []
+            for v in sorted(values):
+                if cur and v - statistics.median(cur) >= 60:
+                    out.append(len(cur))
+                    cur = []
+                cur.append(v)
+            return [*out, len(cur)]
+
+        for x in xs:
+            yield x.map(sizes)
+
+    held = t("events").groupBy("user_id").agg(F.collect_list("value").alias("vs"))
+    return held.select("user_id", F.posexplode(groups("vs")).alias("line", "n"))
+
+
+@query("SELECT k AS paper_id, '$\\frac{' || k % 10 || '}{' || k % 7 + 1 || '}$' AS text FROM (SELECT DISTINCT n_nationkey AS k FROM nation)".replace("\\\\", "\\"))
+def maths_rebuild(t):
+    from foliospark.operators.mathbuild import rebuild
+
+    k = t("nation").select(F.col("n_nationkey").alias("paper_id"))
+    glyph = lambda gid, ch, base: F.struct(F.lit(gid).alias("gid"), ch.cast("string").alias("ch"), F.lit(base).alias("base"))
+    both = k.select("paper_id", F.explode(F.array(glyph(0, F.col("paper_id") % 10, 100.0), glyph(1, F.col("paper_id") % 7 + 1, 114.0))).alias("g")).select("paper_id", F.lit(1).alias("question"), "g.*")
+    glyphs = both.withColumns({"x0": F.lit(50.0), "x1": F.lit(56.0), "y0": F.col("base") - 7, "y1": F.col("base") + 2, "size": F.lit(10.0), "math_font": F.lit(False), "space_before": F.lit(False)})
+    rules = k.select("paper_id", F.lit(1).alias("question"), F.lit(0).alias("rid"), F.lit(49.0).alias("x0"), F.lit(57.0).alias("x1"), F.lit(104.0).alias("y"))
+    return rebuild(glyphs, rules).select("paper_id", "text")
+
+
+@query("""SELECT 'c' || conv_id AS id, CASE WHEN conv_id % 3 = 0 THEN 'error' ELSE 'none' END AS level, count(*) FILTER (conv_id % 3 = 0)::BIGINT > 0 AS leaked FROM conversations GROUP BY conv_id""")
+def paper_rules(t):
+    """Papers derived from conversations, every third with an answer key: only those have the issue."""
+    q = F.struct((F.col("turn") + 1).alias("number"), F.lit("s").alias("stem"), F.expr("array(struct('A' as label, '1' as content), struct('B' as label, '2' as content))").alias("options"), F.lit(1).alias("sourcePage"))
+    by = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(q)).alias("questions"))
+    paper = F.struct(F.lit(1).alias("formatVersion"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), F.lit("t").alias("title"), F.lit("Paper 1").alias("paper"), F.lit("2000").alias("year"), F.lit(75).alias("durationMinutes"), "questions")
+    text = F.to_json(paper)
+    text = F.when(F.col("conv_id") % 3 == 0, F.replace(text, F.lit('"stem"'), F.lit('"Answer":1,"stem"'))).otherwise(text)
+    papers = by.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), text.alias("json"))
+    found = val.paper_issues(papers, "id").where("code = 'answer-leak'").select("id", "level")
+    return papers.select("id").join(found, "id", "left").select("id", F.coalesce("level", F.lit("none")).alias("level"), F.col("level").isNotNull().alias("leaked"))
