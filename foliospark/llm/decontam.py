@@ -54,7 +54,7 @@ class Items:
         shingle, owner = [], []
         for i, words in zip(ids, text_words(pa.array(texts, pa.string()), SEPARATORS), strict=True):
             if len(words):
-                rows = shingle_rows(words, WORDS)
+                rows = shingle_rows(words, min(WORDS, len(words)))
                 values, weights = np.unique(rows, return_counts=True)
                 shingle.append(values)
                 owner.append(np.full(len(values), len(self.items)))
