@@ -120,6 +120,19 @@ def apply_rule(pieces: list[Piece], rule, problems: list[str]) -> list[Piece]:
     return pieces
 
 
+def tidy(tex: str) -> str:
+    """One space on either side of a binary sign; none after a sign that opens, and none in braces."""
+    out, depth = "", 0
+    for i, c in enumerate(tex):
+        depth += {"{": 1, "}": -1}.get(c, 0)
+        before = out.rstrip()
+        if depth == 0 and c in "+-=<>" and before and (before[-1].isalnum() or before[-1] in ")}]!|") and i + 1 < len(tex):
+            out = f"{before} {c} "
+        elif not (c == " " and out.endswith(" ")):
+            out += c
+    return out
+
+
 def line_text(parts: list[Piece], body: float) -> str:
     """A line as text, its maths between dollar signs."""
     words: list[list[Piece]] = []
@@ -144,7 +157,7 @@ def line_text(parts: list[Piece], body: float) -> str:
             out.append((tail, False))
     text = ""
     for tex, maths in out:
-        piece = f"${tex}$" if maths else tex
+        piece = f"${tidy(tex)}$" if maths else tex
         text += piece if not text or tex in (".", ",", ";", ":", "?") else " " + piece
     return text
 
