@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import broadcast_if_small, stage, table
 
 WEIGHTS, PERCENT, REPEATS = (3, 1, 2), 150, 2
 #: About so many rows of a source are summed in order in one task.
@@ -56,12 +56,14 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, percent: int = PERCENT, rep
     md5 of the id as text, then id and size, so that reruns agree. A null id counts as an empty text;
     a null source is a source; documents of size 0 take nothing; an empty table gives an empty one.
     """
-    by = targets(docs.select("source", "size"), weights, percent, repeats)
+    spark = docs.sparkSession
+    by = stage(spark, targets(docs.select("source", "size"), weights, percent, repeats), "targets")
+    by = broadcast_if_small(by.withColumnRenamed("source", "s"), by.count())
     key = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
     ranges = F.least(F.lit(65536), F.ceil(F.col("n") / RANGE_ROWS))
     slot = F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("long") * ranges / 65536)
     same = F.col("source").eqNullSafe(F.col("s"))
-    rows = docs.withColumn("key", key).join(by.withColumnRenamed("source", "s"), same).drop("s").withColumn("slot", slot)
+    rows = docs.withColumn("key", key).join(by, same).drop("s").withColumn("slot", slot)
     sums = rows.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
     ahead = F.sum("slot_size").over(Window.partitionBy("source").orderBy("slot")) - F.col("slot_size")
     sums = sums.select(F.col("source").alias("s"), F.col("slot").alias("t"), ahead.alias("ahead"))
