@@ -143,3 +143,47 @@ def merge_boxes(boxes: DataFrame, keys: list[str], near: float) -> DataFrame:
 
     held = boxes.groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in g.SIDES])).alias("bs"))
     return held.select(*keys, F.explode(merge("bs")).alias("b")).select(*keys, "b.*")
+
+
+def question_regions(anchors: DataFrame, pages: DataFrame, key: str = "paper_id") -> DataFrame:
+    """(key, number, page, top, bottom): what each numbered anchor owns, from anchors(key, number, page,
+    y) and pages(key, page, height, blank). A region ends at the next anchor; between them it has
+    whole pages, up to the first blank one. The last anchor owns its own page only."""
+    w = Window.partitionBy(key).orderBy("number")
+    a = anchors.select(key, "number", "page", "y", F.lead("page").over(w).alias("next_page"), F.lead("y").over(w).alias("next_y"))
+    spans = a.withColumn("p", F.explode(F.sequence("page", F.greatest("page", F.coalesce("next_page", "page")))))
+    parts = spans.join(pages.select(key, F.col("page").alias("p"), "height", "blank"), [key, "p"])
+    seen = Window.partitionBy(key, "number").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    stopped = F.max((F.col("blank") & (F.col("p") > F.col("page"))).cast("int")).over(seen) == 1
+    top = F.when(F.col("p") == F.col("page"), F.col("y")).otherwise(0.0)
+    bottom = F.when(F.col("p") == F.col("next_page"), F.col("next_y")).otherwise(F.col("height"))
+    rows = parts.withColumns({"stopped": stopped, "top": top, "bottom": bottom}).where("not stopped and bottom > top")
+    return rows.select(key, "number", F.col("p").alias("page"), "top", "bottom")
+
+
+def page_anchors(lines: DataFrame, key: str = "paper_id") -> DataFrame:
+    """(key, number, page): pages as questions where no numbers are printed, from lines(key, page,
+    text): the pages that have an "A" line, else all pages with text but the first."""
+    label = F.trim("text").rlike(r"^\(?A[).]?(?:\s|\z)")
+    by = lines.groupBy(key, "page").agg(F.max(label.cast("int")).alias("a"), F.max((F.trim("text") != "").cast("int")).alias("has"))
+    every = Window.partitionBy(key)
+    some, first = F.max("a").over(every), F.min(F.when(F.col("has") == 1, F.col("page"))).over(every)
+    kept = by.withColumns({"some": some, "first": first}).where("(some = 1 and a = 1) or (some = 0 and has = 1 and page > first)")
+    return kept.select(key, F.row_number().over(every.orderBy("page")).alias("number"), "page")
+
+
+def label_run(lines: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """(keys, n, start): the longest run of option labels A, B, C, ... in order, the latest of equally
+    long ones; labels are written A, (A), A. or A)."""
+    letter = F.regexp_extract(text, r"^\s*\(?([A-H])(?:[).]|\s|\z)", 1)
+    rows = lines.withColumn("_l", letter).where("_l <> ''").withColumn("_l", F.ascii("_l") - 65)
+    at = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col("_l").alias("l"))))
+    none = F.struct(F.lit(0).alias("n"), F.lit(-1).cast("long").alias("start"))
+    start = F.struct(none.alias("best"), none.alias("cur"))
+
+    def step(a: Column, x: Column) -> Column:
+        cur = F.when(x["l"] == 0, F.struct(F.lit(1).alias("n"), x["o"].alias("start"))).when((x["l"] == a["cur"]["n"]) & (a["cur"]["n"] > 0), F.struct((a["cur"]["n"] + 1).alias("n"), a["cur"]["start"].alias("start"))).otherwise(a["cur"])
+        return F.struct(F.when(cur["n"] >= a["best"]["n"], cur).otherwise(a["best"]).alias("best"), cur.alias("cur"))
+
+    best = rows.groupBy(*keys).agg(F.aggregate(at, start, step, lambda a: a["best"]).alias("b"))
+    return best.select(*keys, F.col("b.n").alias("n"), F.col("b.start").alias("start")).where("n > 0")

@@ -372,3 +372,23 @@ def paper_rules(t):
     papers = by.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), text.alias("json"))
     found = val.paper_issues(papers, "id").where("code = 'answer-leak'").select("id", "level")
     return papers.select("id").join(found, "id", "left").select("id", F.coalesce("level", F.lit("none")).alias("level"), F.col("level").isNotNull().alias("leaked"))
+
+
+@query("""WITH a AS (SELECT conv_id, turn // 2 + 1 AS number, turn + 1 AS page, 50.0 + turn AS y, lead(turn + 1) OVER w AS np, lead(50.0 + turn) OVER w AS ny FROM conversations WHERE turn % 2 = 0 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  p AS (SELECT conv_id, turn + 1 AS page, role = 'system' AS blank FROM conversations),
+  s AS (SELECT a.*, p.page AS p, max((p.blank AND p.page > a.page)::INT) OVER (PARTITION BY a.conv_id, a.number ORDER BY p.page ROWS UNBOUNDED PRECEDING) AS stopped
+        FROM a JOIN p ON a.conv_id = p.conv_id AND p.page BETWEEN a.page AND greatest(a.page, coalesce(np, a.page)))
+  SELECT conv_id, number, p AS page, (CASE WHEN p = page THEN y ELSE 0 END)::DOUBLE AS top, (CASE WHEN p = np THEN ny ELSE 800 END)::DOUBLE AS bottom FROM s WHERE stopped = 0""")
+def question_regions(t):
+    c = t("conversations")
+    page, y = (F.col("turn") + 1).alias("page"), (F.lit(50.0) + F.col("turn")).alias("y")
+    anchors = c.where("turn % 2 = 0").select("conv_id", (F.floor(F.col("turn") / 2) + 1).alias("number"), page, y)
+    pages = c.select("conv_id", page, F.lit(800.0).alias("height"), (F.col("role") == "system").alias("blank"))
+    return lay.question_regions(anchors, pages, "conv_id")
+
+
+@query("""WITH r AS (SELECT conv_id, turn, trim(text, ' ') <> '' AS has, regexp_matches(trim(text, ' '), '^\\(?A[).]?(\\s|$)') AS a FROM conversations),
+  s AS (SELECT *, bool_or(a) OVER (PARTITION BY conv_id) AS some_, min(CASE WHEN has THEN turn END) OVER (PARTITION BY conv_id) AS first_ FROM r)
+  SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS number, turn AS page FROM s WHERE (some_ AND a) OR (NOT some_ AND has AND turn > first_)""".replace("\\\\", "\\"))
+def page_anchors(t):
+    return lay.page_anchors(t("conversations").select("conv_id", F.col("turn").alias("page"), "text"), "conv_id")

@@ -151,6 +151,19 @@ def test_layout(spark):
     assert sorted((r.input, r.paths) for r in asm.group_inputs(files).collect()) == [(0, ["b.pdf"]), (1, ["x.PNG", "y.jpg"]), (3, ["c.pdf"])]
 
 
+def test_label_runs(spark):
+    said = ["A one", "(B) two", "text", "A. uno", "B) dos", "C tres", "E odd", "And so", "D"]
+    df = spark.createDataFrame([("p", i, s) for i, s in enumerate(said)] + [("q", 0, "B"), ("r", 0, "A")], "k string, o int, s string")
+    assert {tuple(r) for r in lay.label_run(df, ["k"], "o", "s").collect()} == {("p", 4, 3), ("r", 1, 0)}
+
+
+def test_regions_end_at_blank_pages(spark):
+    anchors = spark.createDataFrame([("p", 1, 2, 50.0), ("p", 2, 2, 300.0), ("p", 3, 3, 60.0), ("p", 4, 6, 70.0)], "paper_id string, number int, page int, y double")
+    pages = spark.createDataFrame([("p", n, 800.0, n == 5) for n in range(1, 7)], "paper_id string, page int, height double, blank boolean")
+    got = sorted(tuple(r)[1:] for r in lay.question_regions(anchors, pages).collect())
+    assert got == [(1, 2, 50.0, 300.0), (2, 2, 300.0, 800.0), (2, 3, 0.0, 60.0), (3, 3, 60.0, 800.0), (3, 4, 0.0, 800.0), (4, 6, 70.0, 800.0)]
+
+
 def test_stream(spark, tmp_path):
     from foliospark.streaming.papers import issue_stream
 
