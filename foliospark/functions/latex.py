@@ -71,6 +71,13 @@ def commands(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(r"(?<!\\)\\([A-Za-z]+)"), F.lit(1))
 
 
+def command_runs(s: Column) -> Column:
+    """Array of (backslashes, name): every run of backslashes with the letters, or the one sign, after it."""
+    run = r"(?s)(\\+)([A-Za-z]+|[^A-Za-z\\]?)"
+    part = lambda n: F.regexp_extract_all(s, F.lit(run), F.lit(n))
+    return F.zip_with(part(1), part(2), lambda b, name: F.struct(F.length(b).alias("backslashes"), name.alias("name")))
+
+
 def environments_balance(m: Column) -> Column:
     """Whether begin and end nest: a fold with a stack of names."""
     marks = F.regexp_extract_all(m, F.lit(r"\\(?:begin|end)\{[^{}]*\}"), F.lit(0))
