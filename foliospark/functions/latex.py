@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +19,8 @@ def segments(s: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str,
     """(kind, text, offset) of text, inline and display parts, and (problem, offset).
 
     A dollar sign opens maths; the matching one closes it, where escapes and what is in braces do not
-    count. A backslash before a dollar sign in text is a problem.
+    count, so that an open brace can hide it: then the rest is text. A backslash before a dollar sign in
+    text is a problem, and so are a single one in display maths and maths without content.
     """
     s, out, problems, i, start = s or "", [], [], 0, 0
     while i < len(s):
@@ -38,11 +40,11 @@ def segments(s: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str,
             depth += {"{": 1, "}": -1}.get(s[j], 0)
             j += 1
         if j >= len(s):
-            j = s.find(mark, i + len(mark))  # braces that do not balance do not hide a closing mark
-            if j < 0:
-                problems.append(("unclosed", i))
-                break
+            problems.append(("unclosed", i))
+            break
         body = s[i + len(mark) : j]
+        if mark == "$$" and re.search(r"(?<!\\)\$", body):
+            problems.append(("single-dollar", i))
         if not body.strip():
             problems.append(("empty", i))
         if start < i:

@@ -194,7 +194,7 @@ def graphics(pages: DataFrame, clusters: DataFrame, images: DataFrame, areas: Da
 def plausible(c: Column) -> Column:
     """Whether a text layer's character is one that a paper can hold: no control, private, unassigned or
     replacement character, and none of scripts that mark a broken encoding."""
-    return c.rlike(r"^[\p{L}\p{M}\p{N}\p{P}\p{S}\p{Z}]\z") & (c != "�") & ~c.rlike(r"[\p{Co}\p{Cs}\p{Cn}]") & (F.ascii(c) < 0x20000)
+    return c.rlike(r"^[\p{L}\p{M}\p{N}\p{P}\p{S}\p{Z}]\z") & (c != "\ufffd") & ~c.rlike(r"[\p{Co}\p{Cs}\p{Cn}]") & (F.ascii(c) < 0x20000)
 
 
 def repaired(chars: DataFrame, trace: DataFrame, fonts: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def repaired(chars: DataFrame, trace: DataFrame, fonts: DataFrame) -> DataFrame:
     drawn = trace.select(*PAGE, *at(), "ord", F.col("font").alias("drawn"), "glyph").groupBy(*PAGE, "qx", "qy").agg(F.max_by(F.struct("drawn", "glyph"), "ord").alias("d"))
     found = drawn.select(*PAGE, "qx", "qy", F.col("d.drawn").alias("drawn"), F.col("d.glyph").alias("glyph")).join(fonts.select(F.col("font").alias("drawn"), "glyph", F.col("c").alias("real")), ["drawn", "glyph"])
     broken = chars.where(~ok).select("*", *at()).join(found.select(*PAGE, "qx", "qy", "real"), [*PAGE, "qx", "qy"], "left")
-    return chars.where(ok).unionByName(broken.withColumn("c", F.coalesce("real", F.lit("�"))).select(chars.columns))
+    return chars.where(ok).unionByName(broken.withColumn("c", F.coalesce("real", F.lit("\ufffd"))).select(chars.columns))
 
 
 def glyphs_of(chars: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def glyphs_of(chars: DataFrame) -> DataFrame:
     between a glyph and the one before."""
     font = F.coalesce(F.col("font"), F.lit(""))
     rows = chars.where(~font.rlike(DRAWING_FONT))
-    is_space = F.col("c").rlike(r"^[\s ]\z")
+    is_space = F.col("c").rlike(r"^[\s\u00a0]\z")
     order = Window.partitionBy(*PAGE).orderBy("gid")
     rows = rows.withColumn("_space", F.when(is_space, F.col("gid"))).withColumn("_seen", F.when(~is_space, F.col("gid")))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -231,7 +231,7 @@ def glyphs_of(chars: DataFrame) -> DataFrame:
     ch = F.when(F.col("c") == "−", "-").when(raised, F.col("c")).otherwise(tx.nfkc(F.col("c")))
     return rows.select(
         *PAGE, "gid", *g.SIDES, "base", "size", ch.alias("ch"), F.col("c").alias("raw"), "font", flag(16, BOLD_FONT).alias("bold"), flag(2, ITALIC_FONT).alias("italic"),
-        (~ocr & font.rlike(MATH_FONT)).alias("math_font"), (F.col("c") != "�").alias("known"), ocr.alias("ocr"), "space_before",
+        (~ocr & font.rlike(MATH_FONT)).alias("math_font"), (F.col("c") != "\ufffd").alias("known"), ocr.alias("ocr"), "space_before",
     )
 
 

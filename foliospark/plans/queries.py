@@ -289,12 +289,12 @@ def issues_chars(t):
 _ISSUES = r"""SELECT doc_id, i.level AS level, i.code AS code FROM (SELECT doc_id, unnest([
   CASE WHEN trim(text, ' ') = '' THEN {'level': 'error', 'code': 'empty'} END,
   CASE WHEN doc_id % 7 = 0 THEN {'level': 'error', 'code': 'control-char'} END,
-  CASE WHEN length(regexp_replace(text, '[^$]', '', 'g')) % 2 = 1 THEN {'level': 'error', 'code': 'dollar-balance'} END]) AS i FROM documents) WHERE i IS NOT NULL"""
+  CASE WHEN NOT regexp_full_match(text, '(?s)(?:[^$]|\$\$[^$]*[^$\s][^$]*\$\$|\$[^$]*[^$\s][^$]*\$)*') THEN {'level': 'error', 'code': 'dollar-balance'} END]) AS i FROM documents) WHERE i IS NOT NULL"""
 
 
 def _issues(t):
     rows = t("documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 7 == 0, "\t").otherwise("")).alias("s"))
-    return val.string_issues(rows, ["doc_id"], "s").where(F.col("code").isin("empty", "control-char", "dollar-balance")).select("doc_id", "level", "code")
+    return val.string_issues(rows, ["doc_id"], "s").where(F.col("code").isin("empty", "control-char", "dollar-balance")).select("doc_id", "level", "code").distinct()
 
 
 @query(_ISSUES)
@@ -370,7 +370,7 @@ def paper_rules(t):
     text = F.to_json(paper)
     text = F.when(F.col("conv_id") % 3 == 0, F.replace(text, F.lit('"stem"'), F.lit('"Answer":1,"stem"'))).otherwise(text)
     papers = by.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), text.alias("json"))
-    found = val.paper_issues(papers, "id").where("code = 'answer-leak'").select("id", "level")
+    found = val.paper_issues(papers, "id").where("code = 'answer-leak'").select("id", "level").distinct()
     return papers.select("id").join(found, "id", "left").select("id", F.coalesce("level", F.lit("none")).alias("level"), F.col("level").isNotNull().alias("leaked"))
 
 

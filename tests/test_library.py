@@ -55,7 +55,7 @@ def test_segments():
 CLEAN = ["plain words", "let $x^2$ be", "$$\\frac{1}{2}$$", "$\\left(a\\right)$", "a\nb", "$\\begin{cases}a\\end{cases}$", "price, 5"]
 BAD = [
     ("", "empty"), ("a�b", "replacement-char"), ("a\tb", "control-char"), ("a", "private-char"), ("a​b", "invisible-char"), ("Ã©", "mojibake"), ("$\\\\frac{1}{2}$", "double-backslash"),
-    ("one\\nTwo", "literal-backslash-n"), ("cost $5", "dollar-balance"), ("\\alpha here", "command-outside-math"), ("$frac{1}{2}$", "bare-command"), ("a {b", "text-braces"), ("$a \neq b$ \\times", "command-outside-math"), ("$a \neq b$".replace("\\n", "\n"), "eaten-backslash-n"), ("$x \\r y$", "unknown-command"), ("$\\frac{1}{2$", "brace-balance"),
+    ("one\\nTwo", "literal-backslash-n"), ("cost $5", "dollar-balance"), ("\\alpha here", "command-outside-math"), ("$frac{1}{2}$", "bare-command"), ("a {b", "text-braces"), ("$a \neq b$ \\times", "command-outside-math"), ("$a \neq b$".replace("\\n", "\n"), "eaten-backslash-n"), ("$x \\r y$", "unknown-command"), ("$\\frac{1}{2}}$", "brace-balance"), ("$\\frac{1}{2$", "dollar-balance"), ("$$a $ b$$", "dollar-balance"), ("a $$ $$", "dollar-balance"),
     ("$\\left(a$", "left-right"), ("$\\begin{a}x\\end{b}$", "environment"), ("$sin x$", "bare-function"), ("$a\nb$", "newline-in-inline-math"), ("$$a\\\\ b$$", "latex-linebreak"),
 ]
 
