@@ -9,8 +9,10 @@ is at most a few hundred glyphs, so a group is small; groups are dealt by (paper
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +27,9 @@ COMMANDS = {
     "≤": r"\leq", "≥": r"\geq", "≠": r"\neq", "×": r"\times", "÷": r"\div", "±": r"\pm", "·": r"\cdot", "∞": r"\infty", "∈": r"\in", "→": r"\to", "∑": r"\sum", "∫": r"\int", "∏": r"\prod", "−": "-",
 }
 FUNCTIONS = ("sin", "cos", "tan", "log", "ln", "max", "min", "lim")
+# Operators with limits above and below; how a numbered statement begins.
+BIG = {"∑": r"\sum", "∏": r"\prod", "∫": r"\int", "∮": r"\oint", "⋃": r"\bigcup", "⋂": r"\bigcap"}
+STATEMENT = re.compile(r"(?:(?:I{1,3}|IV|VI{0,3}|IX|X)\.?|\((?:[a-h]|i{1,3}|iv|vi{0,3}|\d{1,2})\)|(?:[a-h]|i{1,3}|iv)\)|\d{1,2}[.)]|[PQRS]:)(?=\s)")
 _SIGNS = set("+-=<>/^|!") | set(COMMANDS)
 
 
@@ -42,13 +47,14 @@ class Piece:
     maths: bool
     space: bool = False
     text: bool = False
+    page: int = 1
     up: list = field(default_factory=list)
     down: list = field(default_factory=list)
 
 
 def _built(parts: list[Piece], tex: str, base: float, rule=None) -> Piece:
     xs = [rule.x0, rule.x1] if rule else []
-    return Piece(min([p.x0 for p in parts] + xs), min(p.y0 for p in parts), max([p.x1 for p in parts] + xs), max(p.y1 for p in parts), base, max(p.size for p in parts), tex, True)
+    return Piece(min([p.x0 for p in parts] + xs), min(p.y0 for p in parts), max([p.x1 for p in parts] + xs), max(p.y1 for p in parts), base, max(p.size for p in parts), tex, True, parts[0].space, page=parts[0].page)
 
 
 def _braced(tex: str) -> str:
@@ -99,6 +105,38 @@ def _script(parts: list[Piece]) -> str:
     return tex if len(tex) == 1 else _braced(tex)
 
 
+def big_operators(pieces: list[Piece], body: float) -> list[Piece]:
+    """pieces with each big operator and the limits over and under it as one piece. What runs on to the
+    right of the sign is no limit: those are scripts, which reading a row attaches."""
+    for op in [p for p in pieces if p.tex in BIG.values()]:
+        middle, high = (op.y0 + op.y1) / 2, op.y1 - op.y0
+        small = [p for p in pieces if p is not op and p.page == op.page and p.size < SCRIPT_SIZE * max(op.size, body)]
+        column = [p for p in small if p.x0 >= op.x0 - 2 and p.x1 <= op.x1 + 2]
+        sides = [
+            [p for p in column if (p.y0 + p.y1) / 2 < middle - 0.25 * high and p.y1 >= op.y0 - 1.1 * body],
+            [p for p in column if (p.y0 + p.y1) / 2 > middle + 0.25 * high and p.y0 <= op.y1 + 1.1 * body],
+        ]
+        right = [p for p in small if p.x0 > op.x1 - 0.5]
+        over, under = ([] if any(abs(r.base - p.base) < 0.2 * body and 0 <= r.x0 - p.x1 < 0.3 * body for r in right if r not in side for p in side) else side for side in sides)
+        tex = op.tex + ("_" + _script(under) if under else "") + ("^" + _script(over) if over else "")
+        base = middle + 0.25 * body if high > 1.2 * body else op.base
+        new = _built([op, *over, *under], tex, base)
+        new.size = max(op.size, body)
+        pieces = [p for p in pieces if p is not op and p not in over and p not in under] + [new]
+    return pieces
+
+
+def underlines(pieces: list[Piece], rule, body: float) -> bool:
+    """Whether a rule is a line under text: just below the base line of pieces of body size, which go on
+    past one of its ends."""
+    plain = [p for p in pieces if abs(p.size - body) < 0.15 * body]
+    over = [p.base for p in plain if p.x0 >= rule.x0 - 1 and p.x1 <= rule.x1 + 1 and 0 <= rule.y - p.base < 0.25 * body]
+    if not over:
+        return False
+    base = median(over)
+    return any(abs(p.base - base) < 0.1 * body and (0 <= rule.x0 - p.x1 < 1.5 * body or 0 <= p.x0 - rule.x1 < 1.5 * body) for p in plain)
+
+
 def apply_rule(pieces: list[Piece], rule, problems: list[str]) -> list[Piece]:
     """pieces with what the rule claims replaced by a fraction, a root or a bar."""
     inside = [p for p in pieces if p.x0 >= rule.x0 - 1 and p.x1 <= rule.x1 + 1]
@@ -133,8 +171,8 @@ def tidy(tex: str) -> str:
     return out
 
 
-def line_text(parts: list[Piece], body: float) -> str:
-    """A line as text, its maths between dollar signs."""
+def line_parts(parts: list[Piece], body: float) -> list[tuple[str, bool]]:
+    """A line as parts from left to right: (LaTeX or text, whether it is maths)."""
     words: list[list[Piece]] = []
     last = None
     for p in read_row(parts):
@@ -155,37 +193,103 @@ def line_text(parts: list[Piece], body: float) -> str:
             out.append((tex, maths))
         if tail:
             out.append((tail, False))
+    return out
+
+
+def parts_text(parts: list[tuple[str, bool]], mark: str = "$") -> str:
     text = ""
-    for tex, maths in out:
-        piece = f"${tidy(tex)}$" if maths else tex
+    for tex, maths in parts:
+        piece = f"{mark}{tidy(tex)}{mark}" if maths else tex
         text += piece if not text or tex in (".", ",", ";", ":", "?") else " " + piece
     return text
 
 
+@dataclass
+class Line:
+    x0: float
+    y0: float
+    x1: float
+    y1: float
+    page: int
+    inline: str
+    display: str | None
+
+
+def set_lines(lines: list[list[Piece]], body: float) -> list[Line]:
+    """Lines as text. One that is maths alone, and centred in the column or well indented, is display
+    maths, if it is not the only one."""
+    left, right = min(p.x0 for line in lines for p in line), max(p.x1 for line in lines for p in line)
+    out = []
+    for line in lines:
+        parts = line_parts(line, body)
+        x0, x1 = min(p.x0 for p in line), max(p.x1 for p in line)
+        apart = x0 - left > 2.5 * body or abs((x0 + x1) / 2 - (left + right) / 2) < 0.12 * (right - left)
+        alone = len(lines) > 1 and apart and any(m for _, m in parts) and all(m or tex in (",", ".", ";") for tex, m in parts)
+        stops = "".join(tex for tex, m in parts if not m)
+        shown = "$$" + tidy(" ".join(tex for tex, m in parts if m)) + stops + "$$" if alone else None
+        out.append(Line(x0, min(p.y0 for p in line), x1, max(p.y1 for p in line), line[0].page, parts_text(parts), shown))
+    return out
+
+
+def paragraphs(lines: list[Line], body: float) -> str:
+    """Lines as paragraphs, a blank line between them. A paragraph begins at display maths and after it,
+    at more space than is usual, at an indented line, at a numbered statement, and at a line back at the
+    margin after one. The second line of a statement, further in than its number, belongs to it."""
+    plain = [(a, b) for a, b in zip(lines, lines[1:], strict=False) if a.page == b.page and not a.display and not b.display]
+    usual = median(b.y0 - a.y1 for a, b in plain) if plain else 0.3 * body
+    most = min(max(0.7 * body, usual + 0.45 * body), body)
+    done: list[str] = []
+    head: Line | None = None
+    before: Line | None = None
+    shown = False
+    for line in lines:
+        text = line.display or line.inline
+        if not text:
+            continue
+        numbered, under_number = STATEMENT.match(text), head is not None and STATEMENT.match(head.display or head.inline)
+        gap = usual if before and before.page != line.page else line.y0 - before.y1 if before else 0.0
+        same_page = before is not None and before.page == line.page
+        if under_number and not numbered and same_page and gap <= body and line.x0 > head.x0 + 0.8 * body:
+            done[-1] += " " + line.inline
+            before, shown = line, False
+            continue
+        new = before is None or line.display or shown or gap > most or line.x0 > before.x0 + 0.8 * body or numbered or (under_number and line.x0 < before.x0 - 0.8 * body)
+        if new:
+            done.append(text)
+            head = line
+        else:
+            done[-1] += ("" if done[-1].endswith("-") else " ") + text
+        before, shown = line, line.display is not None
+    return "\n\n".join(p.strip() for p in done if p.strip())
+
+
 def question_text(glyphs: list[dict], rules: list) -> tuple[str, list[str]]:
     """The text of one question and what could not be read with certainty."""
     problems: list[str] = []
-    pieces = [Piece(g["x0"], g["y0"], g["x1"], g["y1"], g["base"], g["size"], COMMANDS.get(g["ch"], g["ch"]), bool(g["math_font"] or g["ch"] in COMMANDS), bool(g["space_before"])) for g in glyphs]
+    pieces = [Piece(g["x0"], g["y0"], g["x1"], g["y1"], g["base"], g["size"], BIG.get(g["ch"]) or COMMANDS.get(g["ch"], g["ch"]), bool(g["math_font"] or g["ch"] in COMMANDS or g["ch"] in BIG), bool(g["space_before"]), page=int(g["page"])) for g in glyphs]
     sizes: dict[float, int] = {}
     for p in pieces:
         sizes[round(p.size, 1)] = sizes.get(round(p.size, 1), 0) + 1
     body = max(sizes, key=lambda s: sizes[s]) if sizes else 10.0
+    pieces = big_operators(pieces, body)
     for rule in sorted(rules, key=lambda r: (r.x1 - r.x0, r.x0, r.y)):
-        pieces = apply_rule(pieces, rule, problems)
+        here = [p for p in pieces if p.page == rule.page]
+        if not underlines(here, rule, body):
+            pieces = [p for p in pieces if p.page != rule.page] + apply_rule(here, rule, problems)
     problems += ["a root sign has no bar" for p in pieces if p.tex == "√"]
     lines: list[list[Piece]] = []
-    for p in sorted((p for p in pieces if p.size >= SCRIPT_SIZE * body), key=lambda p: (p.base, p.x0)):
+    for p in sorted((p for p in pieces if p.size >= SCRIPT_SIZE * body), key=lambda p: (p.page, p.base, p.x0)):
         bases = sorted(q.base for q in lines[-1]) if lines else []
-        if lines and p.base - bases[len(bases) // 2] < LINE_STEP * body:
+        if lines and lines[-1][0].page == p.page and p.base - bases[len(bases) // 2] < LINE_STEP * body:
             lines[-1].append(p)
         else:
             lines.append([p])
     for p in (p for p in pieces if p.size < SCRIPT_SIZE * body):
         if lines:
-            min(lines, key=lambda line: abs(line[0].base - p.base)).append(p)
+            min(lines, key=lambda line: (line[0].page != p.page, abs(line[0].base - p.base))).append(p)
         else:
             lines.append([p])
-    return " ".join(line_text(line, body) for line in lines), problems
+    return (paragraphs(set_lines(lines, body), body) if lines else ""), problems
 
 
 _OUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("problems", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
@@ -195,8 +299,9 @@ def rebuild(glyphs: DataFrame, rules: DataFrame) -> DataFrame:
     """(paper_id, question, text, problems, error): a question that fails has its error and a null text,
     and does not stop the others."""
     keys = ["paper_id", "question"]
-    g = glyphs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("gid", "x0", "y0", "x1", "y1", "base", "size", "ch", "math_font", "space_before"))).alias("glyphs"))
-    r = rules.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rid", "x0", "x1", "y"))).alias("rules"))
+    glyphs, rules = (df if "page" in df.columns else df.withColumn("page", F.lit(1)) for df in (glyphs, rules))
+    g = glyphs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("gid", "x0", "y0", "x1", "y1", "base", "size", "ch", "math_font", "space_before", "page"))).alias("glyphs"))
+    r = rules.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rid", "x0", "x1", "y", "page"))).alias("rules"))
 
     @F.pandas_udf(_OUT)
     def build(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

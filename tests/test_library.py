@@ -115,6 +115,19 @@ def test_maths_rebuilt(spark):
     assert rebuild(root, rules(spark, (15.0, 22.0, 92.0))).first().text == "$\\sqrt{x}$"
 
 
+def test_big_operators_and_paragraphs(spark):
+    total = glyphs(spark, ("∑", 10, 100, 10, True, False), ("n", 11, 88, 6, True, False), ("1", 11, 110, 6, True, False), ("k", 20, 100, 10, True, False))
+    assert rebuild(total, rules(spark)).first().text == "$\\sum_1^n k$"
+    word = lambda s, x, y, maths=False: [(c, x + 5 * i, y, 10, maths, False) for i, c in enumerate(s)]
+    text = word("firstlinehere", 10, 100) + word("goeson", 10, 112) + word("x=1", 35, 126, True) + word("then", 10, 140) + word("more", 10, 170)
+    assert rebuild(glyphs(spark, *text), rules(spark)).first().text == "firstlinehere goeson\n\n$$x = 1$$\n\nthen\n\nmore"
+    listed = [("I", 10, 100, 10, False, False), (".", 15, 100, 10, False, False)] + word("isaroot", 30, 100) + word("of", 30, 112) + [("I", 10, 124, 10, False, False), ("I", 15, 124, 10, False, False)] + word("other", 30, 124)
+    assert rebuild(glyphs(spark, *listed), rules(spark)).first().text == "I. isaroot of\n\nII other"
+    under = glyphs(spark, *word("ab", 10, 100), *word("cd", 22, 100))
+    got = rebuild(under, rules(spark, (21.0, 33.0, 101.0))).first()
+    assert got.problems == [] and "overline" not in got.text
+
+
 def test_cross_check_and_flags(spark):
     a = spark.createDataFrame([(1, "ab $\\frac{1}{2}$"), (2, "xx")], "q int, text string")
     b = spark.createDataFrame([(1, "a b 1 2"), (2, "x")], "q int, text string")
