@@ -85,10 +85,11 @@ def nfkc(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def name_words(title: Column, paper: Column) -> Column:
+    """The words of a title, and of the paper's name unless the title holds it, spaces and case aside."""
     words = F.regexp_extract_all(title, F.lit("[A-Za-z0-9]+"), F.lit(0))
     more = F.regexp_extract_all(F.coalesce(paper, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))
-    has = F.contains(F.concat(F.lit(" "), F.lower(F.array_join(words, " ")), F.lit(" ")), F.concat(F.lit(" "), F.lower(F.array_join(more, " ")), F.lit(" ")))
-    return F.when(has, words).otherwise(F.concat(words, more))
+    bare = lambda s: F.replace(F.lower(s), F.lit(" "), F.lit(""))
+    return F.when(F.contains(bare(title), bare(F.coalesce(paper, F.lit("")))), words).otherwise(F.concat(words, more))
 
 
 def paper_id(title: Column, paper: Column) -> Column:

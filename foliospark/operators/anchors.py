@@ -99,18 +99,18 @@ def label_chain(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """The run A, B, C, ... that marks the options: the longest, of equally long ones the latest; labels
     that are not all strong need three."""
     held = F.array_sort(F.collect_list(F.struct("line", "k", "label", "last", "strong")))
-    by = candidates.groupBy(*keys).agg(held.alias("c"))
+    by = candidates.groupBy(*keys).agg(held.alias("_c"))
     wanted = lambda run: F.char(F.lit(65) + F.size(run))
     add = lambda run, x: F.when((F.size(run) < len(LABELS)) & (x["label"] == wanted(run)), F.concat(run, F.array(x))).otherwise(run)
 
     def run_from(i: Column) -> Column:
-        run = F.aggregate(F.slice("c", i + 1, F.size("c")), F.filter("c", lambda x: F.lit(False)), add)
+        run = F.aggregate(F.slice("_c", i + 1, F.size("_c")), F.filter("_c", lambda x: F.lit(False)), add)
         return F.when(F.forall(run, lambda r: r["strong"]) | (F.size(run) >= 3), run).otherwise(F.filter(F.slice(run, 1, 1), lambda r: r["strong"]))
 
-    starts = F.filter(F.transform("c", lambda x, i: F.when(x["label"] == "A", i)), lambda i: i.isNotNull())
+    starts = F.filter(F.transform("_c", lambda x, i: F.when(x["label"] == "A", i)), lambda i: i.isNotNull())
     runs = F.array_sort(F.transform(starts, lambda i: F.struct(F.size(run_from(i)).alias("n"), i.alias("i"), run_from(i).alias("run"))))
     best = F.get(runs, F.size(runs) - 1)["run"]
-    return by.select(*keys, F.explode(best).alias("r")).select(*keys, "r.*")
+    return by.select(*keys, F.explode(best).alias("_r")).select(*keys, "_r.*")
 
 
 def split_options(glyphs: DataFrame, keys: list[str], size: Column) -> DataFrame:
@@ -122,7 +122,7 @@ def split_options(glyphs: DataFrame, keys: list[str], size: Column) -> DataFrame
     first = (F.col("k") == F.min("k").over(Window.partitionBy(*keys, "line"))) & F.col("ch").isin(list(LABELS)) & ~F.col("math_font")
     events = glyphs.withColumns({"first": first, "_s": size}).join(chain, [*keys, "line", "k"], "left").where("hit is not null or first")
     one = F.struct("line", "k", "hit", "last", "ch", "x0", "bold", "ocr", "first", "_s")
-    by = events.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("e"))
+    by = events.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("_e"))
     taken = F.expr("cast(array() as array<struct<line:int,k:int,label:string,last:int>>)")
     start = F.struct(taken.alias("out"), F.lit(None).cast("double").alias("col"), F.lit(False).alias("bold"))
 
@@ -135,7 +135,7 @@ def split_options(glyphs: DataFrame, keys: list[str], size: Column) -> DataFrame
         after = F.struct(F.concat(a["out"], F.array(row)).alias("out"), F.when(is_a, x["x0"]).otherwise(a["col"]).alias("col"), F.when(is_a, x["bold"]).otherwise(a["bold"]).alias("bold"))
         return F.when(accept, after).otherwise(a)
 
-    labels = by.select(*keys, F.explode(F.aggregate("e", start, step, lambda a: a["out"])).alias("l")).select(*keys, F.col("l.line").alias("line"), F.col("l.k").alias("k"), F.col("l.label").alias("label"), F.col("l.last").alias("last"))
+    labels = by.select(*keys, F.explode(F.aggregate("_e", start, step, lambda a: a["out"])).alias("_l")).select(*keys, F.col("_l.line").alias("line"), F.col("_l.k").alias("k"), F.col("_l.label").alias("label"), F.col("_l.last").alias("last"))
     w = Window.partitionBy(*keys).orderBy("line", "k").rowsBetween(Window.unboundedPreceding, 0)
     rows = glyphs.join(labels, [*keys, "line", "k"], "left").withColumn("_own", F.last(F.when(F.col("label").isNotNull(), F.struct("line", "last", "label")), True).over(w))
     inside = F.coalesce((F.col("_own.line") == F.col("line")) & (F.col("k") <= F.col("_own.last")), F.lit(False))
