@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from foliospark.functions import text as tx
@@ -42,13 +44,37 @@ def combine(questions: DataFrame, papers: DataFrame, title: str) -> tuple[DataFr
 
 
 def unique_names(names: DataFrame, name: str, order: str) -> DataFrame:
-    """names with file_name: a repeated name gets _2, _3, ... in order, past names that are taken."""
-    w = Window.partitionBy(name).orderBy(order)
-    n = F.row_number().over(w)
-    tried = names.withColumn("file_name", F.when(n == 1, F.col(name)).otherwise(F.concat(name, F.lit("_"), n.cast("string"))))
-    taken = names.select(F.col(name).alias("file_name")).distinct().withColumn("_taken", F.lit(True))
-    clash = F.coalesce("_taken", F.lit(False)) & (F.col("file_name") != F.col(name))
-    return tried.join(taken, "file_name", "left").withColumn("file_name", F.when(clash, F.concat("file_name", F.lit("_"), F.lit("x"))).otherwise(F.col("file_name"))).drop("_taken")
+    """names with file_name: in order, a name that is used already gets the first of _2, _3, ... that is
+    not used so far.
+
+    Names can only clash with names of the same stem, numbers at the end taken away. Where a stem has one
+    name, its copies are numbered by a window, which spills; only stems that have names like a, a_2 and
+    copies of them are folded in memory, names and orders alone, a stem at a time. A null name stays.
+    """
+    stem = F.regexp_replace(F.col(name), r"(?:_[0-9]+)+\z", "")
+    rows = names.select("*", stem.alias("_stem"))
+    kinds = rows.groupBy("_stem").agg((F.min(name) != F.max(name)).alias("_mixed"))
+    rows = rows.join(kinds.where("_mixed"), "_stem", "left")
+    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
+    plain = rows.where("_mixed is null").withColumn("file_name", F.when((n == 1) | F.col(name).isNull(), F.col(name)).otherwise(F.concat(name, F.lit("_"), n.cast("string"))))
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, kind="stable")
+        used: set[str] = set()
+        upto: dict[str, int] = {}
+        found = []
+        for base in group[name]:
+            got, k = base, upto.get(base, 2)
+            while got in used:
+                got, k = f"{base}_{k}", k + 1
+            upto[base] = k
+            used.add(got)
+            found.append(got)
+        return group.assign(file_name=found)
+
+    kind = T.StructType([*names.schema.fields, T.StructField("_stem", T.StringType()), T.StructField("file_name", T.StringType())])
+    mixed = rows.where("_mixed").select(*names.columns, "_stem").groupBy("_stem").applyInPandas(fold, kind)
+    return plain.select(*names.columns, "file_name").unionByName(mixed.drop("_stem"))
 
 
 def group_inputs(files: DataFrame, path: str = "path", pos: str = "pos") -> DataFrame:

@@ -24,3 +24,20 @@ def test_plain_questions(spark):
     rows = [("q", 1, "Find x."), ("q", 2, "C is a point"), ("q", 3, "A 1"), ("q", 4, "or so"), ("q", 5, "(B) 2"), ("q", 6, "D 9"), ("q", 7, "C) 3"), ("r", 1, "only a stem")]
     got = {r.q: (r.stem, [tuple(o) for o in r.options]) for r in md.plain_questions(spark.createDataFrame(rows, "q string, n int, text string"), ["q"]).collect()}
     assert got == {"q": ("Find x. C is a point", [("A", "1 or so"), ("B", "2 D 9"), ("C", "3")]), "r": ("only a stem", [])}
+
+
+def test_unique_names(spark):
+    import random
+
+    from foliospark.operators.assemble import unique_names
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "a_2", "a_2_2", "b", "c_3", "c_3", "d"]), "x") for i in range(60)]
+    got = {r.i: r.file_name for r in unique_names(spark.createDataFrame(rows, "i int, name string, other string"), "name", "i").collect()}
+    used: set = set()
+    for i, name, _ in rows:
+        k, want = 2, name
+        while want in used:
+            want, k = f"{name}_{k}", k + 1
+        used.add(want)
+        assert got[i] == want, (i, name)
