@@ -23,10 +23,7 @@ def segments(s: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str,
     text is a problem, and so are a single one in display maths and maths without content.
     """
     s, out, problems, i, start = s or "", [], [], 0, 0
-    while i < len(s):
-        if s[i] != "$":
-            i += 1
-            continue
+    while (i := s.find("$", i)) >= 0:
         if i and s[i - 1] == "\\":
             problems.append(("escaped-dollar", i))
         mark = "$$" if s.startswith("$$", i) else "$"

@@ -75,7 +75,7 @@ def character_issues(s: Column) -> Column:
             F.when(c == "\ufffd", _issue("error", "replacement-char", at)).when(c.rlike(r"\p{Cc}"), _issue("error", "control-char", at))
             .when(c.rlike(r"[\p{Co}\p{Cs}]"), _issue("error", "private-char", at)).otherwise(_issue("error", "invisible-char", at))
         )
-        return F.when(c.rlike(_ODD), found)
+        return F.when(~c.between(" ", "~") & c.rlike(_ODD), found)  # the comparison spares most patterns
 
     return F.when(s.rlike(_ODD), _kept(F.transform(F.split(s, ""), one))).otherwise(_none())
 
@@ -132,7 +132,10 @@ def string_issues(rows: DataFrame, keys: list[str], text: str, known: Iterable[s
     """
     s = F.col("_s")
     held = rows.select(*keys, F.col(text).alias("_s"))
-    held = held.select("*", latex.split_math(s).alias("_segs"), latex.math_problems(s).alias("_problems"))
+    maths = F.contains(s, F.lit("$"))
+    only_text = F.array(F.struct(F.lit("text").alias("kind"), s.alias("text"), F.lit(0).alias("offset")))
+    seen = F.when(maths, s)  # Python gets only strings with maths
+    held = held.select("*", F.when(maths, latex.split_math(seen)).otherwise(only_text).alias("_segs"), latex.math_problems(seen).alias("_problems"))
     found = F.concat(
         character_issues(s),
         _rule("warning", "mojibake", s.rlike(MOJIBAKE), "looks like text in a wrong code page"),
