@@ -1,11 +1,12 @@
 """Main text of web pages, with site template removal.
 
 Subtrees of elements are hashed, their distinct pages are counted per host in Spark, and subtrees that
-recur on many pages of a host are deleted before the text is taken. Elements that are boilerplate by
+recur on so many pages of a host, however large it is, are deleted before the text is taken. Elements that are boilerplate by
 their name or by a word of their class, id or role (menus, adverts, notices, forms, reader comments)
 go in any case. Where a page marks its article, only that is taken, and prose elements in it
 (paragraphs, headings, list items) are never taken for template: sites repeat lines in articles too.
-Copies of one page count as one page, so that a mirrored article is no template.
+Copies of one page count as one page, also if they differ only in parts that go in any case, so that
+a mirrored article is no template.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, small_batches, stage, table
 
-#: A subtree is template if it is on so many distinct pages of its host, and on such a share of them.
-LEAST_PAGES, LEAST_SHARE = 4, 0.3
+#: A subtree is template if it is on so many distinct pages of its host.
+LEAST_PAGES = 4
 # Names from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|textarea|title|noscript|iframe|noembed|noframes|xmp|template"
@@ -109,8 +110,8 @@ def _walk(root: Node) -> list[tuple[Node, bool]]:
     return found
 
 
-def subtrees(root: Node) -> dict[int, list[int]]:
-    """By hash of the subtree, the ids of the nodes that may be template."""
+def subtrees(root: Node) -> tuple[int, dict[int, list[int]]]:
+    """The hash of what is kept of the page, and by hash of the subtree the ids of the nodes that may be template."""
     walked = _walk(root)
     own: dict[int, int] = {}
     found: dict[int, list[int]] = {}
@@ -128,13 +129,13 @@ def subtrees(root: Node) -> dict[int, list[int]]:
             own[id(node)] = h.intdigest()
             if node.tag not in ("", "html", "body", "article", "main") and not (inside and node.tag in PROSE):
                 found.setdefault(h.intdigest() - 2**63, []).append(id(node))
-    return found
+    return own.get(id(root), 2**63) - 2**63, found
 
 
 def text_of(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
     """Text of the page's article if it marks one, else of the page."""
     walked = _walk(root)
-    dropped = {i for h, ids in subtrees(root).items() if h in template for i in ids} if template else set()
+    dropped = {i for h, ids in subtrees(root)[1].items() if h in template for i in ids} if template else set()
     tops: list[Node] = []
     for tag in ("article", "main"):
         if tops := [n for n, _ in walked if n.tag == tag]:
@@ -183,26 +184,23 @@ def host_of(url: Column) -> Column:
 
 
 def templates(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """(host, template): for each host the hashes of its recurring subtrees. As each is on a share of
-    the host's pages, a host has at most a few times as many as a page has subtrees."""
+    """(host, source, template): for each html of a host, by its hash, the hashes of its subtrees that
+    recur. Pairs of host and subtree are joined to the pages as narrow rows, so no row grows with the
+    number of templates of a host."""
     small_batches(spark)
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                source = source or ""
-                page = xxhash.xxh3_64_intdigest(source.encode(errors="replace")) - 2**63
-                rows.append((host, page, list(subtrees(parse(source)))))
-            columns = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64()))], ["host", "page", "trees"])
-
-    seen = pages.select(host_of(F.col("url")).alias("host"), F.col("html")).mapInArrow(hash_, "host string, page long, trees array<long>")
-    seen = stage(spark, seen, "subtrees")
-    n_pages = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
-    counts = seen.select("host", "page", F.explode("trees").alias("tree")).distinct().groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    many = counts.join(n_pages, "host").where(F.col("n") >= LEAST_SHARE * F.col("n_pages"))
-    return stage(spark, many.groupBy("host").agg(F.collect_set("tree").alias("template")), "templates")
+            found = [subtrees(parse(source or "")) for source in batch.column(2).to_pylist()]
+            own, trees = pa.array([page for page, _ in found], pa.int64()), pa.array([list(by) for _, by in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own, trees], ["host", "source", "page", "trees"])
+
+    seen = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("source"), "html").mapInArrow(hash_, "host string, source long, page long, trees array<long>")
+    seen = stage(spark, seen, "subtrees").withColumn("tree", F.explode("trees"))
+    counts = seen.select("host", "page", "tree").distinct().groupBy("host", "tree").agg(F.count("*").alias("n"))
+    many = stage(spark, counts.where(F.col("n") >= LEAST_PAGES).select("host", "tree"), "recurring")
+    found = seen.select("host", "source", "tree").join(broadcast_if_small(many, many.count()), ["host", "tree"])
+    return stage(spark, found.groupBy("host", "source").agg(F.collect_set("tree").alias("template")), "templates")
 
 
 def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -211,9 +209,10 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     A null or empty html gives an empty text; a null url is a host by itself; ids and urls may repeat
     or be null; other columns are ignored; an empty table gives an empty one.
     """
-    by_host = templates(spark, pages)
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    rows = rows.join(broadcast_if_small(by_host, 50 * by_host.count()), "host", "left").select("page_id", "url", "html", "template")
+    by_page = templates(spark, pages)
+    size = by_page.agg(F.sum(F.size("template"))).first()[0] or 0
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("source"))
+    rows = rows.join(broadcast_if_small(by_page, size), ["host", "source"], "left").select("page_id", "url", "html", "template")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
