@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -70,6 +71,7 @@ def parse(source: str) -> Node:
     """A tree of elements and strings; comments, scripts and other raw elements are left out."""
     root = Node("", False)
     stack, at = [root], 0
+    opened: Counter[str] = Counter()  # by tag, so that an end tag without a start costs nothing at any depth
     for m in _TOKEN.finditer(source):
         if m.start() > at:
             stack[-1].kids.append(source[at : m.start()])
@@ -81,17 +83,18 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                while (last := stack.pop().tag) != tag:
+                    opened[last] -= 1
+                opened[tag] -= 1
             continue
         while len(stack) > 1 and tag in CLOSES.get(stack[-1].tag, ()):
-            stack.pop()
+            opened[stack.pop().tag] -= 1
         node = Node(tag, _boilerplate(tag, m[4]))
         stack[-1].kids.append(node)
-        if tag not in VOID and not m[4].endswith("/") and len(stack) < 400:
+        if tag not in VOID and not m[4].endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     if at < len(source):
         stack[-1].kids.append(source[at:])
     return root

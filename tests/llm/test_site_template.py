@@ -18,3 +18,12 @@ def test_template_on_a_small_share_of_a_large_host(spark, monkeypatch, broadcast
     assert len(got) == len(rows)
     assert all(got[i] == f"own {i}" + (" on three pages only" if i < 3 else "") for i in range(40))
     assert "follow us now" in got[100] and got[203] == "one page at six addresses" and got[300] == got[0] and got[301] == ""
+
+
+@pytest.mark.parametrize("depth", [500, 20_000])
+def test_elements_below_many_open_ones(depth):
+    deep = "<font>" * depth
+    page = f"<body>{deep}<nav>menu</nav><div class=ad>buy</div><article><p>one</p><footer>foot</footer></article><p>rest</body>"
+    assert html.text_of(html.parse(page)) == "one"
+    assert html.text_of(html.parse(f"<div>{deep}<nav><div>a</div>b</nav>c</div>d")) == "c d"
+    assert html.text_of(html.parse(deep + "x" + "</i></b>" * depth + "</font>" * depth + "<p>y")) == "x y"
