@@ -1,9 +1,11 @@
 """Secret scans with structural confirmation.
 
-Base findings are the three patterns below. Beyond them, runs of base64, base64url and hex characters
-are decoded, and a run is reported only if its bytes have the structure of a secret: a DER private key
-whose nested lengths fit exactly, an OpenSSH private key whose fields fit, or a signed token whose
-header and claims are JSON with an algorithm. PEM private key blocks are confirmed in the same way.
+Base findings are the three patterns below. Beyond them, base64, base64url and hex characters are
+decoded from wherever a key may begin, over line breaks, and reported only if the bytes have the structure
+of a secret: a DER private key whose nested lengths fit exactly, an OpenSSH private key whose fields fit,
+or a signed token whose header and claims are JSON with an algorithm. What is before a key (a name and an
+equals sign, 0x, a path) does not matter, and its own lengths say where it ends. PEM private key blocks,
+with headers or without, are confirmed in the same way.
 """
 
 from __future__ import annotations
@@ -24,9 +26,13 @@ KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: How a key may begin: SEQUENCE and its length in base64 or hex, or the OpenSSH magic.
+_START = re.compile(r"M[A-P][A-Za-z0-9+/_-]{2}|b3BlbnNzaC1rZXktdjEA|30[0-9a-fA-F]{4}|6[fF]70656[eE]7373682[dD]6[bB]65792[dD]763100")
+_PIECE = {4: re.compile(r"[A-Za-z0-9+/_-]+"), 2: re.compile(r"[0-9a-fA-F]+")}
+_BREAK = re.compile(r"[\x20\t]*(?:\r\n?|\n|\\r\\n|\\n)[\x20\t]*")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]{16,}?)-----END \1-----")
+_HEADERS = r"(?>(?:\s|\\[nr])*+(?:(?:Proc-Type|DEK-Info):\x20?[^\s\\]*+|[A-Z][A-Za-z0-9-]*+:\x20(?:(?!-----)[^\r\n\\])*+))*+"
+_PEM = re.compile(rf"-----BEGIN ([A-Z ]*PRIVATE KEY)-----({_HEADERS})([A-Za-z0-9+/=\s\\]{{16,}}?)-----END \1-----")
 
 
 def der_length(b: bytes, at: int) -> tuple[int, int, int] | None:
@@ -103,25 +109,118 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+class _Reader:
+    """Bytes of text from a position on, as base64 (4 characters for 3 bytes) or hex (2 for 1). Line
+    breaks between lines of characters are passed over; no more is read than was asked for."""
+
+    def __init__(self, text: str, at: int, base64_: bool):
+        self.text, self.size, self.full = text, 4 if base64_ else 2, 3 if base64_ else 1
+        self.chars, self.count, self.end, self.wrapped = [], 0, at, False
+
+    def chars_for(self, n: int) -> int:
+        return -(-n * self.size // self.full)
+
+    def take(self, n: int) -> bytes | None:
+        """The first n bytes, if the text has so many."""
+        need = self.chars_for(n)
+        if need - self.count > len(self.text) - self.end:
+            return None
+        while self.count < need:
+            at = self.end
+            if self.count and (gap := _BREAK.match(self.text, at)):
+                at = gap.end()
+            m = _PIECE[self.size].match(self.text, at, at + need - self.count)
+            if m is None:
+                return None
+            self.wrapped = self.wrapped or at > self.end
+            self.chars.append(m[0])
+            self.count, self.end = self.count + len(m[0]), m.end()
+        s = "".join(self.chars)[:need]
+        b = bytes.fromhex(s) if self.size == 2 else _base64(s)
+        return b if b and len(b) == n else None
+
+
+def _der_size(r: _Reader) -> int | None:
+    """The size that a DER value beginning here says it has, if a version number follows as in private keys."""
+    b = r.take(2)
+    if b is None or b[0] != 0x30:
+        return None
+    size = b[1] & 127 if b[1] > 127 else 0
+    if b[1] == 128 or size > 4:
+        return None
+    n = b[1]
+    if size:
+        if (b := r.take(2 + size)) is None:
+            return None
+        n = int.from_bytes(b[2:], "big")
+    start = 2 + size
+    b = r.take(start + 2)
+    return start + n if b is not None and n >= 3 and b[start] == 0x02 and (b[start + 1] == 1 or b[start + 1] > 127) else None
+
+
+def _openssh_size(r: _Reader) -> tuple[int, bool] | None:
+    """The size of the OpenSSH private key that begins here (three strings, the number of keys, which is
+    one, a public key, the private part), or of its start up to that number, and whether it is whole."""
+    at = 15
+    for field in range(6):
+        b = r.take(at + 4)
+        if b is None:
+            return (start, False) if field > 3 else None
+        n, at = int.from_bytes(b[at:], "big"), at + 4
+        if field == 3:
+            start = at
+            if n != 1:
+                return start, False
+        else:
+            at += n
+    return (at, True) if r.take(at) else (start, False)
+
+
+def key_at(text: str, at: int) -> tuple[str, int] | None:
+    """(kind, end) of a private key that begins in text at at."""
+    r, whole = _Reader(text, at, text[at] in "Mb"), True
+    if text[at] in "b6":
+        size, whole = _openssh_size(r) or (None, False)
+        if not whole:  # the end is not known: that of the run
+            r = _Reader(text, at, text[at] == "b")
+    else:
+        size = _der_size(r)
+    if size is None or r.chars_for(size) < 40:
+        return None
+    b = r.take(size)
+    kind = private_key(b) if b else None
+    if kind is None:
+        return None
+    more = _PIECE[r.size].match(text, r.end)
+    if more and whole and r.wrapped:  # lines that happen to follow a cut key seldom fit to their end
+        return None
+    end = r.end if whole or more is None else more.end()
+    for _ in range(2 if r.size == 4 else 0):
+        end += text[end : end + 1] == "="
+    return kind, end
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            body = _base64(re.sub(r"\s|\\n|\\r", "", m[2]))
-            if body and ("ENCRYPTED" in m[1] or private_key(body)):
+            body = _base64(re.sub(r"\s|\\n|\\r", "", m[3]))
+            if body and ("ENCRYPTED" in m[1] or "ENCRYPTED" in m[2] or private_key(body)):
                 found.append(("pem", *m.span()))
     if "eyJ" in text:
         for m in _TOKEN.finditer(text):
             head = _json(m[1])
             if head and isinstance(head.get("alg"), str) and (_json(m[2]) is not None or "enc" in head):
                 found.append(("jwt", *m.span()))
-    for m in _RUN.finditer(text):
-        if any(s < m.end() and m.start() < e for _, s, e in found):
+    at = 0
+    while m := _START.search(text, at):
+        key = key_at(text, m.start())
+        if key is None:
+            at = m.start() + 1
             continue
-        s = m[0]
-        decoded = bytes.fromhex(s) if re.fullmatch(r"(?:[0-9a-fA-F]{2})+", s) else _base64(s)
-        if decoded and (kind := private_key(decoded)):
-            found.append((kind, *m.span()))
+        kind, at = key
+        if not any(b < at and m.start() < e for _, b, e in found):
+            found.append((kind, m.start(), at))
     return found
 
 
