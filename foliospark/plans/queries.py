@@ -251,6 +251,15 @@ def word_overlap(t):
     return d.join(b, "item_id").select("doc_id", "item_id", F.size(F.array_intersect("dw", "bw")).cast("long").alias("common")).where("common > 0")
 
 
+@query(f"""SELECT doc_id, item_id, count(*) AS common FROM (SELECT DISTINCT doc_id, unnest({_WORDS}) AS w FROM documents) d JOIN (SELECT DISTINCT item_id, unnest({_WORDS}) AS w FROM benchmark) b USING (w) GROUP BY doc_id, item_id""")
+def word_overlap_all(t):
+    """word_overlap over all pairs of documents and items: the SQL of that one compares one item a document."""
+    words = lambda name, key: t(name).select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w")).distinct()
+    b = words("benchmark", "item_id")
+    b = F.broadcast(b) if b.count() <= 1_000_000 else b
+    return words("documents", "doc_id").join(b, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("common"))
+
+
 @query("SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY regexp_replace(text, '[ \\n\\t]', '', 'g')) AS first_id FROM documents) WHERE doc_id <> first_id".replace("\\\\", "\\"))
 def duplicate_content(t):
     key = F.sha2(F.regexp_replace("text", r"[ \n\t]", ""), 256)
