@@ -109,3 +109,11 @@ def character_offsets(t):
     s = F.repeat(F.lit("ab\t\u200b\ue000"), (F.col("doc_id") % 3).cast("int"))
     rows = t("documents").select("doc_id", F.explode(validate.character_issues(s)).alias("i"))
     return rows.select("doc_id", F.regexp_extract("i.message", "([0-9]+)$", 1).cast("long").alias("at"), "i.code")
+
+
+@query()
+def character_offsets_all(t):
+    """character_offsets over whole texts, with its test characters after them."""
+    s = F.concat("text", F.repeat(F.lit("ab\t\u200b\ue000"), (F.col("doc_id") % 3).cast("int")))
+    rows = t("documents").select("doc_id", F.explode(validate.character_issues(s)).alias("i"))
+    return rows.select("doc_id", F.regexp_extract("i.message", "([0-9]+)$", 1).cast("long").alias("at"), "i.code")

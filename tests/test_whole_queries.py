@@ -20,3 +20,16 @@ def test_word_overlap_of_all_pairs(spark, tmp_path):
     want = [(d, i, len(words(x) & words(y))) for d, x in DOCS for i, y in ITEMS if words(x) & words(y)]
     got = run(spark, tmp_path, "word_overlap_all", documents=(DOCS, "doc_id long, text string"), benchmark=(ITEMS, "item_id long, text string"))
     assert sorted(got) == sorted(want) and (41, 0, 2) in want and (0, 199, 1) in want
+
+
+def test_characters_of_whole_texts(spark, tmp_path):
+    odd = {"\t": "control-char", "\r": "control-char", "\u200b": "invisible-char", "\ue000": "private-char", "\ufffd": "replacement-char"}
+    rng = random.Random(5)
+    texts = ["".join(rng.choice([*odd, "$", "\n", "a", "\U0001f600"] if rng.random() < 0.1 else "ab ") for _ in range(300)) for _ in range(9)]
+    docs = ([*enumerate(texts), (9, None), (10, "")], "doc_id long, text string")
+    whole = {i: s + ("\t\u200b" if i % 7 == 0 else "") for i, s in enumerate(texts)}
+    want = [(i, at, c) for i, s in whole.items() for at, c in enumerate(s) if c in "\t\u200b$"]
+    assert sorted(run(spark, tmp_path, "issues_chars_all", documents=docs)) == sorted(want) and max(at for _, at, _ in want) > 250
+    whole = {i: s + "ab\t\u200b\ue000" * (i % 3) for i, s in [*enumerate(texts), (10, "")]}
+    want = [(i, at, odd[c]) for i, s in whole.items() for at, c in enumerate(s) if c in odd]
+    assert sorted(run(spark, tmp_path, "character_offsets_all", documents=docs)) == sorted(want)
