@@ -329,6 +329,30 @@ def flag_join(t):
     return t("documents").select("doc_id").join(_issues(t).where("level = 'error'"), "doc_id").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ";").alias("reasons"))
 
 
+def _issues_all(t):
+    rows = t("documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 7 == 0, "\t").otherwise("")).alias("s"))
+    return val.string_issues(rows, ["doc_id"], "s")
+
+
+@query()
+def issues_rules_all(t):
+    """Every issue of every rule, one row an occurrence: the SQL of issues_rules has three codes, once a document."""
+    return _issues_all(t)
+
+
+@query()
+def report_summary_all(t):
+    """report_summary over every issue."""
+    return val.summary(_issues_all(t), ["doc_id"])
+
+
+@query()
+def flag_join_all(t):
+    """flag_join over every error: the codes, and how many errors there are."""
+    flags = _issues_all(t).where("level = 'error'").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ";").alias("reasons"), F.count("*").alias("n"))
+    return t("documents").select("doc_id").join(flags, "doc_id")
+
+
 @query("""SELECT page_id, list_reduce(list_prepend(0, list_transform(regexp_extract_all(html, '[{}]'), lambda x: CASE WHEN x = '{' THEN 1 ELSE -1 END)), lambda a, x: CASE WHEN a < 0 THEN a ELSE a + x END) <> 0 AS broken FROM pages""")
 def brace_balance(t):
     return t("pages").select("page_id", tx.brace_problem(F.col("html")).alias("broken"))

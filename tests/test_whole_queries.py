@@ -33,3 +33,18 @@ def test_characters_of_whole_texts(spark, tmp_path):
     whole = {i: s + "ab\t\u200b\ue000" * (i % 3) for i, s in [*enumerate(texts), (10, "")]}
     want = [(i, at, odd[c]) for i, s in whole.items() for at, c in enumerate(s) if c in odd]
     assert sorted(run(spark, tmp_path, "character_offsets_all", documents=docs)) == sorted(want)
+
+
+def test_every_issue_of_every_rule(spark, tmp_path):
+    e, w = "error", "warning"
+    cases = [
+        (1, "a\u200bb\ufffd", [(e, "invisible-char"), (e, "replacement-char")]), (2, "plain frac", [(e, "bare-command")]), (3, "$sin x + sin y$", [(w, "bare-function")] * 2),
+        (4, "{a", [(w, "text-braces")]), (5, "  ", [(e, "empty")]), (6, None, [(e, "type")]), (7, "ok", [(e, "control-char")]), (14, "x\ty", [(e, "control-char")] * 2),
+        (8, "$\\left( x$", [(e, "left-right")]), (9, "$x", [(e, "dollar-balance")]), (10, "clean", []), (11, "\u00c3\u00a9 x", [(w, "mojibake")]), (12, "$a{$ {b$", [(e, "dollar-balance"), (w, "text-braces")]),
+    ]
+    docs = ([c[:2] for c in cases], "doc_id long, text string")
+    got = run(spark, tmp_path, "issues_rules_all", documents=docs)
+    assert sorted((r[0], *r[2:4]) for r in got) == sorted((i, *x) for i, _, found in cases for x in found)
+    count = lambda found, level: sum(x == level for x, _ in found)
+    assert sorted(run(spark, tmp_path, "report_summary_all")) == sorted((i, count(f, e), count(f, w), count(f, e) == 0) for i, _, f in cases if f)
+    assert sorted(run(spark, tmp_path, "flag_join_all")) == sorted((i, ";".join(sorted({c for x, c in f if x == e})), count(f, e)) for i, _, f in cases if count(f, e))
