@@ -175,6 +175,25 @@ def anti_in_box(t):
     return lay.points_in(t("part"), _boxes(t), ["p_brand"], "p_size", "p_retailprice", "left_anti").select("p_partkey")
 
 
+_ALL_BOXES = "SELECT p_brand, p_size AS band, min(p_retailprice) AS y0, min(p_retailprice) + 300 AS y1, 5.0 AS x0, 25.0 AS x1 FROM part GROUP BY p_brand, p_size"
+
+
+def _all_boxes(t):
+    return t("part").groupBy("p_brand", F.col("p_size").alias("band")).agg(F.min("p_retailprice").alias("y0"), (F.min("p_retailprice") + 300).alias("y1")).withColumns({"x0": F.lit(5.0), "x1": F.lit(25.0)})
+
+
+@query(f"SELECT p.p_partkey, b.band FROM part p JOIN ({_ALL_BOXES}) b ON p.p_brand = b.p_brand AND p.p_size BETWEEN b.x0 AND b.x1 AND p.p_retailprice BETWEEN b.y0 AND b.y1")
+def point_in_box_all(t):
+    """point_in_box with the boxes of all parts: the SQL of that one takes sizes divisible by ten."""
+    return lay.points_in(t("part"), _all_boxes(t), ["p_brand"], "p_size", "p_retailprice").select("p_partkey", "band")
+
+
+@query(f"SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM ({_ALL_BOXES}) b WHERE p.p_brand = b.p_brand AND p.p_size BETWEEN b.x0 AND b.x1 AND p.p_retailprice BETWEEN b.y0 AND b.y1)")
+def anti_in_box_all(t):
+    """anti_in_box with the boxes of all parts."""
+    return lay.points_in(t("part"), _all_boxes(t), ["p_brand"], "p_size", "p_retailprice", "left_anti").select("p_partkey")
+
+
 _BAND = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS y0, l_quantity + 10 AS y1 FROM lineitem"
 
 

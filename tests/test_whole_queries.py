@@ -48,3 +48,13 @@ def test_every_issue_of_every_rule(spark, tmp_path):
     count = lambda found, level: sum(x == level for x, _ in found)
     assert sorted(run(spark, tmp_path, "report_summary_all")) == sorted((i, count(f, e), count(f, w), count(f, e) == 0) for i, _, f in cases if f)
     assert sorted(run(spark, tmp_path, "flag_join_all")) == sorted((i, ";".join(sorted({c for x, c in f if x == e})), count(f, e)) for i, _, f in cases if count(f, e))
+
+
+def test_boxes_of_all_parts(spark, tmp_path):
+    rng = random.Random(6)
+    parts = [(i, rng.choice("AB"), rng.randrange(1, 31), float(rng.randrange(900, 2000))) for i in range(150)]
+    low = {(b, s): min(p for _, x, y, p in parts if (x, y) == (b, s)) for _, b, s, _ in parts}
+    want = [(k, band) for k, b, s, p in parts for (brand, band), y in low.items() if brand == b and 5 <= s <= 25 and y <= p <= y + 300]
+    part = (parts, "p_partkey long, p_brand string, p_size int, p_retailprice double")
+    assert sorted(run(spark, tmp_path, "point_in_box_all", part=part)) == sorted(want) and any(band % 10 for _, band in want)
+    assert sorted(run(spark, tmp_path, "anti_in_box_all")) == sorted((k,) for k, *_ in parts if k not in {x for x, _ in want})
