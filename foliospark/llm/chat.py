@@ -1,10 +1,12 @@
 """Chat formatting in budgeted windows.
 
-The tokens of a conversation's turns are summed in order; the sums choose spans of whole turns, one
-for each half of the budget. A window is the system turn, then the end of the span before it as
-history, then its span. Only assistant turns at their first place are under the loss mask: what a
-window repeats is masked. So a window stays within the budget unless a single turn is longer than half
-of it; no turn is cut or dropped.
+The system turn is in every window, so that what is left of the budget is for the others. Their tokens
+are summed in order; the sums choose spans of whole turns: those that start in one half of what is
+left, where a turn longer than a half is a span by itself. A window is the system turn, then the end of
+the span before it as history, of at most a quarter of the budget and of what its own span leaves, then
+its span. Only assistant turns at their first place are under the loss mask: what a window repeats is
+masked. So no window is over the budget but one that holds a single turn beside the system turn; no turn
+is cut or dropped.
 
 The template is ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts and roles a backslash becomes two
 and ``<|`` becomes ``<\\|``; in roles a newline becomes ``\\n``. This is undone when reading back.
@@ -44,38 +46,45 @@ def token_count(text: Column) -> Column:
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(conv_id, window, formatted, turns): turns is an array of (n, first, loss, start, stop), in code
-    points of formatted, start to stop being the text of the turn.
+    """(conv_id, window, formatted, turns, tokens): turns is an array of (n, first, loss, start, stop), in
+    code points of formatted, start to stop being the text of the turn; tokens are those of all its turns.
 
     Null texts and roles are empty; rows of equal turn go by role, then text; null turns come first;
     a null conv_id is one conversation; an empty table gives an empty one.
     """
-    half = budget // 2
     rows = conversations.select(
         "conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     conv = Window.partitionBy("conv_id")
     order = conv.orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("n", F.row_number().over(order))
-    system = (F.col("n") == 1) & (F.col("role") == "system")
-    rows = rows.withColumns({"system": system, "tokens": F.when(system, 0).otherwise(token_count(F.col("text")))})
-    rows = rows.withColumn("stop_at", F.sum("tokens").over(running))
-    rows = rows.withColumn("span", F.floor((F.col("stop_at") - F.col("tokens")) / half))
-    rows = rows.withColumns({"window": F.dense_rank().over(conv.orderBy("span")), "span_stop": F.max("stop_at").over(Window.partitionBy("conv_id", "span"))})
-    rows = rows.withColumn("windows", F.max("window").over(conv))
-    history = ~F.col("system") & (F.col("window") < F.col("windows")) & (F.col("span_stop") - F.col("stop_at") + F.col("tokens") <= budget // 4)
+    running = conv.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"n": F.row_number().over(order), "tokens": token_count(F.col("text"))})
+    rows = rows.withColumn("system", (F.col("n") == 1) & (F.col("role") == "system"))
+    rows = rows.withColumn("fresh", F.when(F.col("system"), 0).otherwise(F.col("tokens")))
+    left = budget - F.max(F.when(F.col("system"), F.col("tokens")).otherwise(0)).over(conv)
+    rows = rows.withColumns({"left": left, "stop_at": F.sum("fresh").over(running)})
+    half = F.greatest(F.floor(F.col("left") / 2), F.lit(1))
+    long = F.col("fresh") > half
+    after_long = F.coalesce(F.lag(long).over(conv.orderBy("n")), F.lit(False))
+    part = F.floor((F.col("stop_at") - F.col("fresh")) / half)
+    rows = rows.withColumns({"part": part, "alone": F.sum(((long | after_long) & (F.col("stop_at") > F.col("fresh"))).cast("int")).over(running)})
+    rows = rows.withColumn("window", F.dense_rank().over(conv.orderBy("alone", "part")))
+    span = Window.partitionBy("conv_id", "window")
+    rows = rows.withColumns({"span": F.sum("fresh").over(span), "span_stop": F.max("stop_at").over(span), "windows": F.max("window").over(conv)})
+    of_next = F.max("span").over(conv.orderBy("window").rangeBetween(1, 1))
+    rows = rows.withColumn("room", F.least(F.lit(budget // 4), F.col("left") - F.coalesce(of_next, F.lit(0))))
+    history = ~F.col("system") & (F.col("window") < F.col("windows")) & (F.col("span_stop") - F.col("stop_at") + F.col("fresh") <= F.col("room"))
     places = (
         F.when(F.col("system"), F.sequence(F.lit(1), "windows"))
         .when(history, F.array("window", F.col("window") + 1))
         .otherwise(F.array("window"))
     )
-    rows = rows.select("conv_id", "n", "role", "text", F.col("window").alias("own"), F.explode(places).alias("window"))
+    rows = rows.select("conv_id", "n", "role", "text", "tokens", F.col("window").alias("own"), F.explode(places).alias("window"))
     rows = rows.select(
-        "conv_id", "window",
+        "conv_id", "window", "tokens",
         F.struct("n", (F.col("own") == F.col("window")).alias("first"), F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("target")).alias("t"),
     )
-    held = rows.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    held = rows.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("t")).alias("ts"), F.sum("tokens").alias("tokens"))
     formatted = F.array_join(F.transform("ts", lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n"))), "")
     empty = F.expr("cast(array() as array<struct<n:int,first:boolean,loss:boolean,start:int,stop:int>>)")
 
@@ -86,7 +95,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET) -> DataFrame:
         return F.struct((stop + len(END) + 1).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     turns = F.aggregate("ts", F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
-    return held.select("conv_id", "window", formatted.alias("formatted"), turns.alias("turns"))
+    return held.select("conv_id", "window", formatted.alias("formatted"), turns.alias("turns"), "tokens")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -115,23 +124,34 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(stage(spark, windows(rows.unionByName(more)), "formatted"))
 
 
+# By another route than above: turns are folded one by one, in order, over lists.
 OP3_SQL = r"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM c),
-s AS (SELECT *, n = 1 AND role = 'system' AS sys, CASE WHEN n = 1 AND role = 'system' THEN 0
-  ELSE len(regexp_extract_all(text, '[\p{L}\p{M}]+|[0-9]+|[^\p{L}\p{M}0-9\x20\x09-\x0D]')) + 4 END AS tokens,
-  24 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS size FROM r),
-t AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop_at FROM s),
-u AS (SELECT *, floor((stop_at - tokens) / 512) AS span FROM t),
-v AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY span) AS w, max(stop_at) OVER (PARTITION BY conv_id, span) AS span_stop FROM u),
-x AS (SELECT *, max(w) OVER (PARTITION BY conv_id) AS ws FROM v)
-SELECT conv_id, count(*) AS n_turns,
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+  len(regexp_extract_all(text, '[\p{L}\p{M}]+|[0-9]+|[^\p{L}\p{M}0-9\x20\x09-\x0D]')) + 4 AS tokens,
+  24 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS size FROM c),
+h AS (SELECT conv_id, list({'sys': n = 1 AND role = 'system', 't': tokens, 'size': size} ORDER BY n) AS turns FROM r GROUP BY conv_id),
+b AS (SELECT conv_id, turns, 1024 - CASE WHEN turns[1].sys THEN turns[1].t ELSE 0 END AS room, CASE WHEN turns[1].sys THEN 1 ELSE 0 END AS sys FROM h),
+-- one step a turn: i turns are read, sum their tokens, w the windows so far, starts the first turn of each
+f AS (SELECT conv_id, turns, room, sys, 0 AS i, 0::BIGINT AS sum, -1::BIGINT AS part, false AS was_long, []::INT[] AS starts FROM b
+  UNION ALL
+  SELECT conv_id, turns, room, sys, i + 1, sum + fresh, sum // greatest(room // 2, 1), fresh > greatest(room // 2, 1),
+    CASE WHEN i = 0 OR sum > 0 AND (was_long OR fresh > greatest(room // 2, 1) OR sum // greatest(room // 2, 1) <> part) THEN list_append(starts, (i + 1)::INT) ELSE starts END
+  FROM (SELECT *, CASE WHEN turns[i + 1].sys THEN 0 ELSE turns[i + 1].t END AS fresh FROM f WHERE i < len(turns))),
+g AS (SELECT conv_id, turns, room, sys, starts FROM f WHERE i = len(turns)),
+v AS (SELECT conv_id, turns, room, sys, starts, w, starts[w] AS a, coalesce(starts[w + 1], len(turns) + 1) AS z FROM g, unnest(range(1, len(starts) + 1)) AS u(w)),
+x AS (SELECT *, list_filter(turns[a:z - 1], lambda t: NOT t.sys) AS own,
+  CASE WHEN w > 1 THEN list_filter(turns[starts[w - 1]:a - 1], lambda t: NOT t.sys) ELSE [] END AS past FROM v),
+y AS (SELECT *, least(256, room - coalesce(list_sum(list_transform(own, lambda t: t.t)), 0)) AS free FROM x),
+z AS (SELECT conv_id, w, CASE WHEN sys = 1 THEN turns[1].size ELSE 0 END + coalesce(list_sum(list_transform(own, lambda t: t.size)), 0)
+  + coalesce(list_sum(list_transform(list_filter(past, lambda t, i: list_sum(list_transform(past[i:], lambda q: q.t)) <= free), lambda t: t.size)), 0) AS size FROM y),
+k AS (SELECT conv_id, sum(size)::BIGINT AS formatted_chars, max(w)::BIGINT AS n_windows FROM z GROUP BY conv_id)
+SELECT r.conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(size * CASE WHEN sys THEN ws WHEN w < ws AND span_stop - stop_at + tokens <= 256 THEN 2 ELSE 1 END)::BIGINT AS formatted_chars,
-  max(ws)::BIGINT AS n_windows
-FROM x GROUP BY conv_id
+  any_value(formatted_chars) AS formatted_chars, any_value(n_windows) AS n_windows
+FROM r JOIN k ON r.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY r.conv_id
 """
