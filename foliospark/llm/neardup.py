@@ -99,24 +99,33 @@ def buckets(spark: SparkSession, signed: DataFrame) -> DataFrame:
     return stage(spark, keys, "keys")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """For each (a, b, many) of pairs, by whole shingle sets: (a, b, linked, n_a, n_b, lacks, adds).
+#: Members of a centre are compared in blocks of at most about so many rows a side.
+BLOCK = 1024
+
 
-    linked: 100 * common >= percent * union. If many: lacks holds a bit for each shingle of b that a
-    has not, adds the shingles of a that b has not.
+def compared(spark: SparkSession, pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """For each (a, b, n) of pairs, by whole shingle sets: (a, b, linked, n_a, n_b, lacks, adds).
+
+    n is the number of members of the centre b. linked: 100 * common >= percent * union. If n > 1:
+    lacks holds a bit for each shingle of b that a has not, adds the shingles of a that b has not.
+    Members are dealt into parts of about BLOCK; the text of a centre goes once to each part.
     """
-    b_texts = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    a_texts = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    rows = pairs.join(a_texts.hint("merge"), "a").join(b_texts.hint("merge"), "b").select("a", "b", "many", "text_a", "text_b")
+    parts = F.ceil(F.col("n") / BLOCK)
+    members = pairs.join(texts.select(F.col("id").alias("a"), "text").hint("merge"), "a").select("b", F.pmod(F.xxhash64("a"), parts).alias("part"), "a", (F.col("n") > 1).alias("many"), "text")
+    centres = pairs.select("b", F.pmod(F.xxhash64("a"), parts).alias("part")).distinct()
+    centres = centres.join(texts.select(F.col("id").alias("b"), "text").hint("merge"), "b")
+    centres = centres.select("b", "part", F.lit(None).cast("long").alias("a"), F.lit(None).cast("boolean").alias("many"), "text")
+    rows = members.unionByName(centres).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, centre = None, None
+        centre = np.zeros(0, np.uint64)
         for batch in batches:
-            ids_b, many, texts_b = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4)
-            out: list[list] = [[], [], [], [], []]
-            for i, mine in enumerate(shingle_sets(batch.column(3), k)):
-                if centre is None or ids_b[i] != last:
-                    last, centre = ids_b[i], next(shingle_sets(texts_b.slice(i, 1), k))
+            ids, ids_b, many = batch.column(2).to_pylist(), batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            out: list[list] = [[], [], [], [], [], [], []]
+            for i, mine in enumerate(shingle_sets(batch.column(4), k)):
+                if ids[i] is None:  # the centre of the rows that follow
+                    centre = mine
+                    continue
                 at = np.minimum(np.searchsorted(centre, mine), max(len(centre) - 1, 0))
                 shared = centre[at] == mine if len(centre) else np.zeros(len(mine), bool)
                 common = int(shared.sum())
@@ -126,20 +135,14 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                     gone = np.ones(len(centre), bool)
                     gone[at[shared]] = False
                     lacks, adds = np.packbits(gone).tobytes(), mine[~shared].tobytes()
-                for column, x in zip(out, (common > 0 and 100 * common >= percent * total, len(mine), len(centre), lacks, adds), strict=True):
+                for column, x in zip(out, (ids[i], ids_b[i], common > 0 and 100 * common >= percent * total, len(mine), len(centre), lacks, adds), strict=True):
                     column.append(x)
-            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *map(pa.array, out, kinds)], ["a", "b", "linked", "n_a", "n_b", "lacks", "adds"]
-            )
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out, kinds)], ["a", "b", "linked", "n_a", "n_b", "lacks", "adds"])
 
     return rows.mapInArrow(compare, "a long, b long, linked boolean, n_a long, n_b long, lacks binary, adds binary")
 
 
-#: Members of a centre are compared in blocks of at most about so many rows a side.
-BLOCK = 1024
-
-
 def joined(links: np.ndarray, comp_x: np.ndarray, comp_y: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     """Of the links (a boolean matrix) those (x, y) that connect components not yet connected here."""
     i, j = np.nonzero(links)
@@ -177,7 +180,8 @@ def rest_links(spark: SparkSession, diffs: DataFrame, comp: DataFrame, percent:
         rows.groupBy("b").agg(F.count("*").alias("n"), F.count_if("out").alias("n_out")).where("n_out > 0 and n > 1")
         .select("b", F.ceil(F.col("n") / BLOCK).alias("parts"), F.ceil(F.col("n_out") / BLOCK).alias("out_parts"))
     )
-    held = rows.join(sizes, "b")
+    sizes = stage(spark, sizes, "sizes")
+    held = rows.join(broadcast_if_small(sizes, sizes.count()), "b")
     all_ = held.withColumns({"j": F.pmod(F.xxhash64("a"), "parts"), "i": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("out_parts") - 1)), "side": F.lit(False)})
     outs = held.where("out").withColumns({"i": F.pmod(F.xxhash64("a"), "out_parts"), "j": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)), "side": F.lit(True)})
     columns = ["b", "i", "j", "side", "a", "comp", "n_a", "n_b", "lacks", "adds"]
@@ -205,15 +209,16 @@ def rest_links(spark: SparkSession, diffs: DataFrame, comp: DataFrame, percent:
         found = joined(links, comps[x], comps[y], ids[x], ids[y])
         return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
 
-    return outs.select(columns).unionByName(all_.select(columns)).groupBy("b", "i", "j").applyInArrow(block, "a long, b long")
+    # without it, a join by b leaves all blocks of a centre in one task, as rows are then clustered by b, i, j too
+    dealt = outs.select(columns).unionByName(all_.select(columns)).repartition("b", "i", "j")
+    return dealt.groupBy("b", "i", "j").applyInArrow(block, "a long, b long")
 
 
-def classes(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, n_shingles, comp) for each row of docs(id, text), ids not null.
+def classes(spark: SparkSession, docs: DataFrame, k: int, percent: int, more: DataFrame | None = None) -> DataFrame:
+    """(id, n_shingles, comp) for each row of docs(id, text), ids neither null nor repeated.
 
-    comp is the smallest id reachable over links, the id itself where there is no link. An empty set
-    is linked with nothing. Repeated ids with different texts count as one document that has any of
-    their links.
+    comp is the smallest id reachable over links and the links more(a, b), the id itself where there is
+    none. An empty set is linked with nothing.
     """
     small_batches(spark)
     signed = stage(spark, signatures(docs, k), "signatures")
@@ -226,15 +231,15 @@ def classes(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataF
     centres = members.groupBy("key").agg(F.max_by("id", "weight").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
     pairs = members.join(centres, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     pairs = stage(spark, pairs, "pairs")
-    counts = pairs.groupBy("b").agg((F.count("*") > 1).alias("many"))
-    pairs = pairs.join(counts, "b")
+    counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    pairs = stage(spark, pairs.join(counts, "b"), "members")
     ids = stage(spark, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     texts = docs.select("id", "text").join(broadcast_if_small(ids, ids.count()), "id", "left_semi")
-    diffs = stage(spark, compared(pairs, texts, k, percent), "diffs")
+    diffs = stage(spark, compared(spark, pairs, texts, k, percent), "diffs")
     links = diffs.where("linked").select("a", "b")
     near = components(spark, links)
     rest = stage(spark, rest_links(spark, diffs, near, percent), "rest-links")
-    whole = components(spark, near.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(rest).unionByName(same))
+    whole = components(spark, near.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(rest).unionByName(same if more is None else same.unionByName(more)))
     return signed.select("id", "n_shingles").join(whole, "id", "left").select("id", "n_shingles", F.coalesce("comp", "id").alias("comp"))
 
 
@@ -245,11 +250,26 @@ def near_duplicates(
 
     Defined results: a null or blank text has 0 shingles and is linked with nothing; a null id gives
     null component_id and kept true, and such rows take part in no link; a repeated id gives one row
-    per input row; an empty table gives an empty table; other columns are ignored, whatever their
-    names. kept is true for the smallest id of each component.
+    per input row, and its texts, if they differ, are one document with the links of all; an empty
+    table gives an empty table; other columns are ignored, whatever their names. kept is true for the
+    smallest id of each component.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = classes(spark, rows.where("id is not null"), k, percent)
+    known = rows.where("id is not null")
+    hash_ = F.xxhash64(F.coalesce("text", F.lit("")))
+    seen = stage(spark, known.groupBy("id").agg(F.count("*").alias("n"), F.min(hash_).alias("least")).where("n > 1").select("id", "least"), "repeated")
+    n_seen = seen.count()
+    if not n_seen:
+        found = classes(spark, known, k, percent)
+    else:  # each text of an id is a node: the first has the id, others numbers above all ids, and links to it
+        other = F.xxhash64("id", "text").bitwiseAND(2**62 - 1).bitwiseOR(2**62)
+        tagged = known.join(broadcast_if_small(seen, n_seen), "id", "left")
+        tagged = tagged.withColumn("node", F.when(F.col("least").isNull() | (hash_ == F.col("least")), F.col("id")).otherwise(other))
+        twice = tagged.where("least is not null").groupBy("node").agg(F.min("text").alias("text"))
+        nodes = stage(spark, tagged.where("least is null").select("node", "text").unionByName(twice), "nodes").withColumnRenamed("node", "id")
+        own = stage(spark, tagged.select("id", "node"), "own")
+        more = own.where("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b")).distinct()
+        found = own.join(classes(spark, nodes, k, percent, more).withColumnRenamed("id", "node"), "node").select("id", "n_shingles", "comp")
     lost = signatures(rows.where("id is null"), k).select("id", "n_shingles", F.lit(None).cast("long").alias("comp"))
     return found.unionByName(lost).select(
         F.col("id").alias(id_col), "n_shingles", F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept")
@@ -257,5 +277,4 @@ def near_duplicates(
 
 
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-
     return near_duplicates(spark, table(spark, sf_dir, "documents"), k=3, percent=85)

@@ -3,7 +3,7 @@
 import random
 import re
 
-from foliospark.llm.neardup import near_duplicates
+from foliospark.llm.neardup import near_duplicates, rest_links
 
 
 def shingle_set(text, k):
@@ -74,3 +74,23 @@ def test_empty_null_ids_and_clashing_columns(spark):
     df = spark.createDataFrame([(None, "a b c", 1, 1, 1), (2, "a b c", 1, 1, 1), (2, "a b c", 1, 1, 1)], empty.schema)
     got = sorted((r.doc_id is None, r.component_id, r.kept) for r in near_duplicates(spark, df, 3, 85).collect())
     assert got == [(False, 2, True), (False, 2, True), (True, None, True)]
+
+
+def test_repeated_ids_with_the_same_and_with_other_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(9, long)] * 40 + [(9, "other text of nine here"), (4, long + " end"), (7, "other text of nine here"), (11, None), (11, "x y z"), (12, "x y z"), (13, "alone")]
+    got = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(9, 4, False), (4, 4, True), (7, 4, False), (11, 11, True), (12, 11, False), (13, 13, True)}
+    assert sorted(r.n_shingles for r in got if r.doc_id == 9) == [3] + [58] * 40
+
+
+def test_blocks_of_one_centre_are_dealt_over_tasks(spark):
+    diffs = spark.createDataFrame([(i, 1, 5, 5, b"\0", b"") for i in range(2, 50)], "a long, b long, n_a long, n_b long, lacks binary, adds binary")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rest_links(spark, diffs, spark.createDataFrame([], "id long, comp long"), 80)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    top = plan[plan.index("FlatMapGroupsInArrow") :]
+    assert re.search(r"hashpartitioning\(b#\d+L?, i#\d+L?, j#\d+L?", top[: top.index("Union")]), plan
