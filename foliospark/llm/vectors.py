@@ -1,19 +1,23 @@
 """Embedding near-dedup by lattice hashing.
 
-A table hashes a vector, scaled to length one, by two random projections to eight dimensions each,
-decoded to the nearest points of the E8 lattice; the pair of points is a cell. In each table a vector
-lives in its own cell and visits the neighbouring cells nearest to it. Vectors that meet in a cell are
-compared in double precision, in blocks of bounded size. At cosine 0.95, the hardest case, a pair is
-met with probability above 0.9995, at 0.97 above 0.99999; unrelated vectors meet with probability
-0.04 over all tables.
-
-Equal vectors are one class with a weight, and are not compared. A pair that meets in several cells
-counts where it meets first. No links are emitted: each block gives counts by vector, and the links of
-a spanning forest.
+A table hashes a vector, scaled to length one, by random projections to blocks of eight dimensions,
+each decoded to the nearest point of the E8 lattice; the points of all blocks are a cell. In each table
+a vector lives in its own cell and visits the neighbouring cells nearest to it. Vectors that meet in a
+cell are compared in double precision, in blocks of bounded size.
+
+The number of lattice blocks of a cell, and of tables, grows with the number of vectors, so that a vector
+meets about CANDIDATES unrelated ones at most, whatever the number: 3 blocks and 11 tables up to 15,000
+vectors, 4 and 21 up to 560,000, 5 and 39 up to 50 million (PLANS). At cosine 0.95, the hardest case,
+a pair is met with probability 0.9995 or so; closer ones more surely.
+
+Cells are narrow rows; only those in which two vectors meet are joined to the vectors. Equal vectors are
+one class with a weight, and are not compared. A pair that meets in several cells counts where it meets
+first. No links are emitted: each block gives counts by vector, and the links of a spanning forest.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -22,10 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import broadcast_if_small, stage, table
 from .components import components
 
-COSINE, TABLES, PROBES, SCALE = 0.95, 8, 5, 3.0
+COSINE, PROBES, SCALE = 0.95, 6, 3.2
+#: By lattice blocks of a cell: tables, and the share of unrelated pairs that meet in any of them (measured on
+#: 64 dimensions). What follows the last has 1.8 times the tables and a 90th of the share of the one before.
+PLANS = {2: (6, 2.6e-2), 3: (11, 6.6e-4), 4: (21, 1.8e-5), 5: (39, 2e-7), 6: (71, 2e-9)}
+#: Unrelated vectors that a vector may meet.
+CANDIDATES = 10
 #: Rows a side of a block of comparisons.
 BLOCK = 1024
 
@@ -70,37 +79,53 @@ def _code(points: np.ndarray) -> np.ndarray:
     return total
 
 
+def plan(n: int) -> tuple[int, int]:
+    """(lattice blocks, tables) for n vectors: the fewest blocks with few enough candidates."""
+    blocks, last = min(PLANS), max(PLANS)
+    while True:
+        tables, share = PLANS[min(blocks, last)]
+        over = max(0, blocks - last)
+        if n * share / 90**over <= CANDIDATES:
+            return blocks, int(np.ceil(tables * 1.8**over))
+        blocks += 1
+
+
 def _options(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and squared distances of the nearest point and of k - 1 of its nearest neighbours."""
+    """Codes and squared distances of the nearest point, first, and of k - 1 of its nearest neighbours."""
     own = decode(x)
     rest = x - own
     toward = rest @ ROOTS.T
-    near = np.argsort(-toward, axis=1, kind="stable")[:, : k - 1]
+    near = np.argpartition(-toward, k - 1, axis=1)[:, : k - 1]
     points = np.concatenate([own[:, None], own[:, None] + ROOTS[near]], axis=1)
     d = (rest**2).sum(axis=1)[:, None]
     return _code(points), np.concatenate([d, d + 2 - 2 * np.take_along_axis(toward, near, axis=1)], axis=1)
 
 
-def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
+@functools.lru_cache(maxsize=8)
+def _projections(dim: int, blocks: int, tables: int) -> np.ndarray:
+    """One projection for each table, parts of random rotations; of short vectors random numbers."""
+    rng, width = np.random.default_rng(8), 8 * blocks
+    if dim < width:
+        return rng.normal(size=(tables, dim, width)) / np.sqrt(dim)
+    each = dim // width
+    turns = [np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, : each * width] for _ in range(-(-tables // each))]
+    return np.stack([turns[t // each][:, t % each * width :][:, :width] for t in range(tables)])
+
+
+def cells(unit: np.ndarray, blocks: int, tables: int, probes: int = PROBES) -> np.ndarray:
     """For each unit vector and table the cells it visits, its own first: int64[n, tables, probes]."""
     n, dim = unit.shape
-    rng = np.random.default_rng(8)
     out = np.empty((n, tables, probes), np.int64)
-    for t in range(tables):
-        if t * 16 % dim == 0 or dim < 16:  # a new rotation; of short vectors a new projection
-            basis = np.linalg.qr(rng.normal(size=(dim, dim)))[0] if dim >= 16 else rng.normal(size=(dim, 16)) / np.sqrt(dim)
-            at = 0
-        take = basis[:, at : at + 16]
-        at += 16
-        if take.shape[1] < 16:
-            take = np.concatenate([take, rng.normal(size=(dim, 16 - take.shape[1])) / np.sqrt(dim)], axis=1)
+    for t, take in enumerate(_projections(dim, blocks, tables)):
         x = unit @ take * (SCALE * np.sqrt(dim / 64))
-        (c1, d1), (c2, d2) = _options(x[:, :8], 4), _options(x[:, 8:], 4)
-        code = (c1[:, :, None] * np.uint64(0xD6E8FEB86659FD93) + c2[:, None, :] + np.uint64(t)).reshape(n, 16)
-        away = (d1[:, :, None] + d2[:, None, :]).reshape(n, 16)
-        order = np.argsort(away, axis=1, kind="stable")[:, :probes]
-        order[:, 0] = 0
-        out[:, t] = np.take_along_axis(code, order, axis=1).view(np.int64)
+        code, away = np.full((n, 1), np.uint64(t)), np.zeros((n, 1))
+        for b in range(blocks):  # the nearest of all combinations, block by block
+            more, d = _options(x[:, 8 * b : 8 * b + 8], probes)
+            code = (code[:, :, None] * np.uint64(0xD6E8FEB86659FD93) + more[:, None, :]).reshape(n, -1)
+            away = (away[:, :, None] + d[:, None, :]).reshape(n, -1)
+            order = np.argsort(away, axis=1, kind="stable")[:, :probes]
+            code, away = np.take_along_axis(code, order, axis=1), np.take_along_axis(away, order, axis=1)
+        out[:, t] = code.view(np.int64)
     return out
 
 
@@ -125,51 +150,63 @@ def met_before(a: np.ndarray, b: np.ndarray, t: int, a_visits: bool, a_less: np.
     return found | (~visitor_less & other)
 
 
-def links(spark: SparkSession, classes: DataFrame, dim: int, cosine: float = COSINE) -> DataFrame:
-    """(id, n, other) from classes(id, v, weight): rows to be summed, n being links of id to vectors of
-    other classes, and links (id, other) that connect all that is linked."""
+def links(spark: SparkSession, classes: DataFrame, n: int, cosine: float = COSINE) -> DataFrame:
+    """(id, n, other) from the n rows of classes(id, v, weight): rows to be summed, n being links of id to
+    vectors of other classes, and links (id, other) that connect all that is linked. Vectors of different
+    lengths never meet."""
+    blocks, tables = plan(n)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = cells(_unit(_matrix(batch.column(1), dim)))
-            n = len(got)
-            t = np.tile(np.repeat(np.arange(TABLES), PROBES), n)
-            row = np.repeat(np.arange(n), TABLES * PROBES)
-            own = np.tile(np.arange(PROBES) == 0, n * TABLES)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(t), pa.array(got.reshape(-1)), pa.array(own), *(batch.column(i).take(pa.array(row)) for i in range(3))],
-                ["t", "cell", "own", "id", "v", "weight"],
-            )
-
-    visits = classes.mapInArrow(visit, "t long, cell long, own boolean, id long, v array<float>, weight long")
+            size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(size).tolist():
+                part = batch.filter(pa.array(size == dim))
+                got = cells(_unit(_matrix(part.column(1), dim)), blocks, tables)
+                m = len(got)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(m * tables * PROBES, dim, np.int32)), pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), PROBES), m)), pa.array(got.reshape(-1)),
+                        pa.array(np.tile(np.arange(PROBES) == 0, m * tables)), part.column(0).take(pa.array(np.repeat(np.arange(m), tables * PROBES))),
+                    ],
+                    ["dim", "t", "cell", "own", "id"],
+                )
+
+    cell, block_key = ["dim", "t", "cell"], ["dim", "t", "cell", "i", "j"]
+    visits = stage(spark, classes.select("id", "v").mapInArrow(visit, "dim int, t int, cell long, own boolean, id long"), "visits")
     sizes = (
-        stage(spark, classes.select("id", "v").mapInArrow(_cells_only(dim), "t long, cell long, own boolean"), "cells")
-        .groupBy("t", "cell").agg(F.count("*").alias("n"), F.count_if("own").alias("n_own")).where("n > 1 and n_own > 0")
-        .select("t", "cell", F.ceil(F.col("n") / BLOCK).alias("parts"), F.ceil(F.col("n_own") / BLOCK).alias("own_parts"))
+        visits.groupBy(cell).agg(F.count("*").alias("n"), F.count_if("own").alias("n_own")).where("n > 1 and n_own > 0")
+        .select(*cell, F.ceil(F.col("n") / BLOCK).alias("parts"), F.ceil(F.col("n_own") / BLOCK).alias("own_parts"))
     )
-    held = visits.join(sizes, ["t", "cell"])
+    sizes = stage(spark, sizes, "cells")
+    held = visits.join(broadcast_if_small(sizes, sizes.count()), cell)
     one = F.lit(0).cast("bigint")
     guests = held.withColumns({"i": F.pmod(F.xxhash64("id"), "parts"), "j": F.explode(F.sequence(one, F.col("own_parts") - 1)), "guest": F.lit(True)})
     hosts = held.where("own").withColumns({"j": F.pmod(F.xxhash64("id"), "own_parts"), "i": F.explode(F.sequence(one, F.col("parts") - 1)), "guest": F.lit(False)})
-    columns = ["t", "cell", "i", "j", "guest", "id", "v", "weight"]
+    both = guests.select(*block_key, "guest", "id").unionByName(hosts.select(*block_key, "guest", "id"))
 
     def block(rows: pa.Table) -> pa.Table:
         guest, ids, weight = (rows[c].to_numpy() for c in ("guest", "id", "weight"))
-        unit = _unit(_matrix(rows["v"].combine_chunks(), dim))
+        unit = _unit(_matrix(rows["v"].combine_chunks(), rows["dim"][0].as_py()))
         x, y = np.flatnonzero(guest), np.flatnonzero(~guest)
-        a, b = np.nonzero(unit[x] @ unit[y].T >= cosine)
-        a, b = x[a], y[b]
-        a, b = a[ids[a] != ids[b]], b[ids[a] != ids[b]]
+        linked = (unit[x] @ unit[y].T >= cosine) & (ids[x][:, None] != ids[y])
         counts = np.zeros(len(ids), np.int64)
-        if len(a):
+        if linked.any():
             t = rows["t"][0].as_py()
-            who, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-            seen, at_a, at_b = cells(unit[who]), at[: len(a)], at[len(a) :]
-            new = np.concatenate([~met_before(seen[at_a[s : s + 4096]], seen[at_b[s : s + 4096]], t, True, ids[a[s : s + 4096]] < ids[b[s : s + 4096]]) for s in range(0, len(a), 4096)])
-            a, b = a[new], b[new]
-            np.add.at(counts, a, weight[b])
-            np.add.at(counts, b, weight[a])
-        forest = _forest(ids[a], ids[b])
+            x, y = x[linked.any(axis=1)], y[linked.any(axis=0)]
+            linked = linked[linked.any(axis=1)][:, linked.any(axis=0)]
+            a, b = cells(unit[x], blocks, tables), cells(unit[y], blocks, tables)
+            for s in range(min(t, 2)):  # most have met in the first tables
+                for p in range(PROBES):
+                    linked &= (a[:, s, p][:, None] != b[:, s, 0]) & (b[:, s, p] != a[:, s, 0][:, None])
+            i, j = np.nonzero(linked)
+            less = ids[x[i]] < ids[y[j]]
+            new = np.concatenate([np.zeros(0, bool), *(~met_before(a[i[c : c + 4096]], b[j[c : c + 4096]], t, True, less[c : c + 4096]) for c in range(0, len(i), 4096))])
+            x, y = x[i[new]], y[j[new]]
+            np.add.at(counts, x, weight[y])
+            np.add.at(counts, y, weight[x])
+        else:
+            x = y = np.zeros(0, np.int64)
+        forest = _forest(ids[x], ids[y])
         has = np.flatnonzero(counts)
         return pa.table({
             "id": pa.array([*ids[has].tolist(), *(p for p, _ in forest)], pa.int64()),
@@ -177,20 +214,8 @@ def links(spark: SparkSession, classes: DataFrame, dim: int, cosine: float = COS
             "other": pa.array([*([None] * len(has)), *(q for _, q in forest)], pa.int64()),
         })
 
-    both = guests.select(columns).unionByName(hosts.select(columns))
-    return both.groupBy("t", "cell", "i", "j").applyInArrow(block, "id long, n long, other long")
-
-
-def _cells_only(dim: int):
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = cells(_unit(_matrix(batch.column(1), dim)))
-            n = len(got)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.repeat(np.arange(TABLES), PROBES), n)), pa.array(got.reshape(-1)), pa.array(np.tile(np.arange(PROBES) == 0, n * TABLES))], ["t", "cell", "own"]
-            )
-
-    return visit
+    dealt = both.join(classes.select("id", "v", "weight"), "id").repartition(*block_key)
+    return dealt.groupBy(block_key).applyInArrow(block, "id long, n long, other long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -220,18 +245,18 @@ def near_vectors(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", v
     themselves, each in the component of its own vector. An empty table gives an empty one; other columns are ignored.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    v = F.col(vector_col).cast("array<float>")
+    item = rows.schema[vector_col].dataType.elementType.simpleString()
+    kind = item if item == "float" else "double"  # doubles stay what they are
+    v = F.col(vector_col).cast(f"array<{kind}>")
     good = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    plain = F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast("float"))  # -0.0 is 0.0
+    plain = F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast(kind))  # -0.0 is 0.0
     rows = stage(spark, rows.select(F.col(id_col).cast("long").alias("id"), F.when(good, plain).alias("v")), "vectors")
-    sets = stage(spark, rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")).withColumn("key", F.xxhash64("v")), "sets")
-    dims = sorted(r[0] for r in sets.select(F.size("v")).distinct().limit(1000).toLocalIterator())
-    found = None
-    for dim in dims:
-        part = links(spark, sets.where(F.size("v") == dim).select(F.col("key").alias("id"), "v", "weight"), dim, cosine)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    sets = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+    sets = stage(spark, sets.withColumn("key", F.monotonically_increasing_id()), "sets")  # written, so it stays
+    n = sets.count()
+    if not n:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    found = links(spark, sets.select(F.col("key").alias("id"), "v", "weight"), n, cosine)
     found = stage(spark, found, "found")
     counts = found.groupBy(F.col("id").alias("key")).agg(F.sum("n").alias("n"))
     root = components(spark, found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
