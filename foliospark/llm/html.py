@@ -1,12 +1,15 @@
 """Main text of web pages, with site template removal.
 
-Subtrees of elements are hashed, their distinct pages are counted per host in Spark, and subtrees that
-recur on so many pages of a host, however large it is, are deleted before the text is taken. Elements that are boilerplate by
-their name or by a word of their class, id or role (menus, adverts, notices, forms, reader comments)
-go in any case. Where a page marks its article, only that is taken, and prose elements in it
-(paragraphs, headings, list items) are never taken for template: sites repeat lines in articles too.
-Copies of one page count as one page, also if they differ only in parts that go in any case, so that
-a mirrored article is no template.
+Subtrees of elements are hashed, whatever their names, their distinct pages are counted per host in
+Spark, and subtrees that recur on so many pages of a host, however large it is, are deleted before the
+text is taken. Only what contains no marked article and is no prose in one (paragraphs, headings, list
+items: sites repeat lines in articles too) can be template. Copies of one page count as one page, also
+if they differ only in parts that go in any case, so that a mirrored article is no template.
+
+Counts cannot tell what is on few pages of its host: menus of small sites, adverts and notices that
+change, forms, reader comments. Of what the counts leave, elements that are boilerplate by their name
+or by a word of their class, id or role go too (prose in an article only if a whole class is such a
+word), and where a page marks its article, only that is taken.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ MARKS = frozenset(
     " nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead comment comments commentlist disqus reply replies respond share sharing social"
     " related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar complementary contentinfo".split()
 )
+#: Elements that mark an article, the first of them first.
+TOPS = ("article", "main")
 CLOSES = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S | re.I
@@ -57,24 +62,27 @@ class Node:
         self.tag, self.out, self.kids = tag, out, []
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
+def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in GONE:
         return True
     if tag in ("html", "body", "article", "main") or not attributes.strip():
         return False
     if _HIDDEN.search(attributes):
         return True
+    if in_article and tag in PROSE:  # a paragraph of class promotion-history may well be of the article
+        return any(w in MARKS for m in _MARK.findall(attributes) for w in m.strip("\"'").lower().split())
     return any(w in MARKS for m in _MARK.findall(attributes) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m).lower()))
 
 
 def parse(source: str) -> Node:
-    """A tree of elements and strings; comments, scripts and other raw elements are left out."""
+    """A tree of elements and strings, character references decoded within each; comments, scripts and
+    other raw elements are left out."""
     root = Node("", False)
     stack, at = [root], 0
     opened: Counter[str] = Counter()  # by tag, so that an end tag without a start costs nothing at any depth
     for m in _TOKEN.finditer(source):
         if m.start() > at:
-            stack[-1].kids.append(source[at : m.start()])
+            stack[-1].kids.append(html.unescape(source[at : m.start()]))
         at = m.end()
         tag = m[3]
         if tag is None:
@@ -90,59 +98,68 @@ def parse(source: str) -> Node:
             continue
         while len(stack) > 1 and tag in CLOSES.get(stack[-1].tag, ()):
             opened[stack.pop().tag] -= 1
-        node = Node(tag, _boilerplate(tag, m[4]))
+        node = Node(tag, _boilerplate(tag, m[4], opened["article"] > 0 or opened["main"] > 0))
         stack[-1].kids.append(node)
         if tag not in VOID and not m[4].endswith("/"):
             stack.append(node)
             opened[tag] += 1
     if at < len(source):
-        stack[-1].kids.append(source[at:])
+        stack[-1].kids.append(html.unescape(source[at:]))
     return root
 
 
-def _walk(root: Node) -> list[tuple[Node, bool]]:
-    """Nodes that are kept, parents first, each with whether it is in a marked article."""
-    found, todo = [], [(root, False)]
+def _walk(root: Node) -> list[tuple[Node, bool, bool]]:
+    """Nodes, parents first, each with whether it is in a marked article and whether it goes by its name or marks."""
+    found, todo = [], [(root, False, False)]
     while todo:
-        node, inside = todo.pop()
-        if node.out:
-            continue
-        inside = inside or node.tag in ("article", "main")
-        found.append((node, inside))
-        todo += [(k, inside) for k in node.kids if isinstance(k, Node)]
+        node, inside, out = todo.pop()
+        inside, out = inside or node.tag in TOPS, out or node.out
+        found.append((node, inside, out))
+        todo += [(k, inside, out) for k in node.kids if isinstance(k, Node)]
     return found
 
 
 def subtrees(root: Node) -> tuple[int, dict[int, list[int]]]:
     """The hash of what is kept of the page, and by hash of the subtree the ids of the nodes that may be template."""
-    walked = _walk(root)
     own: dict[int, int] = {}
+    articles: set[int] = set()  # nodes that are or hold an article
     found: dict[int, list[int]] = {}
-    for node, inside in reversed(walked):
+    page = xxhash.xxh3_64()
+    for node, inside, out in reversed(_walk(root)):
         h, any_text = xxhash.xxh3_64(node.tag.encode()), False
+        if not out:
+            page.update(f"<{node.tag}".encode())
+        if node.tag in TOPS and not out:
+            articles.add(id(node))
         for k in node.kids:
             if isinstance(k, Node):
-                if not k.out and id(k) in own:
+                if id(k) in own:
                     h.update(own[id(k)].to_bytes(8, "little"))
                     any_text = True
+                if id(k) in articles:
+                    articles.add(id(node))
             elif words := k.split():
-                h.update(" ".join(words).encode(errors="replace"))
+                text = " ".join(words).encode(errors="replace")
+                h.update(text)
                 any_text = True
+                if not out:
+                    page.update(b">" + text)
         if any_text:
             own[id(node)] = h.intdigest()
-            if node.tag not in ("", "html", "body", "article", "main") and not (inside and node.tag in PROSE):
+            if node.tag not in ("", "html", "body") and id(node) not in articles and not (node.tag in PROSE and (inside or out)):
                 found.setdefault(h.intdigest() - 2**63, []).append(id(node))
-    return own.get(id(root), 2**63) - 2**63, found
+    return page.intdigest() - 2**63, found
 
 
-def text_of(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """Text of the page's article if it marks one, else of the page."""
-    walked = _walk(root)
+def text_of(root: Node, template: frozenset[int] | set[int] = frozenset(), marks: bool = True) -> str:
+    """Text of the page's article if it marks one, else of the page; without marks, of all that is no template."""
     dropped = {i for h, ids in subtrees(root)[1].items() if h in template for i in ids} if template else set()
     tops: list[Node] = []
-    for tag in ("article", "main"):
-        if tops := [n for n, _ in walked if n.tag == tag]:
-            break
+    if marks:
+        walked = _walk(root)
+        for tag in TOPS:
+            if tops := [n for n, _, out in walked if n.tag == tag and not out]:
+                break
     parts: list[str] = []
 
     def take(start: Node) -> None:
@@ -152,7 +169,7 @@ def text_of(root: Node, template: frozenset[int] | set[int] = frozenset()) -> st
             if isinstance(x, str):
                 parts.append(x)
                 continue
-            if x.out or id(x) in dropped or id(x) in seen:
+            if x.out and marks or id(x) in dropped or id(x) in seen:
                 if x.tag in BLOCKS:
                     parts.append(" ")
                 continue
@@ -166,7 +183,7 @@ def text_of(root: Node, template: frozenset[int] | set[int] = frozenset()) -> st
     seen: set[int] = set()
     for top in _in_order(root, set(map(id, tops))) if tops else [root]:
         take(top)
-    return " ".join(html.unescape("".join(parts)).split())
+    return " ".join("".join(parts).split())
 
 
 def _in_order(root: Node, wanted: set[int]) -> Iterator[Node]:

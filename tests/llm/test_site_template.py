@@ -1,6 +1,10 @@
 """Site template removal: blocks on few of many pages, copies of one page, both ways of the join."""
 
+import functools
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.llm import common, html
 
@@ -27,3 +31,38 @@ def test_elements_below_many_open_ones(depth):
     assert html.text_of(html.parse(page)) == "one"
     assert html.text_of(html.parse(f"<div>{deep}<nav><div>a</div>b</nav>c</div>d")) == "c d"
     assert html.text_of(html.parse(deep + "x" + "</i></b>" * depth + "</font>" * depth + "<p>y")) == "x y"
+
+
+def test_counts_decide_what_recurs_on_sf01(spark):
+    """Without names and marks: exactly the menus, adverts and footers on four pages of their host go."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found = {(r.host, r.source): set(r.template) for r in html.templates(spark, pages).collect()}
+    rows = pages.select("page_id", "html", html.host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("source")).collect()
+    block = re.compile(r'<nav>.*?</nav>|<footer>.*?</footer>|<div class="ad">.*?</div>', re.S)
+    on: dict = {}
+    for r in rows:
+        trunk = re.sub(r"<(script|style|title)>.*?</\1>", "", block.sub("", r.html), flags=re.S)
+        for b in block.findall(r.html):
+            on.setdefault((r.host, b), set()).add(trunk[trunk.index("<body") :])
+    gone = changed = 0
+    for r in rows:
+        tree = html.parse(r.html)
+        own = found.get((r.host, r.source), set())
+        recur = [b for b in block.findall(r.html) if len(on[r.host, b]) >= html.LEAST_PAGES]
+        want = html.text_of(html.parse(functools.reduce(lambda h, b: h.replace(b, " "), recur, r.html)), marks=False)
+        got = html.text_of(tree, own, marks=False)
+        assert got == want, r.page_id
+        gone += len(recur)
+        changed += got != html.text_of(tree, marks=False)
+    assert gone > 900 and changed > 300
+
+
+def test_words_of_classes_in_articles_and_split_references():
+    page = "<article><p class='promotion-history'>kept</p><p class='ad'>buy</p><div class='promotion-box'>deal</div><p>&am<b>p;</b> &amp;amp; x&nbsp;y</article>"
+    assert html.text_of(html.parse(page)) == "kept &amp; &amp; x y"
+
+
+def test_an_article_under_other_menus_is_no_template(spark):
+    rows = [(i, f"http://a.example/{i}", f"<nav>{i}</nav><div><article><p>the same article</p></article></div><div>other {i}</div>") for i in range(6)]
+    got = html.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {"the same article"}
