@@ -1,10 +1,12 @@
 """Personal data: base patterns, and contextual extraction bootstrapped from them.
 
-Base findings are the seeds. The two words before a finding are a lexical pattern. Occurrences that
-look like an identifier (numbers of several groups, ``name(at)host`` and the like) are instances, tied
-to the patterns before them; the table of pattern-instance pairs is a graph, and its scores are found
-in rounds: a pattern's confidence is the mean score of its instances, an instance's score is what its
-patterns leave no doubt of. Instances of high score that no base pattern finds are added to the spans.
+Base findings are the seeds. The two words before a finding, however long, are a lexical pattern, where a
+finding just before counts as the word ``<id>``. Occurrences that look like an identifier (numbers of six
+or more digits with at most three signs between two of them, ``name(at)host`` and the like, of any length)
+are instances, tied to the patterns before them; the table of pattern-instance pairs is a graph, and its
+scores are found in rounds: a pattern's confidence is the mean score of its instances, an instance's
+score is what its patterns leave no doubt of. Instances of high score that no base pattern finds are
+added to the spans.
 
 All of this is DataFrame functions. Offsets come from the lengths of the text between matches, as
 ``split`` and ``regexp_extract_all`` cut the text at the same places.
@@ -25,25 +27,45 @@ _IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: What may be an identifier: an address with a spelt @, or numbers in groups.
-_LIKELY = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|\{at\}|@)\x20?[A-Za-z0-9.-]{2,253}+|[+(]?[0-9](?:[\x20().\x2F-]{0,3}[0-9]){5,24}"
+_LIKELY = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|\{at\}|@)\x20?[A-Za-z0-9.-]{2,}+|[+(]?[0-9](?:[\x20().\x2F-]{0,3}[0-9]){5,}+"
 #: Rounds of scoring, instances a pattern must have, and the score from which an instance is reported.
 ROUNDS, SUPPORT, SURE = 3, 3, 0.7
-_SPAN = "array<struct<kind:string,start:bigint,stop:bigint,found:string,before:string>>"
+_SPAN = "array<struct<kind:string,start:bigint,stop:bigint,found:string,pattern:string>>"
+#: Matches are placed in the text in groups of so many, so that a text of n matches does not take n * n steps.
+_GROUP = 256
+
+
+def _pattern(before: Column) -> Column:
+    """The last two words of the text before a span, lower-cased; an empty string if there are not two."""
+    return F.lower(F.regexp_extract(before, r"(?<!\S)(\S++\s++\S++)\s*+$", 1))
 
 
 def spans(text: Column, pattern: str, kind: str, valid=None) -> Column:
-    """Array of (kind, start, stop, found, before); before is the end of the text between matches."""
+    """Array of (kind, start, stop, found, pattern) of all matches, or of the valid ones."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(found, between, lambda m, b: F.struct(m.alias("m"), b.alias("b")))  # the last between has no match
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
+    pairs = F.filter(F.zip_with(found, between, lambda m, b: F.struct(m.alias("m"), b.alias("b"))), lambda p: p["m"].isNotNull())  # the last between has no match
+
+    def one(p: Column, i: Column) -> Column:
+        before = F.concat(F.when(i > 0, "<id>").otherwise(""), p["b"])
+        return F.struct(F.lit(kind).alias("kind"), F.length(p["b"]).cast("bigint").alias("start"), F.length(p["m"]).cast("bigint").alias("stop"), p["m"].alias("found"), _pattern(before).alias("pattern"))
+
+    empty = F.expr(f"cast(array() as {_SPAN})")
+    zero = F.lit(0).cast("bigint")
+
+    def move(s: Column, at: Column) -> Column:
+        return s.withField("start", s["start"] + at).withField("stop", s["stop"] + at)
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["b"])
-        end = begin + F.length(x["m"])
-        one = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("stop"), x["m"].alias("found"), F.right(x["b"], F.lit(80)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def add(acc: Column, s: Column) -> Column:  # of s, start and stop are yet the lengths between and in matches
+        begin = acc["at"] + s["start"]
+        end = begin + s["stop"]
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(s.withField("start", begin).withField("stop", end))).alias("out"))
 
-    out = F.aggregate(F.filter(pairs, lambda p: p["m"].isNotNull()), start, add, lambda acc: acc["out"])
+    def append(acc: Column, g: Column) -> Column:
+        return F.struct((acc["at"] + g["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(g["out"], lambda s: move(s, acc["at"])))).alias("out"))
+
+    lengths = F.transform(pairs, one)
+    groups = F.transform(F.sequence(F.lit(1), F.greatest(F.size(lengths), F.lit(1)), F.lit(_GROUP)), lambda i: F.aggregate(F.slice(lengths, i, _GROUP), F.struct(zero.alias("at"), empty.alias("out")), add))
+    out = F.aggregate(groups, F.struct(zero.alias("at"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("out")), append, lambda acc: F.flatten(acc["out"]))
     return F.filter(out, lambda s: valid(s["found"])) if valid else out
 
 
@@ -73,25 +95,21 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _pattern(before: Column) -> Column:
-    """The last two words before a span, lower-cased; an empty string if there are not two."""
-    return F.lower(F.regexp_extract(before, r"(\S{1,40}+\s{1,9}\S{1,40}+)\s{0,9}$", 1))
-
-
-def scores(pairs: DataFrame) -> DataFrame:
+def scores(spark: SparkSession, pairs: DataFrame) -> DataFrame:
     """(instance, kind, score) of instances that are no seeds, from pairs(pattern, instance, seed),
-    seed being the base kind or null. Every round is a few aggregations over the distinct pairs."""
-    state = pairs.groupBy("instance").agg(F.max("seed").alias("seed"))
-    seeds = state.where("seed is not null").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
-    known = seeds
+    seed being the base kind or null. Every round is a few aggregations over the distinct pairs, and
+    leaves a table of one row per instance reached."""
+    seeds = stage(spark, pairs.groupBy("instance").agg(F.max("seed").alias("kind")).where("kind is not null").withColumn("score", F.lit(1.0)), "seeds")
     sizes = pairs.groupBy("pattern").agg(F.count_distinct("instance").alias("n")).where(F.col("n") >= SUPPORT)
-    edges = pairs.select("pattern", "instance").distinct().join(sizes, "pattern")
+    edges = stage(spark, pairs.select("pattern", "instance").distinct().join(sizes, "pattern"), "edges")
+    known = seeds
     for _ in range(ROUNDS):
         confidence = edges.join(known, "instance").groupBy("pattern", "kind").agg((F.sum("score") / (F.first("n") + 0.5)).alias("confidence"), F.count("*").alias("held")).where("held > 1")
         reached = edges.join(confidence, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score"))
         best = reached.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b")).select("instance", "b.kind", "b.score")
-        known = seeds.unionByName(best.join(seeds.select("instance"), "instance", "left_anti"))
-    return known.join(seeds.select("instance"), "instance", "left_anti")
+        found = stage(spark, best.join(seeds.select("instance"), "instance", "left_anti"), "scores")
+        known = seeds.unionByName(found)
+    return found
 
 
 def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,10 +125,10 @@ def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     clear = F.filter("likely", lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
     rows = stage(spark, rows.select("id", "h", "base", clear.alias("likely")), "pii")
     occurrences = rows.select("id", "h", F.explode(F.concat("base", "likely")).alias("s")).select(
-        "id", "h", "s.start", "s.stop", F.lower(F.regexp_replace("s.found", r"[\s().-]", "")).alias("instance"), _pattern(F.col("s.before")).alias("pattern"), F.when(F.col("s.kind") != "", F.col("s.kind")).alias("seed")
+        "id", "h", "s.start", "s.stop", F.lower(F.regexp_replace("s.found", r"[\s().-]", "")).alias("instance"), F.col("s.pattern").alias("pattern"), F.when(F.col("s.kind") != "", F.col("s.kind")).alias("seed")
     )
     pairs = stage(spark, occurrences.where("pattern <> ''").select("pattern", "instance", "seed").distinct(), "pairs")
-    sure = scores(pairs).where(F.col("score") >= SURE).select("instance", F.col("kind").alias("added"))
+    sure = scores(spark, pairs).where(F.col("score") >= SURE).select("instance", F.col("kind").alias("added"))
     added = occurrences.where("seed is null").join(sure, "instance").groupBy("id", "h").agg(F.collect_set(F.struct(F.col("added").alias("kind"), "start", "stop")).alias("more"))
     same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_"))
     rows = rows.join(added.withColumnsRenamed({"id": "id_", "h": "h_"}), same, "left")
