@@ -2,10 +2,12 @@
 
 Base findings are the three patterns below. Beyond them, base64, base64url and hex characters are
 decoded from wherever a key may begin, over line breaks, and reported only if the bytes have the structure
-of a secret: a DER private key whose nested lengths fit exactly, an OpenSSH private key whose fields fit,
-or a signed token whose header and claims are JSON with an algorithm. What is before a key (a name and an
+of a secret: a DER private key, encrypted or not, whose nested lengths fit exactly, an OpenSSH private key
+whose fields and inner fields fit to the end, or a token whose header and claims are JSON with an algorithm,
+and which is signed. What is before a key (a name and an
 equals sign, 0x, a path) does not matter, and its own lengths say where it ends. PEM private key blocks,
-with headers or without, are confirmed in the same way.
+with headers or without, are confirmed in the same way; where headers say that the body is encrypted, by
+the cipher, its initial vector and whole cipher blocks. A key that is cut off is not reported.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _START = re.compile(r"M[A-P][A-Za-z0-9+/_-]{2}|b3BlbnNzaC1rZXktdjEA|30[0-9a-fA-F]{4}|6[fF]70656[eE]7373682[dD]6[bB]65792[dD]763100")
 _PIECE = {4: re.compile(r"[A-Za-z0-9+/_-]+"), 2: re.compile(r"[0-9a-fA-F]+")}
 _BREAK = re.compile(r"[\x20\t]*(?:\r\n?|\n|\\r\\n|\\n)[\x20\t]*")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]*)")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)((?:\.[A-Za-z0-9_-]+)*)")
+#: The cipher and the initial vector of a PEM block whose body is encrypted.
+_DEK = re.compile(r"Proc-Type:\x20?4,ENCRYPTED\b.*?DEK-Info:\x20?[A-Z0-9-]+,([0-9A-Fa-f]{16}(?:[0-9A-Fa-f]{16})?)(?![0-9A-Fa-f])", re.S)
 _HEADERS = r"(?>(?:\s|\\[nr])*+(?:(?:Proc-Type|DEK-Info):\x20?[^\s\\]*+|[A-Z][A-Za-z0-9-]*+:\x20(?:(?!-----)[^\r\n\\])*+))*+"
 _PEM = re.compile(rf"-----BEGIN ([A-Z ]*PRIVATE KEY)-----({_HEADERS})([A-Za-z0-9+/=\s\\]{{16,}}?)-----END \1-----")
 
@@ -63,16 +67,14 @@ def der_fields(b: bytes, start: int, end: int) -> list[tuple[int, int, int]] | N
 def private_key(b: bytes) -> str | None:
     """The kind of private key that b encodes, if its whole structure fits."""
     if b.startswith(b"openssh-key-v1\0"):
-        at, fields = 15, 0
-        while at + 4 <= len(b) and fields < 3:
-            n = int.from_bytes(b[at : at + 4], "big")
-            at += 4 + n
-            fields += 1
-        return "openssh" if fields == 3 and at + 4 <= len(b) else None
+        return "openssh" if _openssh(b) else None
     top = der_length(b, 0)
     if top is None or top[0] != 0x30 or top[2] != len(b):
         return None
     fields = der_fields(b, top[1], top[2])
+    if fields and [t for t, _, _ in fields] == [0x30, 0x04] and fields[1][2] > fields[1][1]:  # EncryptedPrivateKeyInfo
+        inner = der_fields(b, *fields[0][1:])
+        return "pkcs8-encrypted" if inner and [t for t, _, _ in inner] == [0x06, 0x30] and der_fields(b, *inner[1][1:]) else None
     if not fields or fields[0][0] != 0x02 or fields[0][2] - fields[0][1] != 1:
         return None
     tags = [t for t, _, _ in fields]
@@ -85,6 +87,36 @@ def private_key(b: bytes) -> str | None:
     return None
 
 
+def _strings(b: bytes, at: int, n: int) -> list[bytes] | None:
+    """n strings, each after its length in four bytes, that fill b from at on, or n + 1 with what is left."""
+    found = []
+    for _ in range(n):
+        size = int.from_bytes(b[at : at + 4], "big")
+        if at + 4 + size > len(b):
+            return None
+        found.append(b[at + 4 : at + 4 + size])
+        at += 4 + size
+    return [*found, b[at:]]
+
+
+def _openssh(b: bytes) -> bool:
+    """Cipher, derivation and its options, one key, the public key beginning with its kind, the private part
+    in whole blocks; where there is no cipher, the private part begins with a number twice and the kind."""
+    top = _strings(b, 15, 3)
+    if top is None or top[3][:4] != b"\0\0\0\1" or not top[0] or not top[1]:
+        return False
+    keys = _strings(top[3], 4, 2)
+    if keys is None or keys[2] or not keys[1] or len(keys[1]) % 8:
+        return False
+    public = _strings(keys[0], 0, 1)
+    if public is None or not re.fullmatch(rb"[A-Za-z0-9@.-]{3,}", public[0]):
+        return False
+    if top[0] != b"none":
+        return True
+    private = _strings(keys[1], 8, 1)
+    return private is not None and keys[1][:4] == keys[1][4:8] and private[0] == public[0]
+
+
 def _base64(s: str) -> bytes | None:
     try:
         s = s.rstrip("=").replace("-", "+").replace("_", "/")
@@ -141,7 +173,8 @@ class _Reader:
 
 
 def _der_size(r: _Reader) -> int | None:
-    """The size that a DER value beginning here says it has, if a version number follows as in private keys."""
+    """The size that a DER value beginning here says it has, if a version number follows as in private keys,
+    or the algorithm of an encrypted one."""
     b = r.take(2)
     if b is None or b[0] != 0x30:
         return None
@@ -155,36 +188,31 @@ def _der_size(r: _Reader) -> int | None:
         n = int.from_bytes(b[2:], "big")
     start = 2 + size
     b = r.take(start + 2)
-    return start + n if b is not None and n >= 3 and b[start] == 0x02 and (b[start + 1] == 1 or b[start + 1] > 127) else None
+    if b is None or n < 3:
+        return None
+    return start + n if b[start] == 0x02 and (b[start + 1] == 1 or b[start + 1] > 127) or b[start] == 0x30 else None
 
 
-def _openssh_size(r: _Reader) -> tuple[int, bool] | None:
-    """The size of the OpenSSH private key that begins here (three strings, the number of keys, which is
-    one, a public key, the private part), or of its start up to that number, and whether it is whole."""
+def _openssh_size(r: _Reader) -> int | None:
+    """The size of the OpenSSH private key that begins here: three strings, the number of keys, which is
+    one, a public key, the private part."""
     at = 15
     for field in range(6):
         b = r.take(at + 4)
         if b is None:
-            return (start, False) if field > 3 else None
+            return None
         n, at = int.from_bytes(b[at:], "big"), at + 4
-        if field == 3:
-            start = at
-            if n != 1:
-                return start, False
-        else:
+        if field != 3:
             at += n
-    return (at, True) if r.take(at) else (start, False)
+        elif n != 1:
+            return None
+    return at
 
 
 def key_at(text: str, at: int) -> tuple[str, int] | None:
     """(kind, end) of a private key that begins in text at at."""
-    r, whole = _Reader(text, at, text[at] in "Mb"), True
-    if text[at] in "b6":
-        size, whole = _openssh_size(r) or (None, False)
-        if not whole:  # the end is not known: that of the run
-            r = _Reader(text, at, text[at] == "b")
-    else:
-        size = _der_size(r)
+    r = _Reader(text, at, text[at] in "Mb")
+    size = _openssh_size(r) if text[at] in "b6" else _der_size(r)
     if size is None or r.chars_for(size) < 40:
         return None
     b = r.take(size)
@@ -192,9 +220,9 @@ def key_at(text: str, at: int) -> tuple[str, int] | None:
     if kind is None:
         return None
     more = _PIECE[r.size].match(text, r.end)
-    if more and whole and r.wrapped:  # lines that happen to follow a cut key seldom fit to their end
+    if more and r.wrapped:  # lines that happen to follow a cut key seldom fit to their end
         return None
-    end = r.end if whole or more is None else more.end()
+    end = r.end
     for _ in range(2 if r.size == 4 else 0):
         end += text[end : end + 1] == "="
     return kind, end
@@ -205,12 +233,13 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
             body = _base64(re.sub(r"\s|\\n|\\r", "", m[3]))
-            if body and ("ENCRYPTED" in m[1] or "ENCRYPTED" in m[2] or private_key(body)):
+            cipher = _DEK.search(m[2])
+            if body and (len(body) % (len(cipher[1]) // 2) == 0 if cipher else private_key(body)):
                 found.append(("pem", *m.span()))
     if "eyJ" in text:
         for m in _TOKEN.finditer(text):
             head = _json(m[1])
-            if head and isinstance(head.get("alg"), str) and (_json(m[2]) is not None or "enc" in head):
+            if head and isinstance(head.get("alg"), str) and (not m[4] and _json(m[2]) is not None or m[4].count(".") == 2 and "enc" in head):
                 found.append(("jwt", *m.span()))
     at = 0
     while m := _START.search(text, at):
