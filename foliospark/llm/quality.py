@@ -155,9 +155,10 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Learns from at most max_labelled rows of docs(doc_id, text) with a label (doc_id, quality), none
-    of them in fold 0. Rows come to the driver as features, in order of id hash. Labels that are null,
-    or that differ for one id, count for nothing."""
+    """Learns from at most max_labelled documents of docs(doc_id, text) with a label (doc_id, quality), none
+    of them in fold 0: those with the least hash of their id. They come to the driver as features. Labels
+    that are null, or that differ for one id, count for nothing; rows that repeat an id count once, with
+    the least of their texts (a null text is empty)."""
     small_batches(spark)
     chosen = (
         labels.where((fold(F.col("doc_id")) != 0) & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
@@ -168,7 +169,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: i
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(max_labelled)
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "label_id").select("label_id", "quality", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "label_id").groupBy("label_id", "quality").agg(F.min("text").alias("text"))  # at most max_labelled
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +178,6 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: i
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
 
     found = sorted((r.id, r.y, tuple(r.x)) for r in rows.mapInArrow(extract, "id long, y long, x array<double>").toLocalIterator())
-    found = found[: 2 * max_labelled]  # ids may repeat in docs
     return Model(np.array([r[2] for r in found]).reshape(len(found), len(FEATURES)), np.array([float(r[1]) for r in found]))
 
 
