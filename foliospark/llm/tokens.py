@@ -241,8 +241,10 @@ class Encoder:
             part = at_once[a : a + 5000]
             ids = self.one(b"\n".join(strings[i] for i in part).decode())
             ends = np.flatnonzero(ids == self.line)
-            if len(ends) != len(part) - 1:
-                raise ValueError("a string was cut in another way than expected")
+            if len(ends) != len(part) - 1:  # some string was cut in another way than expected: one by one
+                for i in part:
+                    out[i] = self.one(strings[i].decode()).astype(f"<u{self.width}").tobytes()
+                continue
             packed = ids.astype(f"<u{self.width}").tobytes()
             for i, p, q in zip(part, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True):
                 out[i] = packed[p * self.width : q * self.width]
@@ -314,8 +316,9 @@ def encoder_of(path: str) -> Encoder:
 def write_shards(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Writes docs(id, text) as shards under path; the manifest (shard, file, n_docs, n_ids).
 
-    Rows go to shards by ranges of id, nulls first, repeated ids side by side in order of text. A null
-    text is empty and has the end id alone. path must be in a store that all executors share.
+    Rows go to shards by ranges of id, nulls first, repeated ids side by side in order of the text's hash,
+    then the text, so that a hot id is split too. A null text is empty and has the end id alone. path must
+    be in a store that all executors share.
     """
     small_batches(spark)
 
@@ -340,7 +343,9 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
         fs.move(f"{file}.part", file)
         yield pa.RecordBatch.from_pydict({"shard": [number], "file": [file.rpartition("/")[2]], "n_docs": [n], "n_ids": [shard.ids]})
 
-    rows = docs.select("id", "text").repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    order = [F.col("id").asc_nulls_first(), F.col("h")]
+    rows = docs.select("id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("id", "text")
     return stage(spark, rows.mapInArrow(write, "shard long, file string, n_docs long, n_ids long"), "manifest")
 
 

@@ -2,17 +2,19 @@
 
 import io
 import struct
+import tempfile
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from foliospark.llm.tokens import Encoder, ShardReader, ShardWriter, id_of, key_of, tokenized
+from foliospark.llm.tokens import Encoder, ShardReader, ShardWriter, id_of, key_of, tokenized, write_shards
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
@@ -43,6 +45,25 @@ class Bytes:
         return self.b[at : at + n]
 
 
+def test_strings_that_are_cut_otherwise_are_encoded_one_by_one(monkeypatch):
+    encoder = Encoder(PATH)
+    encoder.line = PLAIN.encode(" the").ids[0]  # now no newline is where it is looked for
+    for t, ids in zip(ODD, encoder.encode(pa.array(ODD, pa.string())), strict=True):
+        assert ids.tolist() == PLAIN.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_a_hot_id_is_dealt_over_shards(spark):
+    rows = [(7, f"text {i}") for i in range(4_000)] + [(None, f"null {i}") for i in range(4_000)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(8)
+    path = "file://" + tempfile.mkdtemp()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = write_shards(spark, df, path, PATH).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len([r for r in shards if r.n_docs]) > 2 and max(r.n_docs for r in shards) < 4_000
+
+
 def test_lookup_by_identifier():
     out = io.BytesIO()
     w = ShardWriter(out, 2)
@@ -71,7 +92,8 @@ def test_round_trip_over_a_table(spark):
     df = spark.createDataFrame([(i, t, 1, 2, "f") for i, t in rows], "doc_id long, text string, id long, start long, file string")
     got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenized(spark, df).collect()]
     want, at = [], 0
-    for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
+    hash_ = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + 2**63) % 2**64  # noqa: E731  Spark's, in signed order
+    for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hash_(x[1]), x[1] is not None)):
         ids = [*PLAIN.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         at += len(ids)
