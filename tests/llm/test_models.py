@@ -1,5 +1,9 @@
 """The classifier by held-out accuracy, lattice hashing by brute force, the pipeline step by step."""
 
+import math
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -20,6 +24,60 @@ def test_features_and_model():
     assert quality.Model(np.zeros((0, 3)), np.zeros(0)).score(np.zeros((2, 3))).tolist() == [0.5, 0.5]
 
 
+def plain_score(model, x):
+    """The sum of table entries, one row, feature and bin at a time."""
+    out = []
+    for row in x.tolist():
+        bin_of = lambda edges, v: sum(1 for e in edges.tolist() if e <= v)
+        total = model.base
+        for f, v in enumerate(row):
+            total += model.tables[f].tolist()[bin_of(model.edges[f], v)]
+        for f, g, grid in model.pairs:
+            total += grid.tolist()[bin_of(model.coarse[f], row[f])][bin_of(model.coarse[g], row[g])]
+        out.append(1 / (1 + math.exp(-total)))
+    return out
+
+
+def plain_features(t):
+    b = (t or "").encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", b) if w]
+    lines = re.findall(rb"[^\n]*\n|[^\n]+", b)
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    kinds = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" ", "line": b"\n", "stop": b".,;:?", "shout": b"!", "bar": b"|", "sign": b"#$%&*@^~<>{}[]\\/=+_`", "high": bytes(range(128, 256))}
+    n = {k: sum(c in v for c in b) for k, v in kinds.items()}
+    lower_lines = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in lines]
+    return [
+        math.log1p(len(b)), math.log1p(len(words)), sum(map(len, words)) / max(1, len(words)), *(x / max(1, len(b)) for x in n.values()),
+        n["upper"] / max(1, n["upper"] + n["lower"]), len(set(low)) / max(1, len(words)), len(set(lower_lines)) / max(1, len(lines)), len(words) / max(1, len(lines)),
+    ]
+
+
+def test_scores_equal_a_plain_sum_of_table_entries(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(spark, docs, labels)
+    assert model.pairs and any(t.any() for t in model.tables)
+    odd = [(9001, None), (9002, ""), (9003, "\n\n"), (9004, "w " * 30_000), (None, "null id"), (9005, "é" * 5_000)]
+    few = [(r.doc_id, r.text) for r in docs.limit(150).collect()] + odd
+    df = spark.createDataFrame([(*r, 1.0, True, "x") for r in few], "doc_id long, text string, score double, held_out boolean, quality string")
+    got = {r.doc_id: r.score for r in quality.scored(spark, df, model).collect()}
+    want = dict(zip((i for i, _ in few), plain_score(model, np.array([plain_features(t) for _, t in few])), strict=True))
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    kept = quality.accepted(spark, df, model)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, s in want.items() if s >= 0.3}
+
+
+def test_learning_takes_each_labelled_document_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i % 7} {k}") for i in range(40) for k in range(30)] + [(3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "Model", lambda x, y: seen.append((x, y)))
+    quality.fit(spark, docs, labels)
+    quality.fit(spark, docs, labels, max_labelled=10)
+    fold = {i for i in range(40) if zlib.crc32(str(i).encode()) % 5}
+    assert len(seen[0][1]) == len(fold) and len(seen[1][1]) == 10
+    assert sorted(seen[0][0].tolist()) == sorted(quality.features(pa.array([None if i == 3 else min(f"text {i % 7} {k}" for k in range(30)) for i in fold])).tolist())
+
+
 def test_held_out_accuracy(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = registry.QUERIES["op6_quality_gam"](spark, SF).collect()
