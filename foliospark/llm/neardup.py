@@ -276,5 +276,23 @@ def near_duplicates(
     )
 
 
+def deduplicated(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay: one document of each group, the one with the smallest id, and one row of
+    it; of rows with a null id, one for each text. All columns as they are."""
+    gone = near_duplicates(spark, docs, k, percent, id_col, text_col).where("not kept").select(id_col).distinct()
+    gone = stage(spark, gone, "gone")
+    left = docs.join(broadcast_if_small(gone, gone.count()), id_col, "left_anti").select(*docs.columns)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = left.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.when(F.col(id_col).isNull(), F.md5(text)).alias("own"), F.xxhash64(text).alias("h"))
+    twice = stage(spark, keyed.groupBy("id", "own").count().where("count > 1").select(F.col("id").alias("id_"), F.col("own").alias("own_")), "repeated")
+    n = twice.count()
+    if not n:
+        return left
+    same = F.col("id").eqNullSafe(F.col("id_")) & F.col("own").eqNullSafe(F.col("own_"))
+    twice = broadcast_if_small(twice, n)
+    ones = keyed.join(twice, same, "left_semi").groupBy("id", "own").agg(F.min_by("row", "h").alias("row"))
+    return keyed.join(twice, same, "left_anti").select("row").unionByName(ones.select("row")).select("row.*")
+
+
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), k=3, percent=85)

@@ -3,7 +3,7 @@
 import random
 import re
 
-from foliospark.llm.neardup import near_duplicates, rest_links
+from foliospark.llm.neardup import deduplicated, near_duplicates, rest_links
 
 
 def shingle_set(text, k):
@@ -94,3 +94,14 @@ def test_blocks_of_one_centre_are_dealt_over_tasks(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     top = plan[plan.index("FlatMapGroupsInArrow") :]
     assert re.search(r"hashpartitioning\(b#\d+L?, i#\d+L?, j#\d+L?", top[: top.index("Union")]), plan
+
+
+def test_one_row_of_each_group_stays(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, long, 1), (5, long, 1), (9, long, 2), (5, "other words of five", 3), (None, "x", 4), (None, "x", 4), (None, "y", 4), (None, None, 5), (None, "", 5), (8, "alone", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    got = deduplicated(spark, df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, r.row) for r in got.collect()) in ([(0, 4), (0, 4), (0, 5), (5, 1), (8, 6)], [(0, 4), (0, 4), (0, 5), (5, 3), (8, 6)])
+    assert deduplicated(spark, df.limit(0)).collect() == []
+    assert {r.doc_id for r in deduplicated(spark, df.where("row in (2, 6)")).collect()} == {8, 9}
