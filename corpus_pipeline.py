@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import decontam, mixing, neardup, quality, tokens
-from foliospark.llm.common import broadcast_if_small, stage, table
+from foliospark.llm.common import stage, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +20,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays: five words, similarity 0.8 or more."""
-    found = neardup.near_duplicates(spark, docs, k=5, percent=80)
-    gone = stage(spark, found.where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(broadcast_if_small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    """One row of the document with the smallest id of each group stays: five words, similarity 0.8 or more."""
+    return neardup.deduplicated(spark, docs, k=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +46,8 @@ STAGES = [
     ("mixing sources", mix_sources),
     ("token-id output", write_tokens),
 ]
-#: The classifier, MinHash and the tokenizer are not SQL; tests/llm/test_pipeline.py has brute force.
+#: The classifier, MinHash and the tokenizer are not SQL; tests/llm/test_models.py has each stage
+#: against its parts and the near-duplicates against brute force.
 ORACLE_SQL = None
 
 
