@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,22 +140,48 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def met_before(a: np.ndarray, b: np.ndarray, t: int, a_visits: bool, a_less: np.ndarray) -> np.ndarray:
-    """Whether pairs with visited cells a and b (int64[n, tables, probes]) meet before table t, or in it
-    by the visit of the vector with the smaller id when it is the other that visits here."""
-    found = np.zeros(len(a), bool)
-    for s in range(t):
-        found |= (a[:, s] == b[:, s, :1]).any(axis=1) | (b[:, s] == a[:, s, :1]).any(axis=1)
-    visitor_less = a_less if a_visits else ~a_less
-    other = (b[:, t] == a[:, t, :1]).any(axis=1) if a_visits else (a[:, t] == b[:, t, :1]).any(axis=1)
-    return found | (~visitor_less & other)
+#: Cells of vectors that a Python process remembers, as a vector comes by once in each table at least.
+REMEMBERED = 1 << 14
+_seen: dict = {"run": None}
+
+
+def remembered(run: str, ids: np.ndarray, unit: np.ndarray, blocks: int, tables: int) -> np.ndarray:
+    """cells of the vectors with these ids; those of one run are computed once a process, as far as they fit."""
+    if _seen["run"] != run or len(_seen["at"]) + len(ids) > REMEMBERED:
+        _seen.update(run=run, at={}, cells=np.empty((max(REMEMBERED, len(ids)), tables, PROBES), np.int64))
+    at: dict[int, int] = _seen["at"]
+    new = [k for k, i in enumerate(ids.tolist()) if i not in at]
+    if new:
+        first = len(at)
+        _seen["cells"][first : first + len(new)] = cells(unit[new], blocks, tables)
+        at.update((i, first + n) for n, i in enumerate(ids[new].tolist()))
+    return _seen["cells"][[at[i] for i in ids.tolist()]]
+
+
+def first_meetings(linked: np.ndarray, a: np.ndarray, b: np.ndarray, t: int, less: np.ndarray) -> np.ndarray:
+    """Of linked pairs (a boolean matrix of guests and hosts of a cell of table t, with cells a and b) those
+    that meet nowhere before: in no earlier table, nor in this one by the visit of the vector with the
+    smaller id (less: the guest has it) when it is the other that visits here."""
+    for s in range(t + 1):
+        if not linked.any():
+            break
+        _, code = np.unique(np.concatenate([a[:, s].ravel(), b[:, s].ravel()]), return_inverse=True)
+        code = code.astype(np.int32)
+        x, y = code[: a[:, s].size].reshape(-1, PROBES), code[a[:, s].size :].reshape(-1, PROBES)
+        back = np.zeros(linked.shape, bool)
+        for p in range(PROBES):
+            back |= y[:, p] == x[:, :1]
+            if s < t:
+                back |= x[:, p : p + 1] == y[:, 0]
+        linked = linked & ~(back if s < t else back & ~less)
+    return linked
 
 
 def links(spark: SparkSession, classes: DataFrame, n: int, cosine: float = COSINE) -> DataFrame:
     """(id, n, other) from the n rows of classes(id, v, weight): rows to be summed, n being links of id to
     vectors of other classes, and links (id, other) that connect all that is linked. Vectors of different
     lengths never meet."""
-    blocks, tables = plan(n)
+    (blocks, tables), run = plan(n), uuid.uuid4().hex
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,14 +221,12 @@ def links(spark: SparkSession, classes: DataFrame, n: int, cosine: float = COSIN
             t = rows["t"][0].as_py()
             x, y = x[linked.any(axis=1)], y[linked.any(axis=0)]
             linked = linked[linked.any(axis=1)][:, linked.any(axis=0)]
-            a, b = cells(unit[x], blocks, tables), cells(unit[y], blocks, tables)
-            for s in range(min(t, 2)):  # most have met in the first tables
-                for p in range(PROBES):
-                    linked &= (a[:, s, p][:, None] != b[:, s, 0]) & (b[:, s, p] != a[:, s, 0][:, None])
+            who, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+            who_ids, first, same = np.unique(ids[who], return_index=True, return_inverse=True)
+            got = remembered(run, who_ids, unit[who[first]], blocks, tables)[same][at]
+            linked = first_meetings(linked, got[: len(x)], got[len(x) :], t, ids[x][:, None] < ids[y])
             i, j = np.nonzero(linked)
-            less = ids[x[i]] < ids[y[j]]
-            new = np.concatenate([np.zeros(0, bool), *(~met_before(a[i[c : c + 4096]], b[j[c : c + 4096]], t, True, less[c : c + 4096]) for c in range(0, len(i), 4096))])
-            x, y = x[i[new]], y[j[new]]
+            x, y = x[i], y[j]
             np.add.at(counts, x, weight[y])
             np.add.at(counts, y, weight[x])
         else:
