@@ -39,8 +39,13 @@ def combine(questions: DataFrame, papers: DataFrame, title: str) -> tuple[DataFr
     order = F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(" ", "year", "paper").alias("name"))))
     head = papers.agg(F.sum("durationMinutes").alias("durationMinutes"), F.array_join(F.transform(order, lambda x: x["name"]), " + ").alias("year"))
     head = head.select(F.lit(title).alias("title"), tx.paper_id(F.lit(title), F.lit(None).cast("string")).alias("id"), "year", "durationMinutes")
-    numbered = questions.join(papers.select("paper_id", "pos"), "paper_id").withColumn("number", F.row_number().over(Window.orderBy("pos", "number")))
-    return head, numbered.drop("pos")
+    counts = questions.groupBy("paper_id").agg(F.count("*").alias("n")).join(papers.select("paper_id", "pos"), "paper_id")
+    held = F.array_sort(F.collect_list(F.struct("pos", "paper_id", "n")))  # one row per paper of one collection
+    ahead = F.transform("c", lambda x, i: F.struct(x["paper_id"].alias("paper_id"), F.aggregate(F.slice("c", F.lit(1), i), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("ahead")))
+    offsets = counts.agg(held.alias("c")).select(F.inline(ahead))
+    own = F.row_number().over(Window.partitionBy("paper_id").orderBy("number"))
+    numbered = questions.withColumn("number", own).join(offsets, "paper_id").withColumn("number", (F.col("number") + F.col("ahead")).cast("int"))
+    return head, numbered.select(questions.columns)
 
 
 def unique_names(names: DataFrame, name: str, order: str) -> DataFrame:

@@ -9,6 +9,8 @@ is at most a few hundred glyphs, so a group is small; groups are dealt by (paper
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,7 +28,9 @@ COMMANDS = {
     "α": r"\alpha", "β": r"\beta", "γ": r"\gamma", "δ": r"\delta", "θ": r"\theta", "λ": r"\lambda", "μ": r"\mu", "π": r"\pi", "σ": r"\sigma", "φ": r"\phi", "ω": r"\omega", "Σ": r"\Sigma", "Δ": r"\Delta",
     "≤": r"\leq", "≥": r"\geq", "≠": r"\neq", "×": r"\times", "÷": r"\div", "±": r"\pm", "·": r"\cdot", "∞": r"\infty", "∈": r"\in", "→": r"\to", "∑": r"\sum", "∫": r"\int", "∏": r"\prod", "−": "-",
 }
-FUNCTIONS = ("sin", "cos", "tan", "log", "ln", "max", "min", "lim")
+# Function words, and those of them that have no command.
+FUNCTIONS = frozenset("arcsin arccos arctan sinh cosh tanh sin cos tan sec cosec csc cot log ln exp lim max min det gcd lcm hcf deg arg".split())
+NO_COMMAND = frozenset(["lcm", "hcf"])
 # Operators with limits above and below; how a numbered statement begins.
 BIG = {"∑": r"\sum", "∏": r"\prod", "∫": r"\int", "∮": r"\oint", "⋃": r"\bigcup", "⋂": r"\bigcap"}
 STATEMENT = re.compile(r"(?:(?:I{1,3}|IV|VI{0,3}|IX|X)\.?|\((?:[a-h]|i{1,3}|iv|vi{0,3}|\d{1,2})\)|(?:[a-h]|i{1,3}|iv)\)|\d{1,2}[.)]|[PQRS]:)(?=\s)")
@@ -67,7 +71,7 @@ def read_row(parts: list[Piece]) -> list[Piece]:
     parts = sorted(parts, key=lambda p: (p.x0, p.x1))
     body = max((p.size for p in parts), default=1.0)
     full = [p.base for p in parts if p.size >= SCRIPT_SIZE * body]
-    base = sorted(full)[len(full) // 2] if full else 0.0
+    base = median(full) if full else 0.0
     for p in parts:
         small, rise = p.size < SCRIPT_SIZE * body, (base - p.base) / body
         if row and small and rise > RAISED:
@@ -79,15 +83,29 @@ def read_row(parts: list[Piece]) -> list[Piece]:
     return row
 
 
+def function_words(row: list[Piece]) -> list[Piece]:
+    """row with upright letters that make a function word as one piece with its command. A word is a run of
+    letters side by side, with scripts at its end at most; part of a longer word is none."""
+    letter = lambda p: not p.maths and len(p.tex) == 1 and p.tex.isascii() and p.tex.isalpha()
+    ends = [not (letter(a) and letter(b)) or b.x0 - a.x1 > WORD_GAP * b.size or b.space or bool(a.up or a.down) for a, b in itertools.pairwise(row)]
+    word_of = list(itertools.accumulate(ends, initial=0)) if row else []
+    out: list[Piece] = []
+    for _, group in itertools.groupby(zip(word_of, row, strict=True), key=lambda x: x[0]):
+        word = [p for _, p in group]
+        name = "".join(p.tex for p in word)
+        if len(word) > 1 and name in FUNCTIONS:
+            new = _built(word, "\\operatorname{" + name + "}" if name in NO_COMMAND else "\\" + name, word[0].base)
+            new.up, new.down = word[-1].up, word[-1].down
+            word = [new]
+        out += word
+    return out
+
+
 def row_tex(parts: list[Piece]) -> str:
     out = ""
-    for p in read_row(parts):
+    for p in function_words(read_row(parts)):
         tex = _with_scripts(p)
-        if out and out[-1].isalpha() and tex[:1].isalpha() and out[out.rfind("\\") :].startswith("\\") and out.rfind("\\") >= 0 and out[out.rfind("\\") + 1 :].isalpha():
-            out += " "
-        out += tex
-    for f in FUNCTIONS:
-        out = out.replace(f, "\\" + f) if f in out and "\\" + f not in out else out
+        out += " " + tex if tex[:1].isalpha() and re.search(r"\\[A-Za-z]+\Z", out) else tex
     return out
 
 
@@ -182,11 +200,12 @@ def line_parts(parts: list[Piece], body: float) -> list[tuple[str, bool]]:
         last = p
     out: list[tuple[str, bool]] = []
     for w in words:
+        w = function_words(w)
         maths = any(p.maths or p.up or p.down for p in w) or len(w) == 1 and w[0].tex in _SIGNS
         tail = ""
         while maths and len(w) > 1 and w[-1].tex in ".,;:?" and not w[-1].up:
             tail, w = w[-1].tex + tail, w[:-1]
-        tex = "".join(_with_scripts(p) for p in w)
+        tex = functools.reduce(lambda a, b: a + " " + b if b[:1].isalpha() and re.search(r"\\[A-Za-z]+\Z", a) else a + b, map(_with_scripts, w), "")
         if maths and out and out[-1][1]:
             out[-1] = (out[-1][0] + " " + tex, True)
         else:
@@ -234,33 +253,39 @@ def set_lines(lines: list[list[Piece]], body: float) -> list[Line]:
 def paragraphs(lines: list[Line], body: float) -> str:
     """Lines as paragraphs, a blank line between them. A paragraph begins at display maths and after it,
     at more space than is usual, at an indented line, at a numbered statement, and at a line back at the
-    margin after one. The second line of a statement, further in than its number, belongs to it."""
-    plain = [(a, b) for a, b in zip(lines, lines[1:], strict=False) if a.page == b.page and not a.display and not b.display]
-    usual = median(b.y0 - a.y1 for a, b in plain) if plain else 0.3 * body
-    most = min(max(0.7 * body, usual + 0.45 * body), body)
-    done: list[str] = []
-    head: Line | None = None
-    before: Line | None = None
-    shown = False
-    for line in lines:
-        text = line.display or line.inline
-        if not text:
-            continue
-        numbered, under_number = STATEMENT.match(text), head is not None and STATEMENT.match(head.display or head.inline)
-        gap = usual if before and before.page != line.page else line.y0 - before.y1 if before else 0.0
-        same_page = before is not None and before.page == line.page
-        if under_number and not numbered and same_page and gap <= body and line.x0 > head.x0 + 0.8 * body:
-            done[-1] += " " + line.inline
-            before, shown = line, False
-            continue
-        new = before is None or line.display or shown or gap > most or line.x0 > before.x0 + 0.8 * body or numbered or (under_number and line.x0 < before.x0 - 0.8 * body)
-        if new:
-            done.append(text)
-            head = line
-        else:
-            done[-1] += ("" if done[-1].endswith("-") else " ") + text
-        before, shown = line, line.display is not None
-    return "\n\n".join(p.strip() for p in done if p.strip())
+    margin after one. The second line of a statement, further in than its number, belongs to it.
+
+    What can be said of a line and the one before is a table of columns; the line that each is headed by is
+    then folded from the breaks, as two conditions need the head.
+    """
+    t = pd.DataFrame([(x.page, x.x0, x.y0, x.y1, x.display, x.inline) for x in lines if x.display or x.inline], columns=["page", "x0", "y0", "y1", "display", "inline"])
+    if t.empty:
+        return ""
+    t["text"] = t["display"].where(t["display"].notna(), t["inline"])
+    t["shown"], t["numbered"] = t["display"].notna(), t["text"].map(lambda s: bool(STATEMENT.match(s)))
+    before = t.shift(1)
+    same_page = t["page"] == before["page"]
+    space, step = (t["y0"] - before["y1"]).where(same_page), (t["x0"] - before["x0"]) / body
+    usual = space[~t["shown"] & ~before["shown"].eq(True)].median()
+    usual = 0.3 * body if pd.isna(usual) else usual
+    space = space.fillna(usual)
+    wide = space > min(max(0.7 * body, usual + 0.45 * body), body)
+    breaks = (t["shown"] | wide | (step > 0.8) | t["numbered"]).tolist()
+    goes_on, x0, numbered, shown, back = ((same_page & (space <= body) & ~t["numbered"]).tolist(), *(t[c].tolist() for c in ("x0", "numbered", "shown")), (step < -0.8).tolist())
+
+    def head_of(state: tuple[int, bool], i: int) -> tuple[int, bool]:
+        """(head of line i, whether i goes on a statement) from those of the line before."""
+        head, went_on = state
+        if numbered[head] and goes_on[i] and x0[i] > x0[head] + 0.8 * body:
+            return head, True
+        after_shown = shown[i - 1] and not went_on
+        return (i if breaks[i] or after_shown or (numbered[head] and back[i]) else head), False
+
+    states = list(itertools.accumulate(range(1, len(t)), head_of, initial=(0, False)))
+    t["head"] = [head for head, _ in states]
+    t["said"] = t["inline"].where(pd.Series([on for _, on in states]), t["text"])
+    glued = lambda part: functools.reduce(lambda a, b: a + ("" if a.endswith("-") else " ") + b, part)
+    return "\n\n".join(p for p in t.groupby("head")["said"].agg(glued).str.strip() if p)
 
 
 def question_text(glyphs: list[dict], rules: list) -> tuple[str, list[str]]:
@@ -279,8 +304,7 @@ def question_text(glyphs: list[dict], rules: list) -> tuple[str, list[str]]:
     problems += ["a root sign has no bar" for p in pieces if p.tex == "√"]
     lines: list[list[Piece]] = []
     for p in sorted((p for p in pieces if p.size >= SCRIPT_SIZE * body), key=lambda p: (p.page, p.base, p.x0)):
-        bases = sorted(q.base for q in lines[-1]) if lines else []
-        if lines and lines[-1][0].page == p.page and p.base - bases[len(bases) // 2] < LINE_STEP * body:
+        if lines and lines[-1][0].page == p.page and p.base - median(q.base for q in lines[-1]) < LINE_STEP * body:
             lines[-1].append(p)
         else:
             lines.append([p])
