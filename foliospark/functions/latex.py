@@ -11,58 +11,60 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _rows(name: str) -> T.ArrayType:
-    return T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n == "offset" else T.StringType()) for n in name.split()]))
+_PARTS = T.StructType([
+    T.StructField("segments", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("offset", T.IntegerType())]))),
+    T.StructField("problems", T.ArrayType(T.StructType([T.StructField("problem", T.StringType()), T.StructField("offset", T.IntegerType())]))),
+])
+_MARK = re.compile(r"[\\${}]")
 
 
 def segments(s: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str, int]]]:
-    """(kind, text, offset) of text, inline and display parts, and (problem, offset).
-
-    A dollar sign opens maths; the matching one closes it, where escapes and what is in braces do not
-    count, so that an open brace can hide it: then the rest is text. A backslash before a dollar sign in
-    text is a problem, and so are a single one in display maths and maths without content.
+    """(kind, text, offset) of text, inline and display parts, offset being that of text, and (problem, offset
+    of the dollar sign).
+
+    One fold over backslashes, dollar signs and braces. In text only a dollar sign counts, escaped or not:
+    it opens maths, display maths if doubled. In maths a backslash hides the character after it, braces are
+    counted, and the same mark with no brace open closes; so an open brace can hide it, and what is not
+    closed is text. Problems: such maths, an escaped dollar sign that opens, a single one in display maths,
+    maths without content.
     """
-    s, out, problems, i, start = s or "", [], [], 0, 0
-    while (i := s.find("$", i)) >= 0:
-        if i and s[i - 1] == "\\":
-            problems.append(("escaped-dollar", i))
-        mark = "$$" if s.startswith("$$", i) else "$"
-        depth, j = 0, i + len(mark)
-        while j < len(s):
-            if s[j] == "\\":
-                j += 2
-                continue
-            if depth <= 0 and s.startswith(mark, j):
-                break
-            depth += {"{": 1, "}": -1}.get(s[j], 0)
-            j += 1
-        if j >= len(s):
-            problems.append(("unclosed", i))
-            break
-        body = s[i + len(mark) : j]
-        if mark == "$$" and re.search(r"(?<!\\)\$", body):
-            problems.append(("single-dollar", i))
-        if not body.strip():
-            problems.append(("empty", i))
-        if start < i:
-            out.append(("text", s[start:i], start))
-        out.append(("display" if mark == "$$" else "inline", body, i))
-        i = start = j + len(mark)
-    if start < len(s):
-        out.append(("text", s[start:], start))
-    return out, problems
-
-
-@F.pandas_udf(_rows("kind text offset"))
-def split_math(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for x in s:
-        yield x.map(lambda t: [{"kind": k, "text": b, "offset": o} for k, b, o in segments(t)[0]])
-
-
-@F.pandas_udf(_rows("problem offset"))
-def math_problems(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    s = s or ""
+    parts, problems = [], []
+    done = upto = 0  # what is in parts already, and where marks count again
+    mark, begun, depth = "", 0, 0  # the open maths, if mark
+    for m in _MARK.finditer(s):
+        at, c = m.start(), m[0]
+        if at < upto:
+            continue
+        if not mark:
+            if c == "$":
+                mark, begun, depth = s[at : at + 2] if s[at + 1 : at + 2] == "$" else c, at, 0
+                upto = at + len(mark)
+        elif c == "\\":
+            upto = at + 2
+        elif c != "$":
+            depth += 1 if c == "{" else -1
+        elif depth <= 0 and s.startswith(mark, at):
+            inner = begun + len(mark)
+            parts += [("text", s[done:begun], done)] * (done < begun) + [("display" if mark == "$$" else "inline", s[inner:at], inner)]
+            flaws = {"escaped-dollar": s[:begun].endswith("\\"), "single-dollar": mark == "$$" and re.search(r"(?<!\\)\$", s[inner:at]), "empty": not s[inner:at].strip()}
+            problems += [(name, begun) for name, found in flaws.items() if found]
+            done = upto = at + len(mark)
+            mark = ""
+    if mark:
+        problems.append(("unclosed", begun))
+    return parts + [("text", s[done:], done)] * (done < len(s)), problems
+
+
+@F.pandas_udf(_PARTS)
+def math_parts(s: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Both results of segments, from one reading of each string."""
     for x in s:
-        yield x.map(lambda t: [{"problem": p, "offset": o} for p, o in segments(t)[1]])
+        found = [segments(t) for t in x]
+        yield pd.DataFrame({
+            "segments": [[{"kind": k, "text": b, "offset": o} for k, b, o in parts] for parts, _ in found],
+            "problems": [[{"problem": p, "offset": o} for p, o in flaws] for _, flaws in found],
+        })
 
 
 def commands(s: Column) -> Column:

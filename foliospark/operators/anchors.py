@@ -14,7 +14,8 @@ from foliospark.functions import geometry as g
 from foliospark.operators.layout import densest
 from foliospark.operators.pagelayer import PAGE
 
-LABELS = "ABCDEFGH"
+# Fixed value: the letters of options.
+LABELS = "ABCDEFGHIJ"
 _NUMBER = r"^([0-9]{1,3})[.):]?(?:\s|\z)"
 _WORDED = r"^(?:Question|Q)\s*([0-9]{1,3})(?![0-9])[.):]?"
 
@@ -71,7 +72,7 @@ def question_anchors(lines: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def label_candidates(glyphs: DataFrame, keys: list[str], size: Column) -> DataFrame:
-    """(keys, line, k, label, last, strong, ...): letters A to H written A, (A), A. or A) that stand apart.
+    """(keys, line, k, label, last, strong, ...): letters A to J written A, (A), A. or A) that stand apart.
 
     glyphs(keys, line, k, ch, math_font, bold, ocr, x0, x1): k counts the glyphs of a line from the left.
     strong says whether the space after the label tells it from a word."""
@@ -156,8 +157,8 @@ def label_rows(blobs: DataFrame, letters: DataFrame, keys: list[str], size: floa
     """(keys, pos, label, page, box): labels in a picture by their ink, even where OCR misreads them.
 
     The label column is where most letters(keys, x0) are, within 3 points, two at least. A label is a
-    blob(keys, page, box) of a letter's size in that column with free space after it; the first eight in
-    reading order are A to H."""
+    blob(keys, page, box) of a letter's size in that column with free space after it; the first ten in
+    reading order are A to J."""
     col = densest(letters.select(*keys, F.bround("x0").cast("long").alias("x0")), keys, "x0", 2).select(*keys, F.col("densest").cast("double").alias("col"))
     rows = blobs.join(col, keys)
     w, h = g.width(g.box()), g.height(g.box())

@@ -32,7 +32,7 @@ def joined_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
 def furniture_keys(lines: DataFrame, group: str, page: str, share: float = 0.5, least: int = 3) -> DataFrame:
     """(group, key): line shapes on enough distinct pages of a group to be running headers or feet;
     numbers, question starts and option labels never are."""
-    keyed = lines.withColumn("key", furniture_key(F.col("line"))).where((F.col("key") != "") & ~F.col("key").rlike(r"^#+\.?$|^question #+|^\(?[a-h][).]?$"))
+    keyed = lines.withColumn("key", furniture_key(F.col("line"))).where((F.col("key") != "") & ~F.col("key").rlike(r"^#+\.?$|^question #+|^\(?[a-j][).]?$"))
     pages = lines.groupBy(group).agg(F.count_distinct(page).alias("n_pages"))
     seen = keyed.select(group, page, "key").distinct().groupBy(group, "key").agg(F.count("*").alias("n"))
     need = F.greatest(F.lit(least), F.floor(F.col("n_pages") * share + 0.5))
@@ -175,7 +175,7 @@ def page_anchors(lines: DataFrame, key: str = "paper_id") -> DataFrame:
 def label_run(lines: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
     """(keys, n, start): the longest run of option labels A, B, C, ... in order, the latest of equally
     long ones; labels are written A, (A), A. or A)."""
-    letter = F.regexp_extract(text, r"^\s*\(?([A-H])(?:[).]|\s|\z)", 1)
+    letter = F.regexp_extract(text, r"^\s*\(?([A-J])(?:[).]|\s|\z)", 1)
     rows = lines.withColumn("_l", letter).where("_l <> ''").withColumn("_l", F.ascii("_l") - 65)
     at = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col("_l").alias("l"))))
     none = F.struct(F.lit(0).alias("n"), F.lit(-1).cast("long").alias("start"))

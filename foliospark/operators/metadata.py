@@ -72,8 +72,8 @@ def plain_questions(lines: DataFrame, keys: list[str]) -> DataFrame:
 
     def step(a: Column, row: Column) -> Column:
         text, n = F.trim(row["text"]), F.size(a["options"])
-        label = F.regexp_extract(text, r"^\(?([A-H])(?:[).]|\s|\z)", 1)
-        rest = F.trim(F.regexp_replace(text, r"^\(?[A-H][).]*", ""))
+        label = F.regexp_extract(text, r"^\(?([A-J])(?:[).]|\s|\z)", 1)
+        rest = F.trim(F.regexp_replace(text, r"^\(?[A-J][).]*", ""))
         new = F.struct(label.alias("label"), rest.alias("content"))
         last = F.get(a["options"], n - 1)
         longer = F.concat(F.slice(a["options"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.struct(last["label"].alias("label"), glue(last["content"], text).alias("content"))))

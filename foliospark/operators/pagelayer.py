@@ -20,7 +20,7 @@ DRAWING_FONT = r"(?i)^(?:[A-Z]{6}\+)?(?:line|lcircle|linew|lcirclew)[0-9]*\z"
 BOLD_FONT, ITALIC_FONT = r"(?i)bold|black", r"(?i)italic|oblique"
 MATH_FONT = r"(?i)math|cmmi|cmsy|cmex|symbol|stix"
 DASHES = "—–-_─‒―"
-LABEL, NUMBER_ONLY, QUESTION_START = r"^\(?[A-H](?:[).]|\s|\z)", r"^[0-9]{1,3}\z", r"^(?:Question\s+|Q\s*)?[0-9]{1,3}[.):]?(?:\s|\z)"
+LABEL, NUMBER_ONLY, QUESTION_START = r"^\(?[A-J](?:[).]|\s|\z)", r"^[0-9]{1,3}\z", r"^(?:Question\s+|Q\s*)?[0-9]{1,3}[.):]?(?:\s|\z)"
 
 
 def _side(df: DataFrame, prefix: str, *more: str) -> DataFrame:

@@ -135,12 +135,13 @@ def string_issues(rows: DataFrame, keys: list[str], text: str, known: Iterable[s
     maths = F.contains(s, F.lit("$"))
     only_text = F.array(F.struct(F.lit("text").alias("kind"), s.alias("text"), F.lit(0).alias("offset")))
     seen = F.when(maths, s)  # Python gets only strings with maths
-    held = held.select("*", F.when(maths, latex.split_math(seen)).otherwise(only_text).alias("_segs"), latex.math_problems(seen).alias("_problems"))
+    held = held.withColumn("_m", latex.math_parts(seen))
+    held = held.select("*", F.when(maths, F.col("_m.segments")).otherwise(only_text).alias("_segs"), F.when(maths, F.col("_m.problems")).alias("_problems"))
     found = F.concat(
         character_issues(s),
         _rule("warning", "mojibake", s.rlike(MOJIBAKE), "looks like text in a wrong code page"),
         command_issues(s, known),
-        F.transform("_problems", lambda p: _issue("error", "dollar-balance", F.concat(p["problem"], F.lit(" at offset "), p["offset"].cast("string")))),
+        F.coalesce(F.transform("_problems", lambda p: _issue("error", "dollar-balance", F.concat(p["problem"], F.lit(" at offset "), p["offset"].cast("string")))), _none()),
         F.flatten(F.transform("_segs", lambda seg: segment_issues(seg, supported))),
     )
     found = F.when(s.isNull(), F.array(_issue("error", "type", "not a string"))).when(s.rlike(r"^\s*\z"), F.array(_issue("error", "empty", "the string is empty"))).otherwise(found)
@@ -281,7 +282,14 @@ def paper_issues(
         rules = F.concat(_rule("error", "option-keys", odd_keys, listed(keys)), _rule("error", "option-label", ~label.eqNullSafe(F.char(i + 65)), F.coalesce(label, F.lit("none"))))
         return F.when(_kind(o).startswith("OBJECT"), rules).otherwise(F.array(_issue("error", "option-type", "not an object")))
 
-    contents = F.filter(F.transform(options, lambda o: F.regexp_replace(F.try_variant_get(o, "$.content", "string"), r"\s+", "")), lambda c: c != "")
+    contents = F.transform(options, lambda o: F.coalesce(F.regexp_replace(F.try_variant_get(o, "$.content", "string"), r"\s+", ""), F.lit("")))
+    named = F.transform(options, lambda o: F.coalesce(F.try_variant_get(o, "$.label", "string"), F.lit("none")))
+
+    def repeat(c: Column, i: Column) -> Column:  # an option that says what an earlier one says
+        first_at = F.array_position(contents, c)
+        holder = F.concat(F.lit("options "), F.get(named, (first_at - 1).cast("int")), F.lit(" and "), F.get(named, i), F.lit(" are equal"))
+        return F.when((c != "") & (first_at <= i), _issue("warning", "duplicate-option", holder))
+
     stem, spoken = F.coalesce(_string("q", "$.stem"), F.lit("")), F.array_join(F.transform(options, lambda o: F.try_variant_get(o, "$.content", "string")), " ")
     no_images = F.size(_list("q", "$.images")) == 0
     first = F.concat(
@@ -292,7 +300,7 @@ def paper_issues(
     last = F.concat(
         _rule("error", "options", ~(qkind("$.options").startswith("ARRAY") & (F.size(options) > 0)), "no options"),
         F.flatten(F.transform(options, option_rules)),
-        _rule("warning", "duplicate-option", F.size(F.array_distinct(contents)) < F.size(contents), "two options are equal"),
+        _kept(F.transform(contents, repeat)),
         _rule("error", "images", ~qkind("$.images").startswith("ARRAY"), "no list"),
         _rule("warning", "figure-missing", no_images & stem.rlike(FIGURE_WORDS), "the stem speaks of a picture"),
         _rule("error", "graph-options-missing", no_images & spoken.rlike(r"(?i)\bgraph\s*\(?[A-H]\)?"), "the options speak of graphs"),

@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 _LINES = "SELECT doc_id, source, ord - 1 AS ord, line FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents)"
 _KEYED = f"SELECT *, regexp_replace(lower(trim(line, ' ')), '[0-9]', '#', 'g') AS key FROM ({_LINES})"
 _FURNITURE = f"""SELECT source, key, count(*) AS n FROM (SELECT DISTINCT source, doc_id, key FROM ({_KEYED})
-  WHERE key <> '' AND NOT regexp_matches(key, '^#+\\.?$|^question #+|^\\(?[a-h][).]?$')) GROUP BY source, key HAVING count(*) >= 3""".replace("\\\\", "\\")
+  WHERE key <> '' AND NOT regexp_matches(key, '^#+\\.?$|^question #+|^\\(?[a-j][).]?$')) GROUP BY source, key HAVING count(*) >= 3""".replace("\\\\", "\\")
 
 
 def _lines(t):

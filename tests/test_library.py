@@ -48,7 +48,8 @@ def test_boxes(spark):
 
 def test_segments():
     parts, problems = latex.segments("let $x_{a$b}$ be $$y$$ or \\$")
-    assert [p[0] for p in parts][:4] == ["text", "inline", "text", "display"] and [p[0] for p in problems] == ["escaped-dollar", "unclosed"]
+    assert [p[0] for p in parts][:4] == ["text", "inline", "text", "display"] and problems == [("unclosed", 27)]
+    assert latex.segments("a \\$x$ $$a$ b$$ $ $") == ([("text", "a \\", 0), ("inline", "x", 4), ("text", " ", 6), ("display", "a$ b", 9), ("text", " ", 15), ("inline", " ", 17)], [("escaped-dollar", 3), ("single-dollar", 7), ("empty", 16)])
     assert latex.segments(None) == ([], [])
 
 
@@ -128,6 +129,18 @@ def test_big_operators_and_paragraphs(spark):
     assert got.problems == [] and "overline" not in got.text
 
 
+def test_function_words(spark):
+    word = lambda s, x, maths=False: [(c, x + 5 * i, 100, 10, maths, False) for i, c in enumerate(s)]
+    bar = [("y", 12, 115, 10, True, False)]
+    for chars, want in [
+        (word("sin", 10) + word("x", 25, True), "\\sin x"), (word("asin", 10) + word("x", 30, True), "asinx"), (word("sin", 10) + word("+", 25, True) + word("sin", 30), "\\sin+\\sin"),
+        (word("lcm", 10) + word("x", 25, True), "\\operatorname{lcm}x"), (word("sin", 10, True), "sin"), (word("si", 10) + word("n", 25), "sin"),
+    ]:
+        got = rebuild(glyphs(spark, *chars, *bar), rules(spark, (9.0, 60.0, 103.0))).first()
+        assert got.text == f"$\\frac{{{want}}}{{y}}$", got.text
+    assert rebuild(glyphs(spark, *word("sin", 10), *word("x", 25, True)), rules(spark)).first().text == "$\\sin x$"
+
+
 def test_cross_check_and_flags(spark):
     a = spark.createDataFrame([(1, "ab $\\frac{1}{2}$"), (2, "xx")], "q int, text string")
     b = spark.createDataFrame([(1, "a b 1 2"), (2, "x")], "q int, text string")
