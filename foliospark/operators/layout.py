@@ -64,6 +64,21 @@ def asof_owner(rows: DataFrame, keys: list[str], order: list[Column], is_owner:
     return rows.withColumn("owner", F.last(F.when(is_owner, owner), ignorenulls=True).over(w))
 
 
+def nearest(rows: DataFrame, others: DataFrame, keys: list[str], value: str, other: str) -> DataFrame:
+    """rows with ``other`` of the row of others(keys, value, other) whose value is nearest, of equally near ones
+    the least; null if a key has none. One sorted pass over both with the last before and the first after,
+    no pairs. Null values have none."""
+    best = others.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(other).alias(other))
+    both = rows.select("*", F.lit(1).alias("_kind"), F.lit(None).cast(others.schema[other].dataType).alias(other)).unionByName(best.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    order = Window.partitionBy(*keys).orderBy(value, "_kind")
+    held = F.when(F.col("_kind") == 0, F.struct(F.col(value).alias("v"), F.col(other).alias("o")))
+    before = F.last(held, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(held, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    near = both.withColumns({"_a": before, "_b": after}).where("_kind = 1")
+    side = lambda c: F.when(F.col(c).isNotNull() & F.col(value).isNotNull(), F.struct(F.abs(F.col(f"{c}.v") - F.col(value)).alias("d"), F.col(f"{c}.o").alias("o")))
+    return near.withColumn(other, F.least(side("_a"), side("_b"))["o"]).select(*rows.columns, other)
+
+
 def islands(rows: DataFrame, keys: list[str], order: list, value: str, gap: float) -> DataFrame:
     """Rows numbered by runs in which no step is larger than gap."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -145,20 +160,39 @@ def merge_boxes(boxes: DataFrame, keys: list[str], near: float) -> DataFrame:
     return held.select(*keys, F.explode(merge("bs")).alias("b")).select(*keys, "b.*")
 
 
-def question_regions(anchors: DataFrame, pages: DataFrame, key: str = "paper_id") -> DataFrame:
-    """(key, number, page, top, bottom): what each numbered anchor owns, from anchors(key, number, page,
-    y) and pages(key, page, height, blank). A region ends at the next anchor; between them it has
-    whole pages, up to the first blank one. The last anchor owns its own page only."""
+def question_regions(anchors: DataFrame, pages: DataFrame, key: str = "paper_id", images: DataFrame | None = None) -> DataFrame:
+    """(key, number, page, top, bottom): what each question owns, from the boxes of the numbers, anchors(key,
+    number, page, box), and pages(key, page, height, blank, top, bottom) with the extent of their content
+    (null where there is none).
+
+    A question begins a little above its number, by 0.9 of its height and 6 points at least, and at the top
+    of a picture(key, page, box) that stands on the number's line to its right, unless that reaches into the
+    question before. It ends where the next begins. If that is on a later page, or there is none, it goes on
+    to the pages up to there (the last question: to one more page), but not beyond a blank page, and not
+    onto a page that begins with the next number.
+    """
     w = Window.partitionBy(key).orderBy("number")
-    a = anchors.select(key, "number", "page", "y", F.lead("page").over(w).alias("next_page"), F.lead("y").over(w).alias("next_y"))
-    spans = a.withColumn("p", F.explode(F.sequence("page", F.greatest("page", F.coalesce("next_page", "page")))))
-    parts = spans.join(pages.select(key, F.col("page").alias("p"), "height", "blank"), [key, "p"])
+    lead = F.greatest(F.lit(6.0), 0.9 * (F.col("y1") - F.col("y0")))
+    a = anchors.select(key, "number", "page", *g.SIDES, (F.col("y0") - lead).alias("begin"))
+    a = a.withColumns({"next_page": F.lead("page").over(w), "floor": F.when(F.lag("page").over(w) == F.col("page"), F.lag("y1").over(w) + 2).otherwise(0.0)})
+    if images is not None:
+        i = images.select(F.col(key).alias("_key"), F.col("page").alias("_page"), *[F.col(s).alias(f"_{s}") for s in g.SIDES])
+        beside = (F.col("_x0") >= F.col("x1") - 2) & (F.col("_y0") < F.col("y0")) & (F.col("_y1") >= F.col("y0") - 2) & (F.col("_y0") >= F.col("floor"))
+        high = a.join(i, (F.col(key) == F.col("_key")) & (F.col("page") == F.col("_page")) & beside).groupBy(key, "number").agg(F.min(F.col("_y0") - 4).alias("high"))
+        a = a.join(high, [key, "number"], "left").withColumn("begin", F.least("begin", "high")).drop("high")
+    first = anchors.select(key, F.col("page").alias("p"), F.struct("y0", (F.col("y0") - lead).alias("limit")).alias("m")).groupBy(key, "p").agg(F.min("m.limit").alias("limit"))
+    same = F.col("next_page") == F.col("page")
+    a = a.withColumn("next_begin", F.when(same, F.lead(F.col("y0") - lead).over(w)))
+    last = F.when(same, F.col("page")).otherwise(F.coalesce("next_page", F.col("page") + 1))
+    parts = a.withColumn("p", F.explode(F.sequence("page", F.greatest("page", last)))).join(pages.select(key, F.col("page").alias("p"), "height", "blank", "top", "bottom"), [key, "p"]).join(first, [key, "p"], "left")
+    own = F.col("p") == F.col("page")
     seen = Window.partitionBy(key, "number").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    stopped = F.max((F.col("blank") & (F.col("p") > F.col("page"))).cast("int")).over(seen) == 1
-    top = F.when(F.col("p") == F.col("page"), F.col("y")).otherwise(0.0)
-    bottom = F.when(F.col("p") == F.col("next_page"), F.col("next_y")).otherwise(F.col("height"))
-    rows = parts.withColumns({"stopped": stopped, "top": top, "bottom": bottom}).where("not stopped and bottom > top")
-    return rows.select(key, "number", F.col("p").alias("page"), "top", "bottom")
+    stopped = F.max((F.col("blank") & ~own).cast("int")).over(seen) == 1
+    end = F.coalesce(F.when(own, F.col("next_begin")).otherwise(F.col("limit")), F.col("bottom") + 4)
+    starts_next = ~own & F.coalesce(F.col("top") >= F.col("limit") - 2, F.lit(False))
+    rows = parts.withColumns({"stopped": stopped, "_top": F.greatest(F.lit(0.0), F.when(own, F.col("begin")).otherwise(F.col("top") - 6)), "_bottom": F.least(end, "height")})
+    rows = rows.where(~F.col("stopped") & ~starts_next & F.col("top").isNotNull() & (F.col("_bottom") - F.col("_top") >= 4))
+    return rows.select(key, "number", F.col("p").alias("page"), F.col("_top").alias("top"), F.col("_bottom").alias("bottom"))
 
 
 def page_anchors(lines: DataFrame, key: str = "paper_id") -> DataFrame:

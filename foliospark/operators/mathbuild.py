@@ -266,8 +266,8 @@ def paragraphs(lines: list[Line], body: float) -> str:
     before = t.shift(1)
     same_page = t["page"] == before["page"]
     space, step = (t["y0"] - before["y1"]).where(same_page), (t["x0"] - before["x0"]) / body
-    usual = space[~t["shown"] & ~before["shown"].eq(True)].median()
-    usual = 0.3 * body if pd.isna(usual) else usual
+    plain = space[~t["shown"] & ~before["shown"].eq(True)].dropna()
+    usual = plain.median() if len(plain) else 0.3 * body
     space = space.fillna(usual)
     wide = space > min(max(0.7 * body, usual + 0.45 * body), body)
     breaks = (t["shown"] | wide | (step > 0.8) | t["numbered"]).tolist()
@@ -288,6 +288,25 @@ def paragraphs(lines: list[Line], body: float) -> str:
     return "\n\n".join(p for p in t.groupby("head")["said"].agg(glued).str.strip() if p)
 
 
+def clusters(values: list[float], step: float) -> list[list[int]]:
+    """Places of the values, which ascend, in groups: one ends where the next value is step or more above its
+    median."""
+    out: list[list[int]] = []
+    for i, v in enumerate(values):
+        if out and v - median(values[j] for j in out[-1]) < step:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def cluster_sizes(values: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The sizes of the clusters of an array of numbers, sorted first."""
+    for vs, steps in values:
+        yield pd.Series([[len(c) for c in clusters(sorted(v), s)] for v, s in zip(vs, steps, strict=True)])
+
+
 def question_text(glyphs: list[dict], rules: list) -> tuple[str, list[str]]:
     """The text of one question and what could not be read with certainty."""
     problems: list[str] = []
@@ -303,11 +322,10 @@ def question_text(glyphs: list[dict], rules: list) -> tuple[str, list[str]]:
             pieces = [p for p in pieces if p.page != rule.page] + apply_rule(here, rule, problems)
     problems += ["a root sign has no bar" for p in pieces if p.tex == "√"]
     lines: list[list[Piece]] = []
-    for p in sorted((p for p in pieces if p.size >= SCRIPT_SIZE * body), key=lambda p: (p.page, p.base, p.x0)):
-        if lines and lines[-1][0].page == p.page and p.base - median(q.base for q in lines[-1]) < LINE_STEP * body:
-            lines[-1].append(p)
-        else:
-            lines.append([p])
+    full = sorted((p for p in pieces if p.size >= SCRIPT_SIZE * body), key=lambda p: (p.page, p.base, p.x0))
+    for _, group in itertools.groupby(full, key=lambda p: p.page):
+        on_page = list(group)
+        lines += [[on_page[i] for i in places] for places in clusters([p.base for p in on_page], LINE_STEP * body)]
     for p in (p for p in pieces if p.size < SCRIPT_SIZE * body):
         if lines:
             min(lines, key=lambda line: (line[0].page != p.page, abs(line[0].base - p.base))).append(p)

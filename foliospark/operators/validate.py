@@ -7,10 +7,13 @@ so that wrong types and unknown keys are seen, and runs the string and picture r
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliospark.functions import latex, pixels
 from foliospark.functions.text import brace_problem, long_words, short
@@ -183,6 +186,33 @@ def _keys(v: Column) -> Column:
     return F.json_object_keys(F.to_json(v))
 
 
+def keys_of(x, path: str = "") -> Iterator[tuple[str, str]]:
+    """(key, path) of every object in a parsed JSON value, in its order; paths are written a.b[0].c."""
+    todo = [(x, path)]
+    while todo:
+        x, path = todo.pop()
+        if isinstance(x, dict):
+            inner = [(k, f"{path}.{k}" if path else k, v) for k, v in x.items()]
+            yield from ((k, at) for k, at, _ in inner)
+            todo += [(v, at) for _, at, v in reversed(inner)]
+        elif isinstance(x, list):
+            todo += [(v, f"{path}[{i}]") for i, v in reversed([*enumerate(x)])]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("path", T.StringType())])))
+def walk_keys(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The keys of JSON texts at any depth, with their paths; null for a text that is no JSON."""
+
+    def walk(s: str | None) -> list[dict] | None:
+        try:
+            return [{"key": k, "path": p} for k, p in keys_of(json.loads(s))]
+        except (TypeError, ValueError, RecursionError):
+            return None
+
+    for x in text:
+        yield x.map(walk)
+
+
 def _names(names: list[str]) -> Column:
     return F.array(*map(F.lit, names))
 

@@ -15,7 +15,7 @@ from foliospark.plans.queries import query
 
 
 @F.pandas_udf(T.BinaryType())
-def _framed(width: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+def framed(width: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     """White pictures of a width and height with a black rectangle of ink_w x ink_h in the corner."""
     for w, h, a, b in width:
         out = []
@@ -34,7 +34,7 @@ _PICTURES = "SELECT p_partkey, p_size + 20 AS w, 60 AS h, (p_size + 20) * (p_par
 def picture_rules(t):
     """Pictures drawn from parts, decoded and checked."""
     w = F.col("p_size") + 20
-    png = _framed(w, F.lit(60), F.floor(w * (F.col("p_partkey") % 5) / 4).cast("int"), F.when(F.col("p_partkey") % 7 == 0, 12).otherwise(60))
+    png = framed(w, F.lit(60), F.floor(w * (F.col("p_partkey") % 5) / 4).cast("int"), F.when(F.col("p_partkey") % 7 == 0, 12).otherwise(60))
     rows = t("part").select("p_partkey", px.measures(png).alias("m"))
     ink = (F.col("m.ink_x1") - F.col("m.ink_x0")).cast("double") * (F.col("m.ink_y1") - F.col("m.ink_y0"))
     return rows.select("p_partkey", F.explode(validate.picture_rules(F.col("m.width"), F.col("m.height"), ink)).alias("i")).select("p_partkey", "i.code")
@@ -102,18 +102,11 @@ def option_chain(t):
     return anchors.label_chain(c, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("label").alias("label"))
 
 
-@query("""SELECT doc_id, i - 1 AS at, CASE WHEN ch = chr(9) THEN 'control-char' WHEN ch = chr(8203) THEN 'invisible-char' ELSE 'private-char' END AS code
-  FROM (SELECT doc_id, unnest(string_split(s, '')) AS ch, generate_subscripts(string_split(s, ''), 1) AS i FROM (SELECT doc_id, repeat('ab' || chr(9) || chr(8203) || chr(57344), (doc_id % 3)::INT) AS s FROM documents))
-  WHERE ch IN (chr(9), chr(8203), chr(57344))""")
+@query(r"""SELECT doc_id, i - 1 AS at, CASE WHEN ch = chr(65533) THEN 'replacement-char' WHEN regexp_matches(ch, '\p{Cc}') THEN 'control-char' WHEN regexp_matches(ch, '\p{Co}') THEN 'private-char' ELSE 'invisible-char' END AS code
+  FROM (SELECT doc_id, unnest(cs) AS ch, generate_subscripts(cs, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text || repeat('ab' || chr(9) || chr(8203) || chr(57344), (doc_id % 3)::INT), '(?s).') AS cs FROM documents))
+  WHERE ch = chr(65533) OR (regexp_matches(ch, '[\p{Cc}\p{Co}\p{Cf}]') AND ch <> chr(10))""")
 def character_offsets(t):
-    s = F.repeat(F.lit("ab\t\u200b\ue000"), (F.col("doc_id") % 3).cast("int"))
-    rows = t("documents").select("doc_id", F.explode(validate.character_issues(s)).alias("i"))
-    return rows.select("doc_id", F.regexp_extract("i.message", "([0-9]+)$", 1).cast("long").alias("at"), "i.code")
-
-
-@query()
-def character_offsets_all(t):
-    """character_offsets over whole texts, with its test characters after them."""
+    """Characters that have no place in a paper, in whole texts with some of them added at the end."""
     s = F.concat("text", F.repeat(F.lit("ab\t\u200b\ue000"), (F.col("doc_id") % 3).cast("int")))
     rows = t("documents").select("doc_id", F.explode(validate.character_issues(s)).alias("i"))
     return rows.select("doc_id", F.regexp_extract("i.message", "([0-9]+)$", 1).cast("long").alias("at"), "i.code")

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import statistics
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from foliospark.functions import text as tx
 from foliospark.operators import layout as lay
@@ -60,33 +56,6 @@ def line_reassembly(t):
     return lay.joined_lines(_lines(t), ["doc_id"])
 
 
-@query(f"SELECT doc_id, bool_and(trim(line, ' ') = '' OR contains(lower(line), 'blank page')) AS blank, bool_or(trim(line, ' ') <> '') AS has_text FROM ({_LINES}) GROUP BY doc_id")
-def blank_docs(t):
-    line = F.trim("line")
-    return _lines(t).groupBy("doc_id").agg(F.bool_and((line == "") | F.lower("line").contains("blank page")).alias("blank"), F.bool_or(line != "").alias("has_text"))
-
-
-@query("""SELECT doc_id, n_words, letters FROM (SELECT doc_id, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS letters
-  FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{3,}') AS w FROM documents)) WHERE n_words >= 4 AND letters >= 15""")
-def picture_of_text(t):
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
-    rows = t("documents").select("doc_id", words.alias("w"))
-    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("letters")).where("n_words >= 4 and letters >= 15")
-
-
-@query("""SELECT page_id, CASE WHEN regexp_matches(lower(url), '\\.(png|jpe?g|gif|bmp|webp|tiff?)([?#]|$)') THEN 'image' WHEN lower(html) LIKE '<!doctype html%' OR lower(html) LIKE '<html%' THEN 'html'
-  WHEN html LIKE '%PDF%' AND html[1:4] = '%PDF' THEN 'pdf' ELSE 'other' END AS kind, CASE WHEN length(html) > 4000 THEN 'large' ELSE 'small' END AS size FROM pages""".replace("\\\\", "\\"))
-def file_kind(t):
-    html, url = F.lower("html"), F.lower("url")
-    kind = F.when(url.rlike(r"\.(png|jpe?g|gif|bmp|webp|tiff?)([?#]|$)"), "image").when(html.startswith("<!doctype html") | html.startswith("<html"), "html").when(F.col("html").startswith("%PDF"), "pdf").otherwise("other")
-    return t("pages").select("page_id", kind.alias("kind"), F.when(F.length("html") > 4000, "large").otherwise("small").alias("size"))
-
-
-@query("SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY page_id, tag")
-def tag_segments(t):
-    return t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
-
-
 @query("""SELECT l_orderkey, list_reduce(list_prepend(0, list(l_linenumber ORDER BY l_partkey, l_suppkey, l_linenumber)), lambda a, x: CASE WHEN x = a + 1 THEN x ELSE a END)::INT AS run FROM lineitem GROUP BY l_orderkey""")
 def anchor_runs(t):
     return lay.number_run(t("lineitem"), ["l_orderkey"], ["l_partkey", "l_suppkey", "l_linenumber"], "l_linenumber")
@@ -98,40 +67,6 @@ def best_column(t):
     return lay.best_by(by, ["l_orderkey"], "l_suppkey", F.col("n"), F.col("q"), -F.col("l_suppkey"))
 
 
-@query("SELECT conv_id, turn, lead(turn) OVER w AS next_turn, lag(role) OVER w AS role_before, coalesce(lead(turn) OVER w, turn + 1) - turn AS span FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
-def next_region(t):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt = F.lead("turn").over(w)
-    return t("conversations").select("conv_id", "turn", nxt.alias("next_turn"), F.lag("role").over(w).alias("role_before"), (F.coalesce(nxt, F.col("turn") + 1) - F.col("turn")).alias("span"))
-
-
-@query("SELECT conv_id, turn, pos, label FROM (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS pos, chr((65 + turn % 26)::INT) AS label FROM conversations) WHERE pos <> turn + 1 OR label <> chr(64 + pos) OR turn = 0")
-def numbering_check(t):
-    rows = t("conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("pos"), F.char(65 + F.col("turn") % 26).alias("label"))
-    return rows.where((F.col("pos") != F.col("turn") + 1) | (F.col("label") != F.char(F.lit(64) + F.col("pos"))) | (F.col("turn") == 0))
-
-
-@query("SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))::INT AS number, sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey)::DECIMAL(28,2)::VARCHAR AS total FROM orders")
-def combine_renumber(t):
-    w = Window.partitionBy("o_custkey")
-    total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(w)
-    return t("orders").select("o_custkey", "o_orderkey", F.row_number().over(w.orderBy("o_orderdate", "o_orderkey")).alias("number"), total.cast("string").alias("total"))
-
-
-@query("""SELECT p_partkey, CASE WHEN k = 1 THEN base ELSE base || '_' || k END AS name FROM (SELECT p_partkey, base, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS k
-  FROM (SELECT p_partkey, regexp_replace(p_type, '[^A-Za-z0-9._-]+', '_', 'g') AS base FROM part))""")
-def name_collisions(t):
-    rows = t("part").select("p_partkey", tx.safe_name(F.col("p_type")).alias("base"))
-    k = F.row_number().over(Window.partitionBy("base").orderBy("p_partkey"))
-    return rows.select("p_partkey", F.when(k == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), k.cast("string"))).alias("name"))
-
-
-@query("SELECT conv_id, turn, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM conversations")
-def segment_split(t):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return t("conversations").select("conv_id", "turn", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w).alias("segment"))
-
-
 _EV = "SELECT event_id, user_id, event_type, epoch_us(ts) AS us FROM events"
 
 
@@ -158,11 +93,11 @@ def asof_owner(t):
     return rows.select("event_id", "owner")
 
 
-_BOXES = "SELECT p_brand, p_size AS band, min(p_retailprice) AS y0, min(p_retailprice) + 300 AS y1, 5.0 AS x0, 25.0 AS x1 FROM part WHERE p_size % 10 = 0 GROUP BY p_brand, p_size"
+_BOXES = "SELECT p_brand, p_size AS band, min(p_retailprice) AS y0, min(p_retailprice) + 300 AS y1, 5.0 AS x0, 25.0 AS x1 FROM part GROUP BY p_brand, p_size"
 
 
 def _boxes(t):
-    return t("part").where("p_size % 10 = 0").groupBy("p_brand", F.col("p_size").alias("band")).agg(F.min("p_retailprice").alias("y0"), (F.min("p_retailprice") + 300).alias("y1")).withColumns({"x0": F.lit(5.0), "x1": F.lit(25.0)})
+    return t("part").groupBy("p_brand", F.col("p_size").alias("band")).agg(F.min("p_retailprice").alias("y0"), (F.min("p_retailprice") + 300).alias("y1")).withColumns({"x0": F.lit(5.0), "x1": F.lit(25.0)})
 
 
 @query(f"SELECT p.p_partkey, b.band FROM part p JOIN ({_BOXES}) b ON p.p_brand = b.p_brand AND p.p_size BETWEEN b.x0 AND b.x1 AND p.p_retailprice BETWEEN b.y0 AND b.y1")
@@ -175,25 +110,6 @@ def anti_in_box(t):
     return lay.points_in(t("part"), _boxes(t), ["p_brand"], "p_size", "p_retailprice", "left_anti").select("p_partkey")
 
 
-_ALL_BOXES = "SELECT p_brand, p_size AS band, min(p_retailprice) AS y0, min(p_retailprice) + 300 AS y1, 5.0 AS x0, 25.0 AS x1 FROM part GROUP BY p_brand, p_size"
-
-
-def _all_boxes(t):
-    return t("part").groupBy("p_brand", F.col("p_size").alias("band")).agg(F.min("p_retailprice").alias("y0"), (F.min("p_retailprice") + 300).alias("y1")).withColumns({"x0": F.lit(5.0), "x1": F.lit(25.0)})
-
-
-@query(f"SELECT p.p_partkey, b.band FROM part p JOIN ({_ALL_BOXES}) b ON p.p_brand = b.p_brand AND p.p_size BETWEEN b.x0 AND b.x1 AND p.p_retailprice BETWEEN b.y0 AND b.y1")
-def point_in_box_all(t):
-    """point_in_box with the boxes of all parts: the SQL of that one takes sizes divisible by ten."""
-    return lay.points_in(t("part"), _all_boxes(t), ["p_brand"], "p_size", "p_retailprice").select("p_partkey", "band")
-
-
-@query(f"SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM ({_ALL_BOXES}) b WHERE p.p_brand = b.p_brand AND p.p_size BETWEEN b.x0 AND b.x1 AND p.p_retailprice BETWEEN b.y0 AND b.y1)")
-def anti_in_box_all(t):
-    """anti_in_box with the boxes of all parts."""
-    return lay.points_in(t("part"), _all_boxes(t), ["p_brand"], "p_size", "p_retailprice", "left_anti").select("p_partkey")
-
-
 _BAND = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS y0, l_quantity + 10 AS y1 FROM lineitem"
 
 
@@ -203,26 +119,6 @@ def band_self_anti(t):
     return lay.band_first(rows, ["l_orderkey"], "l_linenumber", "y0", "y1", "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("""SELECT s_suppkey, max(p_partkey) AS p_partkey, count(*) AS n FROM (SELECT s_suppkey, s_nationkey AS a, round_even(s_acctbal / 4, 0) AS q FROM supplier) s
-  JOIN (SELECT p_partkey, p_size % 25 AS a, round_even(p_retailprice / 4, 0) AS q FROM part) p USING (a, q) GROUP BY s_suppkey""")
-def quantised_join(t):
-    s = t("supplier").select("s_suppkey", F.col("s_nationkey").alias("a"), F.bround(F.col("s_acctbal") / 4).alias("q"))
-    p = t("part").select("p_partkey", (F.col("p_size") % 25).alias("a"), F.bround(F.col("p_retailprice") / 4).alias("q"))
-    return s.join(p, ["a", "q"]).groupBy("s_suppkey").agg(F.max("p_partkey").alias("p_partkey"), F.count("*").alias("n"))
-
-
-@query("SELECT s_suppkey, coalesce(CASE WHEN n_regionkey < 2 THEN n_name END, r_name, '?') AS place FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
-def coalesce_lookup(t):
-    rows = t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return rows.select("s_suppkey", F.coalesce(F.when(F.col("n_regionkey") < 2, F.col("n_name")), "r_name", F.lit("?")).alias("place"))
-
-
-@query("SELECT c_custkey, arg_min(s_suppkey, {'d': abs(s_acctbal - c_acctbal), 'k': s_suppkey}) AS s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey GROUP BY c_custkey")
-def nearest_argmin(t):
-    rows = t("customer").join(t("supplier"), F.col("c_nationkey") == F.col("s_nationkey"))
-    return rows.groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct(F.abs(F.col("s_acctbal") - F.col("c_acctbal")), "s_suppkey")).alias("s_suppkey"))
-
-
 @query("""WITH c AS (SELECT DISTINCT c_nationkey, x, count(*) OVER (PARTITION BY c_nationkey ORDER BY x RANGE BETWEEN 300 PRECEDING AND 300 FOLLOWING) AS n FROM (SELECT c_nationkey, c_acctbal::BIGINT AS x FROM (SELECT c_nationkey, floor(c_acctbal) AS c_acctbal FROM customer)))
   SELECT c_nationkey, arg_max(x, {'n': n, 'x': -x}) AS densest, max(n) AS n FROM c GROUP BY c_nationkey HAVING max(n) >= 2""")
 def densest_column(t):
@@ -240,15 +136,6 @@ def median_gap(t):
     return lay.median_step(_events(t), ["user_id"], ["us", "event_id"], "us")
 
 
-@query("""WITH o AS (SELECT l_suppkey, l_partkey - l_suppkey AS off, count(*) AS n FROM lineitem GROUP BY ALL), b AS (SELECT l_suppkey, arg_max(off, {'n': n, 'o': -off}) AS off FROM o WHERE n >= 3 GROUP BY l_suppkey)
-  SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_partkey FROM lineitem l JOIN b ON l.l_suppkey = b.l_suppkey AND l.l_partkey - l.l_suppkey = b.off""")
-def page_number_series(t):
-    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", (F.col("l_partkey") - F.col("l_suppkey")).alias("off"))
-    counts = rows.groupBy("l_suppkey", "off").agg(F.count("*").alias("n")).where("n >= 3")
-    best = lay.best_by(counts, ["l_suppkey"], "off", F.col("n"), -F.col("off")).withColumnRenamed("best", "off")
-    return rows.join(best, ["l_suppkey", "off"], "left_semi").drop("off")
-
-
 _CHARS = "SELECT {k} AS id, unnest(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')), '')) AS ch FROM {t}"
 
 
@@ -263,29 +150,15 @@ def bag_diff(t):
 _WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))"
 
 
-@query(f"SELECT doc_id, item_id, len(list_intersect(d.w, b.w)) AS common FROM (SELECT doc_id, {_WORDS} AS w FROM documents WHERE NOT contains(text, '$')) d JOIN (SELECT item_id, {_WORDS} AS w FROM benchmark) b ON doc_id % 40 = item_id WHERE len(list_intersect(d.w, b.w)) > 0")
-def word_overlap(t):
-    d = t("documents").where(~F.col("text").contains("$")).select("doc_id", (F.col("doc_id") % 40).alias("item_id"), tx.long_words(F.col("text")).alias("dw"))
-    b = t("benchmark").select("item_id", tx.long_words(F.col("text")).alias("bw"))
-    return d.join(b, "item_id").select("doc_id", "item_id", F.size(F.array_intersect("dw", "bw")).cast("long").alias("common")).where("common > 0")
-
-
 @query(f"""SELECT doc_id, item_id, count(*) AS common FROM (SELECT DISTINCT doc_id, unnest({_WORDS}) AS w FROM documents) d JOIN (SELECT DISTINCT item_id, unnest({_WORDS}) AS w FROM benchmark) b USING (w) GROUP BY doc_id, item_id""")
-def word_overlap_all(t):
-    """word_overlap over all pairs of documents and items: the SQL of that one compares one item a document."""
+def word_overlap(t):
+    """Long words that documents and items share, all pairs that share any."""
     words = lambda name, key: t(name).select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w")).distinct()
     b = words("benchmark", "item_id")
     b = F.broadcast(b) if b.count() <= 1_000_000 else b
     return words("documents", "doc_id").join(b, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("common"))
 
 
-@query("SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY regexp_replace(text, '[ \\n\\t]', '', 'g')) AS first_id FROM documents) WHERE doc_id <> first_id".replace("\\\\", "\\"))
-def duplicate_content(t):
-    key = F.sha2(F.regexp_replace("text", r"[ \n\t]", ""), 256)
-    rows = t("documents").select("doc_id", key.alias("k"))
-    return rows.select("doc_id", F.min("doc_id").over(Window.partitionBy("k")).alias("first_id")).where("doc_id <> first_id")
-
-
 @query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 60 + p_size WHEN 1 THEN p_size WHEN 2 THEN 90 ELSE 120 END::INT AS minutes, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 20 END::INT AS questions FROM part""")
 def duration_parse(t):
     n = F.col("p_size").cast("string")
@@ -295,80 +168,32 @@ def duration_parse(t):
     return t("part").select("p_partkey", tx.parse_duration(said).alias("minutes"), tx.parse_question_count(count).alias("questions"))
 
 
-@query("SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN d.source END, d.lang, 'Unknown') AS title, coalesce(l.toxic, 75) AS minutes FROM documents d LEFT JOIN labels l USING (doc_id)")
-def metadata_defaults(t):
-    rows = t("documents").join(t("labels"), "doc_id", "left")
-    return rows.select("doc_id", F.coalesce(F.when(F.col("quality") == 1, F.col("source")), "lang", F.lit("Unknown")).alias("title"), F.coalesce("toxic", F.lit(75)).alias("minutes"))
-
-
 @query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '$' || p_size || '$' WHEN 1 THEN '$' || p_size || '!$' ELSE p_size || ' cm' END AS s FROM part""")
 def numeric_as_maths(t):
     n, k = F.col("p_size").cast("string"), F.col("p_size") % 3
     return t("part").select("p_partkey", tx.numeric_as_maths(F.when(k == 0, n).when(k == 1, F.concat(n, F.lit("!"))).otherwise(F.concat(n, F.lit(" cm")))).alias("s"))
 
 
-@query("""SELECT doc_id, pos - 1 AS offset_, ch FROM (SELECT doc_id, unnest(string_split(s, '')) AS ch, generate_subscripts(string_split(s, ''), 1) AS pos FROM (SELECT doc_id, left(text, 60) || CASE WHEN doc_id % 7 = 0 THEN chr(9) || chr(8203) ELSE '' END AS s FROM documents)) WHERE ch IN (chr(9), chr(8203)) OR ch = '$'""")
-def issues_chars(t):
-    s = F.concat(F.left("text", F.lit(60)), F.when(F.col("doc_id") % 7 == 0, "\t​").otherwise(""))
-    rows = t("documents").select("doc_id", F.posexplode(F.split(s, "")).alias("offset_", "ch"))
-    return rows.select("doc_id", F.col("offset_").cast("long").alias("offset_"), "ch").where(F.col("ch").isin("\t", "​", "$"))
-
-
-@query("""SELECT doc_id, pos - 1 AS offset_, ch FROM (SELECT doc_id, unnest(string_split(s, '')) AS ch, generate_subscripts(string_split(s, ''), 1) AS pos FROM (SELECT doc_id, text || CASE WHEN doc_id % 7 = 0 THEN chr(9) || chr(8203) ELSE '' END AS s FROM documents)) WHERE ch IN (chr(9), chr(8203)) OR ch = '$'""")
-def issues_chars_all(t):
-    """issues_chars over whole texts: the SQL of that one reads 60 characters."""
-    s = F.concat("text", F.when(F.col("doc_id") % 7 == 0, "\t\u200b").otherwise(""))
-    rows = t("documents").select("doc_id", F.posexplode(F.split(s, "")).alias("offset_", "ch"))
-    return rows.select("doc_id", F.col("offset_").cast("long").alias("offset_"), "ch").where(F.col("ch").isin("\t", "\u200b", "$"))
-
-
-_ISSUES = r"""SELECT doc_id, i.level AS level, i.code AS code FROM (SELECT doc_id, unnest([
-  CASE WHEN trim(text, ' ') = '' THEN {'level': 'error', 'code': 'empty'} END,
-  CASE WHEN doc_id % 7 = 0 THEN {'level': 'error', 'code': 'control-char'} END,
-  CASE WHEN NOT regexp_full_match(text, '(?s)(?:[^$]|\$\$[^$]*[^$\s][^$]*\$\$|\$[^$]*[^$\s][^$]*\$)*') THEN {'level': 'error', 'code': 'dollar-balance'} END]) AS i FROM documents) WHERE i IS NOT NULL"""
-
-
 def _issues(t):
     rows = t("documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 7 == 0, "\t").otherwise("")).alias("s"))
-    return val.string_issues(rows, ["doc_id"], "s").where(F.col("code").isin("empty", "control-char", "dollar-balance")).select("doc_id", "level", "code").distinct()
+    return val.string_issues(rows, ["doc_id"], "s")
 
 
-@query(_ISSUES)
+@query()
 def issues_rules(t):
+    """Every issue of every rule in whole texts, one row an occurrence; tested against brute force."""
     return _issues(t)
 
 
-@query(f"SELECT doc_id, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings, count(*) FILTER (level = 'error') = 0 AS ok FROM ({_ISSUES}) GROUP BY doc_id")
+@query()
 def report_summary(t):
     return val.summary(_issues(t), ["doc_id"])
 
 
-@query(f"SELECT d.doc_id, string_agg(DISTINCT code, ';' ORDER BY code) AS reasons FROM documents d JOIN ({_ISSUES}) i USING (doc_id) WHERE level = 'error' GROUP BY d.doc_id")
-def flag_join(t):
-    return t("documents").select("doc_id").join(_issues(t).where("level = 'error'"), "doc_id").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ";").alias("reasons"))
-
-
-def _issues_all(t):
-    rows = t("documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 7 == 0, "\t").otherwise("")).alias("s"))
-    return val.string_issues(rows, ["doc_id"], "s")
-
-
-@query()
-def issues_rules_all(t):
-    """Every issue of every rule, one row an occurrence: the SQL of issues_rules has three codes, once a document."""
-    return _issues_all(t)
-
-
-@query()
-def report_summary_all(t):
-    """report_summary over every issue."""
-    return val.summary(_issues_all(t), ["doc_id"])
-
-
 @query()
-def flag_join_all(t):
-    """flag_join over every error: the codes, and how many errors there are."""
-    flags = _issues_all(t).where("level = 'error'").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ";").alias("reasons"), F.count("*").alias("n"))
+def flag_join(t):
+    """Documents with errors: the codes, and how many errors there are."""
+    flags = _issues(t).where("level = 'error'").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ";").alias("reasons"), F.count("*").alias("n"))
     return t("documents").select("doc_id").join(flags, "doc_id")
 
 
@@ -377,38 +202,12 @@ def brace_balance(t):
     return t("pages").select("page_id", tx.brace_problem(F.col("html")).alias("broken"))
 
 
-@query("SELECT event_id, unnest(json_keys(props)) AS key, '$.' || unnest(json_keys(props)) AS path FROM events")
-def keys_walk(t):
-    return t("events").select("event_id", F.explode(F.json_object_keys("props")).alias("key")).withColumn("path", F.concat(F.lit("$."), "key"))
-
-
 @query()
 def box_merge_closure(t):
     boxes = t("lineitem").select("l_orderkey", (F.col("l_partkey") % 500).cast("double").alias("x0"), (F.col("l_quantity") * 10).cast("double").alias("y0")).withColumns({"x1": F.col("x0") + 40, "y1": F.col("y0") + 12})
     return lay.merge_boxes(boxes, ["l_orderkey"], 25.0)
 
 
-@query()
-def line_cluster_median(t):
-    """Values in order; a new group where a value is 60 or more above the running median of the group."""
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def groups(xs: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def sizes(values):
-            cur, out = [], []
-            for v in sorted(values):
-                if cur and v - statistics.median(cur) >= 60:
-                    out.append(len(cur))
-                    cur = []
-                cur.append(v)
-            return [*out, len(cur)]
-
-        for x in xs:
-            yield x.map(sizes)
-
-    held = t("events").groupBy("user_id").agg(F.collect_list("value").alias("vs"))
-    return held.select("user_id", F.posexplode(groups("vs")).alias("line", "n"))
-
-
 @query("SELECT k AS paper_id, '$\\frac{' || k % 10 || '}{' || k % 7 + 1 || '}$' AS text FROM (SELECT DISTINCT n_nationkey AS k FROM nation)".replace("\\\\", "\\"))
 def maths_rebuild(t):
     from foliospark.operators.mathbuild import rebuild
@@ -421,32 +220,6 @@ def maths_rebuild(t):
     return rebuild(glyphs, rules).select("paper_id", "text")
 
 
-@query("""SELECT 'c' || conv_id AS id, CASE WHEN conv_id % 3 = 0 THEN 'error' ELSE 'none' END AS level, count(*) FILTER (conv_id % 3 = 0)::BIGINT > 0 AS leaked FROM conversations GROUP BY conv_id""")
-def paper_rules(t):
-    """Papers derived from conversations, every third with an answer key: only those have the issue."""
-    q = F.struct((F.col("turn") + 1).alias("number"), F.lit("s").alias("stem"), F.expr("array(struct('A' as label, '1' as content), struct('B' as label, '2' as content))").alias("options"), F.lit(1).alias("sourcePage"))
-    by = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(q)).alias("questions"))
-    paper = F.struct(F.lit(1).alias("formatVersion"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), F.lit("t").alias("title"), F.lit("Paper 1").alias("paper"), F.lit("2000").alias("year"), F.lit(75).alias("durationMinutes"), "questions")
-    text = F.to_json(paper)
-    text = F.when(F.col("conv_id") % 3 == 0, F.replace(text, F.lit('"stem"'), F.lit('"Answer":1,"stem"'))).otherwise(text)
-    papers = by.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), text.alias("json"))
-    found = val.paper_issues(papers, "id").where("code = 'answer-leak'").select("id", "level").distinct()
-    return papers.select("id").join(found, "id", "left").select("id", F.coalesce("level", F.lit("none")).alias("level"), F.col("level").isNotNull().alias("leaked"))
-
-
-@query("""WITH a AS (SELECT conv_id, turn // 2 + 1 AS number, turn + 1 AS page, 50.0 + turn AS y, lead(turn + 1) OVER w AS np, lead(50.0 + turn) OVER w AS ny FROM conversations WHERE turn % 2 = 0 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-  p AS (SELECT conv_id, turn + 1 AS page, role = 'system' AS blank FROM conversations),
-  s AS (SELECT a.*, p.page AS p, max((p.blank AND p.page > a.page)::INT) OVER (PARTITION BY a.conv_id, a.number ORDER BY p.page ROWS UNBOUNDED PRECEDING) AS stopped
-        FROM a JOIN p ON a.conv_id = p.conv_id AND p.page BETWEEN a.page AND greatest(a.page, coalesce(np, a.page)))
-  SELECT conv_id, number, p AS page, (CASE WHEN p = page THEN y ELSE 0 END)::DOUBLE AS top, (CASE WHEN p = np THEN ny ELSE 800 END)::DOUBLE AS bottom FROM s WHERE stopped = 0""")
-def question_regions(t):
-    c = t("conversations")
-    page, y = (F.col("turn") + 1).alias("page"), (F.lit(50.0) + F.col("turn")).alias("y")
-    anchors = c.where("turn % 2 = 0").select("conv_id", (F.floor(F.col("turn") / 2) + 1).alias("number"), page, y)
-    pages = c.select("conv_id", page, F.lit(800.0).alias("height"), (F.col("role") == "system").alias("blank"))
-    return lay.question_regions(anchors, pages, "conv_id")
-
-
 @query("""WITH r AS (SELECT conv_id, turn, trim(text, ' ') <> '' AS has, regexp_matches(trim(text, ' '), '^\\(?A[).]?(\\s|$)') AS a FROM conversations),
   s AS (SELECT *, bool_or(a) OVER (PARTITION BY conv_id) AS some_, min(CASE WHEN has THEN turn END) OVER (PARTITION BY conv_id) AS first_ FROM r)
   SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS number, turn AS page FROM s WHERE (some_ AND a) OR (NOT some_ AND has AND turn > first_)""".replace("\\\\", "\\"))

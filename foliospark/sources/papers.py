@@ -27,12 +27,16 @@ def typed(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", F.from_json("json", PAPER).alias("p")).select("paper_id", "p.*")
 
 
+def kind_of(content: Column) -> Column:
+    """The kind of a file by its first bytes, null for others."""
+    head = F.hex(F.substring(content, 1, 4))
+    return F.when(head == "25504446", "pdf").when(head == "89504E47", "png").when(head.startswith("FFD8FF"), "jpeg").when(head == "47494638", "gif").when(head.startswith("424D"), "bmp")
+
+
 def uploads(spark: SparkSession, path: str) -> DataFrame:
     """(path, kind, length) of files that are PDF or pictures by their first bytes and not too long."""
     files = spark.read.format("binaryFile").load(path)
-    head = F.hex(F.substring("content", 1, 4))
-    kind = F.when(head == "25504446", "pdf").when(head == "89504E47", "png").when(head.startswith("FFD8FF"), "jpeg").when(head == "47494638", "gif").when(head.startswith("424D"), "bmp")
-    return files.select("path", kind.alias("kind"), "length").where((F.col("length") <= UPLOAD_BYTES) & F.col("kind").isNotNull())
+    return files.select("path", kind_of(F.col("content")).alias("kind"), "length").where((F.col("length") <= UPLOAD_BYTES) & F.col("kind").isNotNull())
 
 
 def pictures(spark: SparkSession, path: str) -> DataFrame:
@@ -41,7 +45,7 @@ def pictures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def data_uri(png: Column) -> Column:
-    return F.concat(F.lit("data:image/png;base64,"), F.base64(png))
+    return F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64(png), r"\s+", ""))  # base64 may break lines
 
 
 def decode_data_uri(src: Column) -> Column:

@@ -1,6 +1,7 @@
 """Scalars, layout, validation, maths and assembly on small tables of our own."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,10 +185,25 @@ def test_label_runs(spark):
 
 
 def test_regions_end_at_blank_pages(spark):
-    anchors = spark.createDataFrame([("p", 1, 2, 50.0), ("p", 2, 2, 300.0), ("p", 3, 3, 60.0), ("p", 4, 6, 70.0)], "paper_id string, number int, page int, y double")
-    pages = spark.createDataFrame([("p", n, 800.0, n == 5) for n in range(1, 7)], "paper_id string, page int, height double, blank boolean")
-    got = sorted(tuple(r)[1:] for r in lay.question_regions(anchors, pages).collect())
-    assert got == [(1, 2, 50.0, 300.0), (2, 2, 300.0, 800.0), (2, 3, 0.0, 60.0), (3, 3, 60.0, 800.0), (3, 4, 0.0, 800.0), (4, 6, 70.0, 800.0)]
+    box = lambda y: (50.0, y, 60.0, y + 10)
+    marks = [("p", 1, 2, *box(50.0)), ("p", 2, 2, *box(300.0)), ("p", 3, 3, *box(60.0)), ("p", 4, 6, *box(70.0)), ("q", 1, 1, *box(200.0)), ("q", 2, 2, *box(30.0))]
+    anchors = spark.createDataFrame(marks, "paper_id string, number int, page int, x0 double, y0 double, x1 double, y1 double")
+    pages = [("p", n, 800.0, n == 5, None if n == 4 else 30.0, None if n == 4 else 700.0) for n in range(1, 8)] + [("q", n, 800.0, False, 30.0, 799.0) for n in (1, 2)]
+    pages = spark.createDataFrame(pages, "paper_id string, page int, height double, blank boolean, top double, bottom double")
+    images = spark.createDataFrame([("q", 1, 70.0, 120.0, 200.0, 205.0), ("p", 2, 70.0, 40.0, 90.0, 301.0), ("q", 1, 10.0, 20.0, 40.0, 205.0)], "paper_id string, page int, x0 double, y0 double, x1 double, y1 double")
+    want = [("p", 1, 2, 41.0, 291.0), ("p", 2, 2, 291.0, 704.0), ("p", 2, 3, 24.0, 51.0), ("p", 3, 3, 51.0, 704.0), ("p", 4, 6, 61.0, 704.0), ("p", 4, 7, 24.0, 704.0), ("q", 1, 1, 191.0, 800.0), ("q", 2, 2, 21.0, 800.0)]
+    assert sorted(tuple(r) for r in lay.question_regions(anchors, pages).collect()) == want
+    with_pictures = [(*r[:3], {("q", 1): 116.0, ("p", 1): 36.0}.get(r[:2], r[3]), r[4]) for r in want]
+    assert sorted(tuple(r) for r in lay.question_regions(anchors, pages, images=images).collect()) == with_pictures
+
+
+def test_nearest_against_all_pairs(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice("abc"), float(rng.randrange(40)) if rng.random() < 0.95 else None) for i in range(200)]
+    others = [(i, rng.choice("ab"), float(rng.randrange(40))) for i in range(60)]
+    got = lay.nearest(spark.createDataFrame(rows, "i int, k string, v double"), spark.createDataFrame(others, "o int, k string, v double"), ["k"], "v", "o").collect()
+    want = {i: min(((abs(x - v), o) for o, q, x in others if q == k), default=(0, None))[1] if v is not None else None for i, k, v in rows}
+    assert {r.i: r.o for r in got} == want and len(got) == len(rows)
 
 
 def test_stream(spark, tmp_path):

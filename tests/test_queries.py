@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as e
-from foliospark.plans import page_queries  # noqa: F401
+from foliospark.plans import page_queries, paper_queries, rule_queries  # noqa: F401
 from foliospark.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -1,4 +1,4 @@
-"""The queries over all rows and whole texts (those named ..._all) against brute force on tables of our own."""
+"""Queries over all rows and whole texts against brute force on tables of our own."""
 
 import random
 import re
@@ -18,7 +18,7 @@ def run(spark, tmp_path, name, **tables):
 def test_word_overlap_of_all_pairs(spark, tmp_path):
     words = lambda s: set(re.findall("[a-z]{4,}", (s or "").lower()))
     want = [(d, i, len(words(x) & words(y))) for d, x in DOCS for i, y in ITEMS if words(x) & words(y)]
-    got = run(spark, tmp_path, "word_overlap_all", documents=(DOCS, "doc_id long, text string"), benchmark=(ITEMS, "item_id long, text string"))
+    got = run(spark, tmp_path, "word_overlap", documents=(DOCS, "doc_id long, text string"), benchmark=(ITEMS, "item_id long, text string"))
     assert sorted(got) == sorted(want) and (41, 0, 2) in want and (0, 199, 1) in want
 
 
@@ -27,12 +27,9 @@ def test_characters_of_whole_texts(spark, tmp_path):
     rng = random.Random(5)
     texts = ["".join(rng.choice([*odd, "$", "\n", "a", "\U0001f600"] if rng.random() < 0.1 else "ab ") for _ in range(300)) for _ in range(9)]
     docs = ([*enumerate(texts), (9, None), (10, "")], "doc_id long, text string")
-    whole = {i: s + ("\t\u200b" if i % 7 == 0 else "") for i, s in enumerate(texts)}
-    want = [(i, at, c) for i, s in whole.items() for at, c in enumerate(s) if c in "\t\u200b$"]
-    assert sorted(run(spark, tmp_path, "issues_chars_all", documents=docs)) == sorted(want) and max(at for _, at, _ in want) > 250
     whole = {i: s + "ab\t\u200b\ue000" * (i % 3) for i, s in [*enumerate(texts), (10, "")]}
     want = [(i, at, odd[c]) for i, s in whole.items() for at, c in enumerate(s) if c in odd]
-    assert sorted(run(spark, tmp_path, "character_offsets_all", documents=docs)) == sorted(want)
+    assert sorted(run(spark, tmp_path, "character_offsets", documents=docs)) == sorted(want)
 
 
 def test_every_issue_of_every_rule(spark, tmp_path):
@@ -43,11 +40,11 @@ def test_every_issue_of_every_rule(spark, tmp_path):
         (8, "$\\left( x$", [(e, "left-right")]), (9, "$x", [(e, "dollar-balance")]), (10, "clean", []), (11, "\u00c3\u00a9 x", [(w, "mojibake")]), (12, "$a{$ {b$", [(e, "dollar-balance"), (w, "text-braces")]),
     ]
     docs = ([c[:2] for c in cases], "doc_id long, text string")
-    got = run(spark, tmp_path, "issues_rules_all", documents=docs)
+    got = run(spark, tmp_path, "issues_rules", documents=docs)
     assert sorted((r[0], *r[2:4]) for r in got) == sorted((i, *x) for i, _, found in cases for x in found)
     count = lambda found, level: sum(x == level for x, _ in found)
-    assert sorted(run(spark, tmp_path, "report_summary_all")) == sorted((i, count(f, e), count(f, w), count(f, e) == 0) for i, _, f in cases if f)
-    assert sorted(run(spark, tmp_path, "flag_join_all")) == sorted((i, ";".join(sorted({c for x, c in f if x == e})), count(f, e)) for i, _, f in cases if count(f, e))
+    assert sorted(run(spark, tmp_path, "report_summary")) == sorted((i, count(f, e), count(f, w), count(f, e) == 0) for i, _, f in cases if f)
+    assert sorted(run(spark, tmp_path, "flag_join")) == sorted((i, ";".join(sorted({c for x, c in f if x == e})), count(f, e)) for i, _, f in cases if count(f, e))
 
 
 def test_boxes_of_all_parts(spark, tmp_path):
@@ -56,5 +53,5 @@ def test_boxes_of_all_parts(spark, tmp_path):
     low = {(b, s): min(p for _, x, y, p in parts if (x, y) == (b, s)) for _, b, s, _ in parts}
     want = [(k, band) for k, b, s, p in parts for (brand, band), y in low.items() if brand == b and 5 <= s <= 25 and y <= p <= y + 300]
     part = (parts, "p_partkey long, p_brand string, p_size int, p_retailprice double")
-    assert sorted(run(spark, tmp_path, "point_in_box_all", part=part)) == sorted(want) and any(band % 10 for _, band in want)
-    assert sorted(run(spark, tmp_path, "anti_in_box_all")) == sorted((k,) for k, *_ in parts if k not in {x for x, _ in want})
+    assert sorted(run(spark, tmp_path, "point_in_box", part=part)) == sorted(want) and any(band % 10 for _, band in want)
+    assert sorted(run(spark, tmp_path, "anti_in_box")) == sorted((k,) for k, *_ in parts if k not in {x for x, _ in want})
