@@ -60,10 +60,15 @@ def _pretty(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield x.map(lambda s: json.dumps(json.loads(s), ensure_ascii=False, indent=2))
 
 
+def pretty_json(struct: Column) -> Column:
+    """A struct as JSON in the file format: two spaces, non-ASCII kept, keys in their order, nulls written."""
+    return _pretty(F.to_json(struct, {"ignoreNullFields": "false"}))
+
+
 def paper_text(papers: DataFrame) -> DataFrame:
     """(id, json) in the file format: two spaces, non-ASCII kept, keys in their order."""
     names = [f.split(" ")[0] for f in PAPER.split(", ")[:6]] + ["questions"]
-    return papers.select("id", _pretty(F.to_json(F.struct(*names), {"ignoreNullFields": "false"})).alias("json"))
+    return papers.select("id", pretty_json(F.struct(*names)).alias("json"))
 
 
 def write_papers(papers: DataFrame, path: str) -> None:
