@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliospark.functions import latex
-from foliospark.operators import anchors, assemble, layout, mathbuild, metadata, pagelayer
+from foliospark.operators import anchors, assemble, layout, mathbuild, metadata, pagelayer, review
 from foliospark.plans.queries import query
 from foliospark.sources import papers as src
 
@@ -54,7 +54,7 @@ def file_kinds(t):
 def command_runs(t):
     """Tags of pages as commands, end tags with two backslashes."""
     s = F.replace(F.replace("html", F.lit("</"), F.lit("\\\\")), F.lit("<"), F.lit("\\"))
-    return t("pages").select("page_id", F.inline(latex.command_runs(s))).groupBy("page_id", "name", "backslashes").agg(F.count("*").alias("n"))
+    return t("pages").select("page_id", F.inline(latex.command_runs(s))).groupBy("page_id", "name", F.col("backslashes").cast("long").alias("backslashes")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT c_custkey, (row_number() OVER (ORDER BY n_name DESC, n_nationkey, c_custkey))::INT AS number, (SELECT sum(n_nationkey + 30) FROM nation)::BIGINT AS minutes FROM customer JOIN nation ON c_nationkey = n_nationkey""")
@@ -182,3 +182,23 @@ def question_regions(t):
     marks = c.where("turn % 2 = 0").select("conv_id", (F.floor(F.col("turn") / 2) + 1).alias("number"), page, *_box(50, y, 60, y + 10))
     pages = c.select("conv_id", page, F.lit(800.0).alias("height"), (F.col("role") == "system").alias("blank"), F.lit(40.0).alias("top"), F.lit(760.0).alias("bottom"))
     return layout.question_regions(marks, pages, "conv_id")
+
+
+@query(r"""SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, '$', ''), '\n[^\S\n]*\n'), lambda p: regexp_replace(p, '^([^\S\n]*\n)+', '')), lambda p: regexp_matches(p, '\S')).len() + 2 AS n_paragraphs FROM documents""")
+def display_paragraphs(t):
+    """Paragraphs of documents, with two more at the end, one of which has a blank line in display maths."""
+    s = F.concat(F.replace("text", F.lit("$"), F.lit("")), F.lit("\n\n$$a\n\nb$$ c\n \nlast"))
+    return t("documents").select("doc_id", F.size(review.paragraphs(s)).cast("long").alias("n_paragraphs"))
+
+
+@query("""SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM pages""")
+def escaped_html(t):
+    return t("pages").select("page_id", review.escaped(F.col("html")).alias("html"))
+
+
+@query("""SELECT o_orderkey AS number, o_custkey AS paper_id FROM orders WHERE o_orderkey % 4 = 0 OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'N')""")
+def review_filter(t):
+    """Orders as questions, every fourth flagged, their returned or accepted items as errors."""
+    q = t("orders").select(F.col("o_custkey").alias("paper_id"), F.col("o_orderkey").alias("number"), (F.col("o_orderkey") % 4 == 0).alias("needs_review"))
+    issues = t("lineitem").select(F.col("l_orderkey").alias("number"), F.when(F.col("l_returnflag") == "N", "info").otherwise("error").alias("level"))
+    return review.to_review(q, issues, ["number"]).select("number", "paper_id")

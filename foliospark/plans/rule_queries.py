@@ -114,7 +114,7 @@ def source_pages(t):
     number = (F.col("turn") + 1).cast("int")
     questions = c.select("conv_id", number.alias("number"), F.col("text").alias("stem"), (F.col("turn") % 4 + 1).cast("int").alias("sourcePage"))
     found = validate.source_page_issues(questions, c.select("conv_id", number.alias("page"), "text"), c.select("conv_id", number.alias("number"), number.alias("page")), "conv_id")
-    return found.select("conv_id", "question", "level", F.when(F.col("message").startswith("beyond"), "beyond").otherwise("other page").alias("why"))
+    return found.select("conv_id", F.col("question").cast("long").alias("question"), "level", F.when(F.col("message").startswith("beyond"), "beyond").otherwise("other page").alias("why"))
 
 
 @query("""SELECT o_custkey, 'error' AS level, 'katex' AS code, string_agg('line ' || o_orderkey, '; ' ORDER BY 'line ' || o_orderkey) AS message, (o_orderkey % 3)::INT AS question FROM orders GROUP BY o_custkey, o_orderkey % 3""")
