@@ -2,15 +2,16 @@
 
 A table hashes a vector, scaled to length one, by random projections to blocks of eight dimensions,
 each decoded to the nearest point of the E8 lattice; the points of all blocks are a cell. In each table
-a vector lives in its own cell and visits the neighbouring cells nearest to it. Vectors that meet in a
-cell are compared in double precision, in blocks of bounded size.
+a vector lives in its own cell and visits the nearest other. Of vectors that meet in a cell, those whose
+sketches (sides of random planes) are near are compared in double precision, in blocks of bounded size.
 
 The number of lattice blocks of a cell, and of tables, grows with the number of vectors, so that a vector
-meets about CANDIDATES unrelated ones at most, whatever the number: 3 blocks and 11 tables up to 15,000
-vectors, 4 and 21 up to 560,000, 5 and 39 up to 50 million (PLANS). At cosine 0.95, the hardest case,
-a pair is met with probability 0.9995 or so; closer ones more surely.
+meets about SKETCHED unrelated sketches at most and is compared to CANDIDATES at most, whatever the number: 3
+blocks and 22 tables up to 14 million vectors, 4 and 45 up to 700 million (PLANS). At cosine 0.95, the hardest
+case, a pair is met with probability 0.9995 or so; closer ones more surely. Sketches lose one such pair in ten
+million.
 
-Cells are narrow rows; only those in which two vectors meet are joined to the vectors. Equal vectors are
+Visits are narrow rows, shuffled once. The cells of a vector are computed once and come with it. Equal vectors are
 one class with a weight, and are not compared. A pair that meets in several cells counts where it meets
 first. No links are emitted: each block gives counts by vector, and the links of a spanning forest.
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-import uuid
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +31,23 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, stage, table
 from .components import components
 
-COSINE, PROBES, SCALE = 0.95, 6, 3.2
-#: By lattice blocks of a cell: tables, and the share of unrelated pairs that meet in any of them (measured on
-#: 64 dimensions). What follows the last has 1.8 times the tables and a 90th of the share of the one before.
-PLANS = {2: (6, 2.6e-2), 3: (11, 6.6e-4), 4: (21, 1.8e-5), 5: (39, 2e-7), 6: (71, 2e-9)}
-#: Unrelated vectors that a vector may meet.
-CANDIDATES = 10
+COSINE, SCALE = 0.95, 3.2
+#: By lattice blocks of a cell: tables, the share of unrelated pairs that meet in any of them, and the share of these
+#: whose sketches are near (measured on 64 dimensions). What follows the last has 1.9 times the tables and a 55th of
+#: the share of the one before.
+PLANS = {3: (22, 4.1e-4, 3e-4), 4: (45, 7.7e-6, 1.4e-3)}
+#: Unrelated vectors to which a vector may be compared, and those whose sketches it may meet.
+CANDIDATES, SKETCHED = 10, 6000
+#: Bits of a sketch.
+BITS = 128
+#: Cells of more rows than this are compared without a look at the sketches.
+SKETCHED_CELL = 1 << 13
+#: Rows of visits that are looked at together.
+ROWS = 1 << 18
 #: Rows a side of a block of comparisons.
 BLOCK = 1024
+#: The setting of the rows that go to Python at once.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _roots() -> np.ndarray:
@@ -55,79 +65,117 @@ def _roots() -> np.ndarray:
 ROOTS = _roots()
 
 
-def _d8(x: np.ndarray) -> np.ndarray:
+def _d8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest points of D8 and their squared distances, by column of x (8 rows)."""
     point = np.rint(x)
     rest = x - point
-    odd = np.flatnonzero(point.sum(axis=1) % 2 != 0)
-    worst = np.abs(rest[odd]).argmax(axis=1)
-    point[odd, worst] += np.where(rest[odd, worst] >= 0, 1, -1)
-    return point
+    away = (rest**2).sum(axis=0)
+    odd = np.flatnonzero(point.sum(axis=0) % 2 != 0)
+    part = rest[:, odd]
+    worst = np.abs(part).argmax(axis=0)
+    at = part[worst, np.arange(len(odd))]
+    point[worst, odd] += np.where(at >= 0, 1, -1).astype(x.dtype)
+    away[odd] += 1 - 2 * np.abs(at)
+    return point, away
 
 
-def decode(x: np.ndarray) -> np.ndarray:
-    """The nearest point of E8 for each row of eight numbers."""
-    a, b = _d8(x), _d8(x - 0.5) + 0.5
-    return np.where((((x - a) ** 2).sum(axis=1) <= ((x - b) ** 2).sum(axis=1))[:, None], a, b)
+def _nearest(x: np.ndarray) -> np.ndarray:
+    """The nearest points of E8, by column of x (8 rows)."""
+    (a, da), (b, db) = _d8(x), _d8(x - x.dtype.type(0.5))
+    return np.where(da <= db, a, b + x.dtype.type(0.5))
 
 
-def _code(points: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each lattice point (the last axis)."""
-    twice = np.rint(2 * points).astype(np.int64).view(np.uint64)
-    total = np.zeros(twice.shape[:-1], np.uint64)
-    for i in range(8):
-        total = (total ^ twice[..., i]) * np.uint64(0x9E3779B97F4A7C15)
-        total ^= total >> np.uint64(29)
-    return total
+def decode(x: np.ndarray) -> np.ndarray:
+    """The nearest point of E8 for each row of eight numbers."""
+    return _nearest(x.T).T
+
+
+def _step(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The root nearest to each column of rest (8 rows), doubled, and its inner product with that column."""
+    size, sign = np.abs(rest), np.where(rest < 0, -1, 1).astype(np.int64)
+    every, n = np.arange(rest.shape[1]), rest.shape[1]
+    first = size.argmax(axis=0)
+    without = size.copy()
+    without[first, every] = -1
+    second, least = without.argmax(axis=0), size.argmin(axis=0)
+    two = size[first, every] + size[second, every]  # two entries of +-1
+    odd = sign.prod(axis=0) < 0
+    eight = (size.sum(axis=0) - np.where(odd, 2 * size[least, every], 0)) / 2  # eight of +-1/2, an even number of them below 0
+    halves = sign.copy()
+    halves[least, every] *= np.where(odd, -1, 1)
+    ones = np.zeros((8, n), np.int64)
+    ones[first, every], ones[second, every] = 2 * sign[first, every], 2 * sign[second, every]
+    return np.where(two >= eight, ones, halves), np.maximum(two, eight)
 
 
 def plan(n: int) -> tuple[int, int]:
-    """(lattice blocks, tables) for n vectors: the fewest blocks with few enough candidates."""
+    """(lattice blocks, tables) for n vectors: the fewest blocks with few enough sketches and candidates."""
     blocks, last = min(PLANS), max(PLANS)
     while True:
-        tables, share = PLANS[min(blocks, last)]
+        tables, share, near = PLANS[min(blocks, last)]
         over = max(0, blocks - last)
-        if n * share / 90**over <= CANDIDATES:
-            return blocks, int(np.ceil(tables * 1.8**over))
+        met = n * share / 55**over
+        if met <= SKETCHED and met * near <= CANDIDATES:
+            return blocks, int(np.ceil(tables * 1.9**over))
         blocks += 1
 
 
-def _options(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and squared distances of the nearest point, first, and of k - 1 of its nearest neighbours."""
-    own = decode(x)
-    rest = x - own
-    toward = rest @ ROOTS.T
-    near = np.argpartition(-toward, k - 1, axis=1)[:, : k - 1]
-    points = np.concatenate([own[:, None], own[:, None] + ROOTS[near]], axis=1)
-    d = (rest**2).sum(axis=1)[:, None]
-    return _code(points), np.concatenate([d, d + 2 - 2 * np.take_along_axis(toward, near, axis=1)], axis=1)
-
-
 @functools.lru_cache(maxsize=8)
 def _projections(dim: int, blocks: int, tables: int) -> np.ndarray:
-    """One projection for each table, parts of random rotations; of short vectors random numbers."""
+    """One projection for each table, parts of random rotations; of short vectors random numbers: a row for each
+    coordinate of eight, table and block, in this order."""
     rng, width = np.random.default_rng(8), 8 * blocks
     if dim < width:
-        return rng.normal(size=(tables, dim, width)) / np.sqrt(dim)
-    each = dim // width
-    turns = [np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, : each * width] for _ in range(-(-tables // each))]
-    return np.stack([turns[t // each][:, t % each * width :][:, :width] for t in range(tables)])
+        found = rng.normal(size=(tables, dim, width)) / np.sqrt(dim)
+    else:
+        each = dim // width
+        turns = [np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, : each * width] for _ in range(-(-tables // each))]
+        found = np.stack([turns[t // each][:, t % each * width :][:, :width] for t in range(tables)])
+    return np.ascontiguousarray(found.reshape(tables, dim, blocks, 8).transpose(3, 0, 2, 1).reshape(-1, dim), np.float32)
 
 
-def cells(unit: np.ndarray, blocks: int, tables: int, probes: int = PROBES) -> np.ndarray:
-    """For each unit vector and table the cells it visits, its own first: int64[n, tables, probes]."""
+def _mixed(code: np.ndarray) -> np.ndarray:
+    """32 bits of 64-bit numbers."""
+    code = (code ^ (code >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return (code >> np.uint64(32)).astype(np.uint32)
+
+
+def cells(unit: np.ndarray, blocks: int, tables: int) -> np.ndarray:
+    """For each unit vector and table the cell it lives in and the nearest other: uint32[n, tables, 2]."""
     n, dim = unit.shape
-    out = np.empty((n, tables, probes), np.int64)
-    for t, take in enumerate(_projections(dim, blocks, tables)):
-        x = unit @ take * (SCALE * np.sqrt(dim / 64))
-        code, away = np.full((n, 1), np.uint64(t)), np.zeros((n, 1))
-        for b in range(blocks):  # the nearest of all combinations, block by block
-            more, d = _options(x[:, 8 * b : 8 * b + 8], probes)
-            code = (code[:, :, None] * np.uint64(0xD6E8FEB86659FD93) + more[:, None, :]).reshape(n, -1)
-            away = (away[:, :, None] + d[:, None, :]).reshape(n, -1)
-            order = np.argsort(away, axis=1, kind="stable")[:, :probes]
-            code, away = np.take_along_axis(code, order, axis=1), np.take_along_axis(away, order, axis=1)
-        out[:, t] = code.view(np.int64)
-    return out
+    take, width = _projections(dim, blocks, tables), tables * blocks
+    x = (take * np.float32(SCALE * np.sqrt(dim / 64))) @ unit.astype(np.float32).T
+    x = x.reshape(8, width * n)
+    point = _nearest(x)
+    root, toward = _step(x - point)
+    key = np.random.default_rng(88).integers(1 << 63, size=(8, blocks), dtype=np.int64) * 2 + 1
+    by_block = lambda p: (p.reshape(8, tables, blocks, n) * key[:, None, :, None]).sum(axis=0)
+    own = by_block(np.rint(2 * point).astype(np.int64)).sum(axis=1)
+    best = toward.reshape(tables, blocks, n).argmax(axis=1)[:, None]  # the block in which another point is least far
+    near = own + np.take_along_axis(by_block(root), best, axis=1)[:, 0]
+    out = _mixed(np.stack([own, near], axis=-1).view(np.uint64))
+    out[..., 1] ^= out[..., 0] == out[..., 1]  # two cells, also where their numbers clash
+    return out.transpose(1, 0, 2)
+
+
+@functools.lru_cache(maxsize=8)
+def _planes(dim: int) -> np.ndarray:
+    return np.random.default_rng(64).normal(size=(dim, BITS))
+
+
+def sketches(unit: np.ndarray) -> np.ndarray:
+    """The sides of random planes on which each vector lies, as the bits of two numbers: uint64[n, 2]."""
+    return np.packbits(unit @ _planes(unit.shape[1]) >= 0, axis=1).view(np.uint64)
+
+
+def most_bits(cosine: float) -> int:
+    """Bits in which two sketches of vectors with this cosine differ at most, but for one pair in ten million."""
+    p, tail = math.acos(max(-1.0, min(1.0, cosine))) / math.pi, 1.0
+    for k in range(BITS):
+        tail -= math.comb(BITS, k) * p**k * (1 - p) ** (BITS - k)
+        if tail < 1e-7:
+            return k
+    return BITS
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -140,97 +188,127 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-#: Cells of vectors that a Python process remembers, as a vector comes by once in each table at least.
-REMEMBERED = 1 << 14
-_seen: dict = {"run": None}
-
-
-def remembered(run: str, ids: np.ndarray, unit: np.ndarray, blocks: int, tables: int) -> np.ndarray:
-    """cells of the vectors with these ids; those of one run are computed once a process, as far as they fit."""
-    if _seen["run"] != run or len(_seen["at"]) + len(ids) > REMEMBERED:
-        _seen.update(run=run, at={}, cells=np.empty((max(REMEMBERED, len(ids)), tables, PROBES), np.int64))
-    at: dict[int, int] = _seen["at"]
-    new = [k for k, i in enumerate(ids.tolist()) if i not in at]
-    if new:
-        first = len(at)
-        _seen["cells"][first : first + len(new)] = cells(unit[new], blocks, tables)
-        at.update((i, first + n) for n, i in enumerate(ids[new].tolist()))
-    return _seen["cells"][[at[i] for i in ids.tolist()]]
-
-
-def first_meetings(linked: np.ndarray, a: np.ndarray, b: np.ndarray, t: int, less: np.ndarray) -> np.ndarray:
-    """Of linked pairs (a boolean matrix of guests and hosts of a cell of table t, with cells a and b) those
-    that meet nowhere before: in no earlier table, nor in this one by the visit of the vector with the
-    smaller id (less: the guest has it) when it is the other that visits here."""
-    for s in range(t + 1):
-        if not linked.any():
-            break
-        _, code = np.unique(np.concatenate([a[:, s].ravel(), b[:, s].ravel()]), return_inverse=True)
-        code = code.astype(np.int32)
-        x, y = code[: a[:, s].size].reshape(-1, PROBES), code[a[:, s].size :].reshape(-1, PROBES)
-        back = np.zeros(linked.shape, bool)
-        for p in range(PROBES):
-            back |= y[:, p] == x[:, :1]
-            if s < t:
-                back |= x[:, p : p + 1] == y[:, 0]
-        linked = linked & ~(back if s < t else back & ~less)
-    return linked
+def near_in_cell(place: np.ndarray, mine: np.ndarray, sketch: np.ndarray, most: int) -> np.ndarray:
+    """Of rows sorted by place (a cell) those that have a row beside them whose sketch differs in most bits at most;
+    one of the two lives there. mine: twice the id, and 1 more for a vector that lives there."""
+    keep, at, far = np.zeros(len(place), bool), np.arange(len(place)), 0
+    while len(at):
+        far += 1
+        at = at[: np.searchsorted(at, len(place) - far)]
+        at = at[place[at] == place[at + far]]
+        a, b = at[(mine[at] | mine[at + far]) & 1 == 1], far
+        near = np.bitwise_count(sketch[a] ^ sketch[a + b]).sum(axis=1, dtype=np.int64) <= most
+        keep[a[near]] = keep[a[near] + b] = True
+    return keep
+
+
+def first_meetings(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray, t: int, less: np.ndarray) -> np.ndarray:
+    """Which of the linked pairs of guest i and host j of a cell of table t, with cells a[i] and b[j], meet nowhere
+    before: in no earlier table, nor in this one by the visit of the vector with the smaller id (less: the guest
+    has it) when it is the other that visits here."""
+    at = np.arange(len(i))
+    for s in range(t):
+        x, y = a[i[at], s], b[j[at], s]
+        at = at[(x[:, 0] != y[:, 0]) & (x[:, 0] != y[:, 1]) & (x[:, 1] != y[:, 0])]
+    x, y = a[i[at], t], b[j[at], t]
+    return at[less[at] | ((x[:, 0] != y[:, 0]) & (x[:, 0] != y[:, 1]))]
+
+
+def _meeting(batches: Iterator[pa.RecordBatch], most: int, block: int) -> Iterator[pa.RecordBatch]:
+    """From visits (place, mine, s0, s1) sorted by place the vectors that must be compared, with what deals them:
+    small cells share a block, large ones are cut into parts."""
+
+    def held(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
+        place, mine, *sketch = (np.concatenate(c) for c in zip(*rows, strict=True))
+        sketch = np.stack(sketch, axis=1).view(np.uint64)
+
+        def several() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[start, len(place)])
+            own = np.add.reduceat(mine & 1, start) if len(place) else n
+            return (n > 1) & (own > 0), n, own
+
+        use, n, _ = several()
+        place, mine, sketch, n = (x[np.repeat(use, n)] for x in (place, mine, sketch, np.repeat(n, n)))
+        small = n <= SKETCHED_CELL
+        keep = ~small
+        keep[small] = near_in_cell(place[small], mine[small], sketch[small], most)
+        place, mine = place[keep], mine[keep]
+        use, n, own = several()  # only the numbers: what is left has a pair in each cell
+        parts, own_parts = (np.repeat(-(-x // block), n) for x in (n, own))
+        cell, tiny = place.copy(), np.repeat(n <= block // 4, n)
+        if tiny.any():  # as many cells of a table as fill half a block
+            first, share = np.repeat(np.cumsum(n[n <= block // 4]) - n[n <= block // 4], n[n <= block // 4]) // max(1, block // 2), place[tiny]
+            new = np.r_[True, (first[1:] != first[:-1]) | (share[1:] >> 32 != share[:-1] >> 32)]
+            cell[tiny] = share[new][np.cumsum(new) - 1]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (cell, place, mine, parts, own_parts)], ["shared", "place", "mine", "parts", "own_parts"])
+
+    rows: list[list[np.ndarray]] = []
+    count = 0
+    for batch in batches:
+        new = [batch.column(c).to_numpy() for c in range(4)]
+        if not len(new[0]):
+            continue
+        end = int(np.searchsorted(new[0], new[0][-1]))  # its last cell may go on
+        if count >= ROWS and (end or rows[-1][0][-1] != new[0][0]):
+            yield held([*rows, [x[:end] for x in new]])
+            rows, count, new = [], 0, [x[end:] for x in new]
+        rows.append(new)
+        count += len(new[0])
+    if rows:
+        yield held(rows)
 
 
 def links(spark: SparkSession, classes: DataFrame, n: int, cosine: float = COSINE) -> DataFrame:
     """(id, n, other) from the n rows of classes(id, v, weight): rows to be summed, n being links of id to
     vectors of other classes, and links (id, other) that connect all that is linked. Vectors of different
     lengths never meet."""
-    (blocks, tables), run = plan(n), uuid.uuid4().hex
+    (blocks, tables), most, side = plan(n), most_bits(cosine), BLOCK
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(size).tolist():
                 part = batch.filter(pa.array(size == dim))
-                got = cells(_unit(_matrix(part.column(1), dim)), blocks, tables)
-                m = len(got)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(m * tables * PROBES, dim, np.int32)), pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), PROBES), m)), pa.array(got.reshape(-1)),
-                        pa.array(np.tile(np.arange(PROBES) == 0, m * tables)), part.column(0).take(pa.array(np.repeat(np.arange(m), tables * PROBES))),
-                    ],
-                    ["dim", "t", "cell", "own", "id"],
-                )
-
-    cell, block_key = ["dim", "t", "cell"], ["dim", "t", "cell", "i", "j"]
-    visits = stage(spark, classes.select("id", "v").mapInArrow(visit, "dim int, t int, cell long, own boolean, id long"), "visits")
-    sizes = (
-        visits.groupBy(cell).agg(F.count("*").alias("n"), F.count_if("own").alias("n_own")).where("n > 1 and n_own > 0")
-        .select(*cell, F.ceil(F.col("n") / BLOCK).alias("parts"), F.ceil(F.col("n_own") / BLOCK).alias("own_parts"))
+                unit = _unit(_matrix(part.column(1), dim))
+                got, sketch = cells(unit, blocks, tables), sketches(unit).view(np.int64)
+                every = pa.ListArray.from_arrays(np.arange(len(unit) + 1, dtype=np.int32) * (2 * tables), got.reshape(-1).view(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(unit), dim, np.int32)), every, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], ["id", "dim", "cells", "s0", "s1"])
+
+    codes = stage(spark, classes.select("id", "v").mapInArrow(hashed, "id long, dim int, cells array<int>, s0 long, s1 long"), "cells")
+    # a place: dim from bit 40, t from bit 32, the cell's number below
+    visits = codes.select("id", "dim", "s0", "s1", F.posexplode("cells").alias("p", "c")).select(
+        F.expr("shiftleft(cast(dim as bigint), 40) | shiftleft(cast(shiftright(p, 1) as bigint), 32) | (cast(c as bigint) & 4294967295)").alias("place"),
+        F.expr("2 * id + 1 - (p & 1)").alias("mine"), "s0", "s1",
+    )
+    meeting = visits.repartition("place").sortWithinPartitions("place").mapInArrow(
+        lambda batches: _meeting(batches, most, side), "shared long, place long, mine long, parts long, own_parts long"
+    )
+    spark.conf.set(BATCH, 1 << 14)  # narrow rows
+    held = stage(spark, meeting, "held")
+    spark.conf.set(BATCH, 1 << 10)
+    held = held.select(
+        F.expr("cast(shiftright(place, 40) as int)").alias("dim"), F.expr("cast(shiftright(place, 32) & 255 as int)").alias("t"), F.expr("shared & 4294967295").alias("cell"),
+        F.col("place").alias("sub"), F.expr("shiftright(mine, 1)").alias("id"), F.expr("mine & 1 = 1").alias("own"), "parts", "own_parts",
     )
-    sizes = stage(spark, sizes, "cells")
-    held = visits.join(broadcast_if_small(sizes, sizes.count()), cell)
-    one = F.lit(0).cast("bigint")
-    guests = held.withColumns({"i": F.pmod(F.xxhash64("id"), "parts"), "j": F.explode(F.sequence(one, F.col("own_parts") - 1)), "guest": F.lit(True)})
-    hosts = held.where("own").withColumns({"j": F.pmod(F.xxhash64("id"), "own_parts"), "i": F.explode(F.sequence(one, F.col("parts") - 1)), "guest": F.lit(False)})
-    both = guests.select(*block_key, "guest", "id").unionByName(hosts.select(*block_key, "guest", "id"))
+    block_key = ["dim", "t", "cell", "i", "j"]
+    one, one_block = F.lit(0).cast("bigint"), (F.col("parts") == 1) & (F.col("own_parts") == 1)
+    guests = held.withColumns({"i": F.pmod(F.xxhash64("id"), "parts"), "j": F.explode(F.sequence(one, F.col("own_parts") - 1)), "guest": F.lit(True), "host": F.col("own") & one_block})
+    hosts = held.where(F.col("own") & ~one_block).withColumns({"j": F.pmod(F.xxhash64("id"), "own_parts"), "i": F.explode(F.sequence(one, F.col("parts") - 1)), "guest": F.lit(False), "host": F.lit(True)})
+    both = guests.select(*block_key, "sub", "guest", "host", "id").unionByName(hosts.select(*block_key, "sub", "guest", "host", "id"))
+    ids = stage(spark, held.select("id").distinct(), "ids")
+    wanted = classes.select("id", "v", "weight").join(codes.select("id", "cells"), "id").join(broadcast_if_small(ids, ids.count()), "id", "left_semi")
 
     def block(rows: pa.Table) -> pa.Table:
-        guest, ids, weight = (rows[c].to_numpy() for c in ("guest", "id", "weight"))
+        guest, host, ids, sub, weight = (rows[c].to_numpy() for c in ("guest", "host", "id", "sub", "weight"))
         unit = _unit(_matrix(rows["v"].combine_chunks(), rows["dim"][0].as_py()))
-        x, y = np.flatnonzero(guest), np.flatnonzero(~guest)
-        linked = (unit[x] @ unit[y].T >= cosine) & (ids[x][:, None] != ids[y])
-        counts = np.zeros(len(ids), np.int64)
-        if linked.any():
-            t = rows["t"][0].as_py()
-            x, y = x[linked.any(axis=1)], y[linked.any(axis=0)]
-            linked = linked[linked.any(axis=1)][:, linked.any(axis=0)]
-            who, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-            who_ids, first, same = np.unique(ids[who], return_index=True, return_inverse=True)
-            got = remembered(run, who_ids, unit[who[first]], blocks, tables)[same][at]
-            linked = first_meetings(linked, got[: len(x)], got[len(x) :], t, ids[x][:, None] < ids[y])
-            i, j = np.nonzero(linked)
-            x, y = x[i], y[j]
-            np.add.at(counts, x, weight[y])
-            np.add.at(counts, y, weight[x])
-        else:
-            x = y = np.zeros(0, np.int64)
+        x, y = np.flatnonzero(guest), np.flatnonzero(host)
+        i, j = np.nonzero((unit[x] @ unit[y].T >= cosine) & (sub[x][:, None] == sub[y]) & (ids[x][:, None] != ids[y]))
+        x, y = x[i], y[j]
+        got = rows["cells"].combine_chunks().flatten().to_numpy().reshape(len(ids), tables, 2)
+        first = first_meetings(x, y, got, got, rows["t"][0].as_py(), ids[x] < ids[y])
+        x, y = x[first], y[first]
+        counts = np.bincount(x, weight[y], len(ids)).astype(np.int64) + np.bincount(y, weight[x], len(ids)).astype(np.int64)
         forest = _forest(ids[x], ids[y])
         has = np.flatnonzero(counts)
         return pa.table({
@@ -239,7 +317,7 @@ def links(spark: SparkSession, classes: DataFrame, n: int, cosine: float = COSIN
             "other": pa.array([*([None] * len(has)), *(q for _, q in forest)], pa.int64()),
         })
 
-    dealt = both.join(classes.select("id", "v", "weight"), "id").repartition(*block_key)
+    dealt = both.join(wanted, "id").repartition(*block_key)
     return dealt.groupBy(block_key).applyInArrow(block, "id long, n long, other long")
 
 
@@ -269,7 +347,7 @@ def near_vectors(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", v
     not compared. Equal vectors link with each other. Rows that repeat an id count as vectors by
     themselves, each in the component of its own vector. An empty table gives an empty one; other columns are ignored.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set(BATCH, 1 << 10)
     item = rows.schema[vector_col].dataType.elementType.simpleString()
     kind = item if item == "float" else "double"  # doubles stay what they are
     v = F.col(vector_col).cast(f"array<{kind}>")

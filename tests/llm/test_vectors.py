@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foliospark.llm import vectors
@@ -57,3 +58,84 @@ def test_blocks_of_one_cell_are_dealt_over_tasks(spark):
     plan = vectors.links(spark, spark.createDataFrame(rows, "id long, v array<float>, weight long"), 40)._jdf.queryExecution().executedPlan().toString()
     top = plan[plan.index("FlatMapGroupsInArrow") :]
     assert re.search(r"hashpartitioning\(dim#\d+, t#\d+, cell#\d+L, i#\d+L?, j#\d+L?", top[: top.index("Join")]), plan
+
+
+def test_work_follows_the_number_of_vectors(spark, monkeypatch):
+    """Rows written between steps, and groups of comparisons: not one row for each visit, nor one group for each cell."""
+    rng, written, stage = np.random.default_rng(4), {}, vectors.stage
+
+    def counted(spark, df, name):
+        out = stage(spark, df, name)
+        written[name] = out
+        return out
+
+    monkeypatch.setattr(vectors, "stage", counted)
+    monkeypatch.setattr("foliospark.llm.components.stage", stage)
+    a, b = near_pairs(rng, 700, 64, 0.97)
+    x = np.concatenate([a, b, rng.normal(size=(2_600, 64))])
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark, df).collect()}
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    linked = x @ x.T >= 0.95
+    assert got == {i: (int(linked[i].sum()) - 1, int(linked[i].argmax())) for i in range(len(x))}
+    assert max(vectors.plan(10_000_000)) * vectors.cells(x[:1], *vectors.plan(10_000_000)).shape[2] < 60
+    rows = {name: table.count() for name, table in written.items()}
+    assert max(n for name, n in rows.items() if name != "held") <= len(x) and rows["held"] < 22 * 1_400 * 1.2, rows
+    assert written["held"].select("shared").distinct().count() < rows["held"] / 10
+
+
+def meeting(rows, block, cut):
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + cut]) for c in rows], ["place", "mine", "s0", "s1"]) for i in range(0, len(rows[0]), cut)]
+    found = pa.Table.from_batches([*vectors._meeting(iter(batches), 34, block)]).to_pydict()
+    shared = {}
+    for s, p, m in zip(found["shared"], found["place"], found["mine"], strict=True):
+        shared.setdefault(s, []).append((p, m))
+    return sorted(zip(found["place"], found["mine"], found["parts"], found["own_parts"], strict=True)), shared
+
+
+@pytest.mark.parametrize("cut", [1, 7, 5_000])
+def test_meetings_are_those_of_near_sketches(monkeypatch, cut):
+    monkeypatch.setattr(vectors, "ROWS", 50)
+    rng, block = np.random.default_rng(3), 16
+    monkeypatch.setattr(vectors, "SKETCHED_CELL", 60)
+    place = np.sort(np.concatenate([rng.integers(0, 400, 600), np.full(40, 77), np.full(300, 1 << 32)]))
+    mine = np.arange(len(place)) * 2 + rng.integers(0, 2, len(place))
+    sketch = rng.integers(-(1 << 63), 1 << 63, size=(len(place), 2), dtype=np.int64)
+    sketch[::3] = sketch[0]
+    want = []
+    for p in np.unique(place):
+        at = np.flatnonzero(place == p)
+        bits = np.bitwise_count(sketch[at][:, None] ^ sketch[at]).sum(axis=2)
+        near = (bits <= 34) & ((mine[at][:, None] | mine[at]) & 1 == 1) & ~np.eye(len(at), dtype=bool)
+        at = at if len(at) > 60 else at[near.any(axis=1)]
+        want += [(p, m, -(-len(at) // block), -(-int((mine[at] & 1).sum()) // block)) for m in mine[at]]
+    got, shared = meeting((place, mine, *sketch.T), block, cut)
+    assert got == sorted(want)
+    for key, rows in shared.items():  # whole cells of one table; large ones alone
+        assert len({p >> 32 for p, _ in rows}) == 1 and key in {p for p, _ in rows}
+        assert len({p for p, _ in rows}) == 1 or len(rows) < block
+    assert sum(len({p for p, _ in rows}) for rows in shared.values()) == len({p for p, *_ in got})
+    assert meeting((place[:1], mine[:1], *sketch[:1].T), block, 1) == ([], {})
+
+
+def test_a_pair_counts_where_it_meets_first():
+    rng, n, tables = np.random.default_rng(6), 60, 4
+    got = rng.integers(0, 12, size=(n, tables, 2)).astype(np.uint32)
+    got[..., 1] += got[..., 0] == got[..., 1]
+    counted = {}
+    for t in range(tables):
+        for cell in range(14):
+            x, y = np.flatnonzero((got[:, t] == cell).any(axis=1)), np.flatnonzero(got[:, t, 0] == cell)
+            i, j = (c.ravel() for c in np.meshgrid(x, y))
+            i, j = i[i != j], j[i != j]
+            for k in vectors.first_meetings(i, j, got, got, t, i < j):
+                pair = tuple(sorted((int(i[k]), int(j[k]))))
+                counted[pair] = counted.get(pair, 0) + 1
+    met = {(a, b) for a in range(n) for b in range(a + 1, n) if ((got[a] == got[b, :, :1]) | (got[b] == got[a, :, :1])).any()}
+    assert set(counted) == met and set(counted.values()) == {1}
+
+
+@pytest.mark.parametrize("dim", [2, 24, 64, 768])
+def test_sketches_of_near_vectors_are_near(dim):
+    a, b = (vectors.sketches(x) for x in near_pairs(np.random.default_rng(dim), 5_000, dim, 0.9501))
+    assert np.bitwise_count(a ^ b).sum(axis=1).max() <= vectors.most_bits(0.95) < 40 and vectors.most_bits(-1.0) == vectors.BITS
