@@ -7,17 +7,18 @@ sketches (sides of random planes) are near are compared in double precision, in
 
 The number of lattice blocks of a cell, and of tables, grows with the number of vectors, so that a vector
 meets about SKETCHED unrelated sketches at most and is compared to CANDIDATES at most, whatever the number: 3
-blocks and 22 tables up to 14 million vectors, 4 and 45 up to 700 million (PLANS). At cosine 0.95, the hardest
+blocks and 22 tables up to 24 million vectors, 4 and 45 up to 900 million (PLANS). At cosine 0.95, the hardest
 case, a pair is met with probability 0.9995 or so; closer ones more surely. Sketches lose one such pair in ten
 million.
 
-Visits are narrow rows, shuffled once. The cells of a vector are computed once and come with it. Equal vectors are
+Visits are narrow rows, shuffled once, some tables at a time so that they need little disk. The cells of a vector are computed once and come with it. Equal vectors are
 one class with a weight, and are not compared. A pair that meets in several cells counts where it meets
 first. No links are emitted: each block gives counts by vector, and the links of a spanning forest.
 """
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import itertools
 import math
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stage, table
@@ -37,15 +38,19 @@ COSINE, SCALE = 0.95, 3.2
 #: the share of the one before.
 PLANS = {3: (22, 4.1e-4, 3e-4), 4: (45, 7.7e-6, 1.4e-3)}
 #: Unrelated vectors to which a vector may be compared, and those whose sketches it may meet.
-CANDIDATES, SKETCHED = 10, 6000
+CANDIDATES, SKETCHED = 10, 10_000
 #: Bits of a sketch.
 BITS = 128
 #: Cells of more rows than this are compared without a look at the sketches.
 SKETCHED_CELL = 1 << 13
+#: Visits that are shuffled at once, and tables at least.
+VISITS, TABLES = 10_000_000, 4
 #: Rows of visits that are looked at together.
 ROWS = 1 << 18
-#: Rows a side of a block of comparisons.
-BLOCK = 1024
+#: Rows a side of a block of comparisons, as each row comes once for each block, and rows of it that are compared at once.
+BLOCK, STRIP = 4096, 512
+#: Rows of small cells that share a block.
+SHARED = 512
 #: The setting of the rows that go to Python at once.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -236,9 +241,10 @@ def _meeting(batches: Iterator[pa.RecordBatch], most: int, block: int) -> Iterat
         place, mine = place[keep], mine[keep]
         use, n, own = several()  # only the numbers: what is left has a pair in each cell
         parts, own_parts = (np.repeat(-(-x // block), n) for x in (n, own))
-        cell, tiny = place.copy(), np.repeat(n <= block // 4, n)
-        if tiny.any():  # as many cells of a table as fill half a block
-            first, share = np.repeat(np.cumsum(n[n <= block // 4]) - n[n <= block // 4], n[n <= block // 4]) // max(1, block // 2), place[tiny]
+        cell, tiny = place.copy(), np.repeat(n <= min(SHARED, block // 4), n)
+        if tiny.any():  # as many cells of a table as fill a part of a block
+            few = n[n <= min(SHARED, block // 4)]
+            first, share = np.repeat(np.cumsum(few) - few, few) // max(1, min(SHARED, block // 2)), place[tiny]
             new = np.r_[True, (first[1:] != first[:-1]) | (share[1:] >> 32 != share[:-1] >> 32)]
             cell[tiny] = share[new][np.cumsum(new) - 1]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (cell, place, mine, parts, own_parts)], ["shared", "place", "mine", "parts", "own_parts"])
@@ -264,6 +270,7 @@ def links(spark: SparkSession, classes: DataFrame, n: int, cosine: float = COSIN
     vectors of other classes, and links (id, other) that connect all that is linked. Vectors of different
     lengths never meet."""
     (blocks, tables), most, side = plan(n), most_bits(cosine), BLOCK
+    at_once = max(TABLES, VISITS // (2 * max(1, n)))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,16 +283,19 @@ def links(spark: SparkSession, classes: DataFrame, n: int, cosine: float = COSIN
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(unit), dim, np.int32)), every, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], ["id", "dim", "cells", "s0", "s1"])
 
     codes = stage(spark, classes.select("id", "v").mapInArrow(hashed, "id long, dim int, cells array<int>, s0 long, s1 long"), "cells")
-    # a place: dim from bit 40, t from bit 32, the cell's number below
-    visits = codes.select("id", "dim", "s0", "s1", F.posexplode("cells").alias("p", "c")).select(
-        F.expr("shiftleft(cast(dim as bigint), 40) | shiftleft(cast(shiftright(p, 1) as bigint), 32) | (cast(c as bigint) & 4294967295)").alias("place"),
-        F.expr("2 * id + 1 - (p & 1)").alias("mine"), "s0", "s1",
-    )
-    meeting = visits.repartition("place").sortWithinPartitions("place").mapInArrow(
-        lambda batches: _meeting(batches, most, side), "shared long, place long, mine long, parts long, own_parts long"
-    )
+
+    def meeting(first: int) -> DataFrame:  # a place: dim from bit 40, t from bit 32, the cell's number below
+        some = F.slice("cells", 2 * first + 1, 2 * min(at_once, tables - first))
+        visits = codes.select("id", "dim", "s0", "s1", F.posexplode(some).alias("p", "c")).select(
+            F.expr(f"shiftleft(cast(dim as bigint), 40) | shiftleft(cast(shiftright(p, 1) + {first} as bigint), 32) | (cast(c as bigint) & 4294967295)").alias("place"),
+            F.expr("2 * id + 1 - (p & 1)").alias("mine"), "s0", "s1",
+        )
+        return visits.repartition("place").sortWithinPartitions("place").mapInArrow(
+            lambda batches: _meeting(batches, most, side), "shared long, place long, mine long, parts long, own_parts long"
+        )
+
     spark.conf.set(BATCH, 1 << 14)  # narrow rows
-    held = stage(spark, meeting, "held")
+    held = functools.reduce(DataFrame.unionByName, [stage(spark, meeting(first), "held") for first in range(0, tables, at_once)])
     spark.conf.set(BATCH, 1 << 10)
     held = held.select(
         F.expr("cast(shiftright(place, 40) as int)").alias("dim"), F.expr("cast(shiftright(place, 32) & 255 as int)").alias("t"), F.expr("shared & 4294967295").alias("cell"),
@@ -297,19 +307,25 @@ def links(spark: SparkSession, classes: DataFrame, n: int, cosine: float = COSIN
     hosts = held.where(F.col("own") & ~one_block).withColumns({"j": F.pmod(F.xxhash64("id"), "own_parts"), "i": F.explode(F.sequence(one, F.col("parts") - 1)), "guest": F.lit(False), "host": F.lit(True)})
     both = guests.select(*block_key, "sub", "guest", "host", "id").unionByName(hosts.select(*block_key, "sub", "guest", "host", "id"))
     ids = stage(spark, held.select("id").distinct(), "ids")
-    wanted = classes.select("id", "v", "weight").join(codes.select("id", "cells"), "id").join(broadcast_if_small(ids, ids.count()), "id", "left_semi")
+    few = broadcast_if_small(ids, ids.count())
+    wanted = classes.select("id", "v", "weight").join(few, "id", "left_semi").join(codes.select("id", "cells").join(few, "id", "left_semi"), "id")
 
     def block(rows: pa.Table) -> pa.Table:
         guest, host, ids, sub, weight = (rows[c].to_numpy() for c in ("guest", "host", "id", "sub", "weight"))
         unit = _unit(_matrix(rows["v"].combine_chunks(), rows["dim"][0].as_py()))
-        x, y = np.flatnonzero(guest), np.flatnonzero(host)
-        i, j = np.nonzero((unit[x] @ unit[y].T >= cosine) & (sub[x][:, None] == sub[y]) & (ids[x][:, None] != ids[y]))
-        x, y = x[i], y[j]
         got = rows["cells"].combine_chunks().flatten().to_numpy().reshape(len(ids), tables, 2)
-        first = first_meetings(x, y, got, got, rows["t"][0].as_py(), ids[x] < ids[y])
-        x, y = x[first], y[first]
-        counts = np.bincount(x, weight[y], len(ids)).astype(np.int64) + np.bincount(y, weight[x], len(ids)).astype(np.int64)
-        forest = _forest(ids[x], ids[y])
+        guests, hosts, t = np.flatnonzero(guest), np.flatnonzero(host), rows["t"][0].as_py()
+        counts, forest = np.zeros(len(ids), np.int64), []
+        for k in range(0, len(guests), STRIP):
+            x = guests[k : k + STRIP]
+            i, j = np.nonzero((unit[x] @ unit[hosts].T >= cosine) & (sub[x][:, None] == sub[hosts]) & (ids[x][:, None] != ids[hosts]))
+            x, y = x[i], hosts[j]
+            first = first_meetings(x, y, got, got, t, ids[x] < ids[y])
+            x, y = x[first], y[first]
+            counts += np.bincount(x, weight[y], len(ids)).astype(np.int64) + np.bincount(y, weight[x], len(ids)).astype(np.int64)
+            forest += _forest(ids[x], ids[y])
+        if len(guests) > STRIP:
+            forest = _forest(*np.array(forest, np.int64).reshape(-1, 2).T)
         has = np.flatnonzero(counts)
         return pa.table({
             "id": pa.array([*ids[has].tolist(), *(p for p, _ in forest)], pa.int64()),
@@ -339,6 +355,22 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(int(ids[i]), int(ids[label[i]])) for i in range(len(ids)) if label[i] != i]
 
 
+@contextlib.contextmanager
+def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the table that needs them is written, not when the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def _number(column: str) -> Column:
+    return F.xxhash64(column)
+
+
 def near_vectors(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """(id, n_links, component_id, kept), one row per row of rows.
 
@@ -347,16 +379,23 @@ def near_vectors(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", v
     not compared. Equal vectors link with each other. Rows that repeat an id count as vectors by
     themselves, each in the component of its own vector. An empty table gives an empty one; other columns are ignored.
     """
+    with _dropping_shuffles(spark):
+        return _near_vectors(spark, rows, id_col, vector_col, cosine)
+
+
+def _near_vectors(spark: SparkSession, rows: DataFrame, id_col: str, vector_col: str, cosine: float) -> DataFrame:
     spark.conf.set(BATCH, 1 << 10)
     item = rows.schema[vector_col].dataType.elementType.simpleString()
     kind = item if item == "float" else "double"  # doubles stay what they are
     v = F.col(vector_col).cast(f"array<{kind}>")
     good = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     plain = F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast(kind))  # -0.0 is 0.0
-    rows = stage(spark, rows.select(F.col(id_col).cast("long").alias("id"), F.when(good, plain).alias("v")), "vectors")
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.when(good, plain).alias("v"))
+    rows = stage(spark, rows.withColumn("h", F.when(F.col("v").isNotNull(), _number("v"))), "vectors")
     sets = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
-    sets = stage(spark, sets.withColumn("key", F.monotonically_increasing_id()), "sets")  # written, so it stays
+    sets = stage(spark, sets.withColumns({"key": F.monotonically_increasing_id(), "h": _number("v")}), "sets")  # written, so it stays
     n = sets.count()
+    alone = sets.groupBy("h").count().where("count > 1").isEmpty()  # no two vectors have one number: it stands for the vector
     if not n:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     found = links(spark, sets.select(F.col("key").alias("id"), "v", "weight"), n, cosine)
@@ -367,8 +406,8 @@ def near_vectors(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", v
     least = linked.groupBy("comp").agg(F.min("rep").alias("least"))
     comp = root.join(least, "comp").select(F.col("id").alias("key"), "least")
     by_set = sets.join(counts, "key", "left").join(comp, "key", "left")
-    by_set = by_set.select(F.col("v").alias("w"), F.coalesce("least", "rep").alias("comp"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"))
-    out = rows.join(by_set, rows.v == by_set.w, "left").select(
+    by_set = by_set.select("h", *([] if alone else ["v"]), F.coalesce("least", "rep").alias("comp"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"))
+    out = rows.select("id", "h", *([] if alone else ["v"])).join(by_set, "h" if alone else ["h", "v"], "left").select(
         F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("comp", "id").alias("component_id")
     )
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.llm import vectors
 
@@ -66,7 +67,7 @@ def test_work_follows_the_number_of_vectors(spark, monkeypatch):
 
     def counted(spark, df, name):
         out = stage(spark, df, name)
-        written[name] = out
+        written[name] = written[name].unionByName(out) if name in written else out
         return out
 
     monkeypatch.setattr(vectors, "stage", counted)
@@ -139,3 +140,18 @@ def test_a_pair_counts_where_it_meets_first():
 def test_sketches_of_near_vectors_are_near(dim):
     a, b = (vectors.sketches(x) for x in near_pairs(np.random.default_rng(dim), 5_000, dim, 0.9501))
     assert np.bitwise_count(a ^ b).sum(axis=1).max() <= vectors.most_bits(0.95) < 40 and vectors.most_bits(-1.0) == vectors.BITS
+
+
+def test_vectors_whose_numbers_clash(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "_number", lambda v: F.size(v).cast("long"))
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.1]), (4, [0.0, 1.0]), (4, [1.0, 1.0]), (5, None), (6, [1.0, 0.0, 0.0]), (7, [0.0, 0.0])]
+    got = sorted(vectors.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert [tuple(r) for r in got] == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True)]
+
+
+def test_numbers_are_joined_rather_than_vectors(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, [float(a) for a in rng.normal(size=16)]) for i in range(40)], "vec_id long, embedding array<float>")
+    plan = vectors.near_vectors(spark, df)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert any(re.search(r"\(h#\d+L = h#\d+L\)", line) for line in joins) and not any(re.search(r"\bv#\d+", line) for line in joins), plan
