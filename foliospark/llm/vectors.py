@@ -295,20 +295,25 @@ def links(spark: SparkSession, classes: DataFrame, n: int, cosine: float = COSIN
         )
 
     spark.conf.set(BATCH, 1 << 14)  # narrow rows
-    held = functools.reduce(DataFrame.unionByName, [stage(spark, meeting(first), "held") for first in range(0, tables, at_once)])
+    passes = [stage(spark, meeting(first), "held") for first in range(0, tables, at_once)]
     spark.conf.set(BATCH, 1 << 10)
-    held = held.select(
-        F.expr("cast(shiftright(place, 40) as int)").alias("dim"), F.expr("cast(shiftright(place, 32) & 255 as int)").alias("t"), F.expr("shared & 4294967295").alias("cell"),
-        F.col("place").alias("sub"), F.expr("shiftright(mine, 1)").alias("id"), F.expr("mine & 1 = 1").alias("own"), "parts", "own_parts",
-    )
-    block_key = ["dim", "t", "cell", "i", "j"]
-    one, one_block = F.lit(0).cast("bigint"), (F.col("parts") == 1) & (F.col("own_parts") == 1)
-    guests = held.withColumns({"i": F.pmod(F.xxhash64("id"), "parts"), "j": F.explode(F.sequence(one, F.col("own_parts") - 1)), "guest": F.lit(True), "host": F.col("own") & one_block})
-    hosts = held.where(F.col("own") & ~one_block).withColumns({"j": F.pmod(F.xxhash64("id"), "own_parts"), "i": F.explode(F.sequence(one, F.col("parts") - 1)), "guest": F.lit(False), "host": F.lit(True)})
-    both = guests.select(*block_key, "sub", "guest", "host", "id").unionByName(hosts.select(*block_key, "sub", "guest", "host", "id"))
-    ids = stage(spark, held.select("id").distinct(), "ids")
+    ids = stage(spark, functools.reduce(DataFrame.unionByName, passes).select(F.expr("shiftright(mine, 1)").alias("id")).distinct(), "ids")
     few = broadcast_if_small(ids, ids.count())
     wanted = classes.select("id", "v", "weight").join(few, "id", "left_semi").join(codes.select("id", "cells").join(few, "id", "left_semi"), "id")
+    wanted = stage(spark, wanted, "wanted")
+
+    block_key = ["dim", "t", "cell", "i", "j"]
+    one, one_block = F.lit(0).cast("bigint"), (F.col("parts") == 1) & (F.col("own_parts") == 1)
+
+    def dealt(held: DataFrame) -> DataFrame:
+        held = held.select(
+            F.expr("cast(shiftright(place, 40) as int)").alias("dim"), F.expr("cast(shiftright(place, 32) & 255 as int)").alias("t"), F.expr("shared & 4294967295").alias("cell"),
+            F.col("place").alias("sub"), F.expr("shiftright(mine, 1)").alias("id"), F.expr("mine & 1 = 1").alias("own"), "parts", "own_parts",
+        )
+        guests = held.withColumns({"i": F.pmod(F.xxhash64("id"), "parts"), "j": F.explode(F.sequence(one, F.col("own_parts") - 1)), "guest": F.lit(True), "host": F.col("own") & one_block})
+        hosts = held.where(F.col("own") & ~one_block).withColumns({"j": F.pmod(F.xxhash64("id"), "own_parts"), "i": F.explode(F.sequence(one, F.col("parts") - 1)), "guest": F.lit(False), "host": F.lit(True)})
+        both = guests.select(*block_key, "sub", "guest", "host", "id").unionByName(hosts.select(*block_key, "sub", "guest", "host", "id"))
+        return both.join(wanted, "id").repartition(*block_key)
 
     def block(rows: pa.Table) -> pa.Table:
         guest, host, ids, sub, weight = (rows[c].to_numpy() for c in ("guest", "host", "id", "sub", "weight"))
@@ -333,8 +338,8 @@ def links(spark: SparkSession, classes: DataFrame, n: int, cosine: float = COSIN
             "other": pa.array([*([None] * len(has)), *(q for _, q in forest)], pa.int64()),
         })
 
-    dealt = both.join(wanted, "id").repartition(*block_key)
-    return dealt.groupBy(block_key).applyInArrow(block, "id long, n long, other long")
+    found = [dealt(held).groupBy(block_key).applyInArrow(block, "id long, n long, other long") for held in passes]
+    return found[0] if len(found) == 1 else functools.reduce(DataFrame.unionByName, [stage(spark, one_pass, "links") for one_pass in found])
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:

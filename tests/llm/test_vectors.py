@@ -72,6 +72,7 @@ def test_work_follows_the_number_of_vectors(spark, monkeypatch):
 
     monkeypatch.setattr(vectors, "stage", counted)
     monkeypatch.setattr("foliospark.llm.components.stage", stage)
+    monkeypatch.setattr(vectors, "VISITS", 50_000)  # some tables at a time
     a, b = near_pairs(rng, 700, 64, 0.97)
     x = np.concatenate([a, b, rng.normal(size=(2_600, 64))])
     df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
@@ -79,9 +80,10 @@ def test_work_follows_the_number_of_vectors(spark, monkeypatch):
     x /= np.linalg.norm(x, axis=1)[:, None]
     linked = x @ x.T >= 0.95
     assert got == {i: (int(linked[i].sum()) - 1, int(linked[i].argmax())) for i in range(len(x))}
+    assert written["links"].agg(F.sum("n")).first()[0] == int(linked.sum()) - len(x)
     assert max(vectors.plan(10_000_000)) * vectors.cells(x[:1], *vectors.plan(10_000_000)).shape[2] < 60
     rows = {name: table.count() for name, table in written.items()}
-    assert max(n for name, n in rows.items() if name != "held") <= len(x) and rows["held"] < 22 * 1_400 * 1.2, rows
+    assert max(n for name, n in rows.items() if name not in ("held", "links", "found")) <= len(x) and rows["held"] < 22 * 1_400 * 1.2, rows
     assert written["held"].select("shared").distinct().count() < rows["held"] / 10
 
 
