@@ -66,14 +66,14 @@ def asof_owner(rows: DataFrame, keys: list[str], order: list[Column], is_owner:
 
 def nearest(rows: DataFrame, others: DataFrame, keys: list[str], value: str, other: str) -> DataFrame:
     """rows with ``other`` of the row of others(keys, value, other) whose value is nearest, of equally near ones
-    the least; null if a key has none. One sorted pass over both with the last before and the first after,
-    no pairs. Null values have none."""
+    the least; null if a key has none. Two sorted passes over both, up and down, each with the last seen, no
+    pairs: a frame that looks ahead to the end would read all that follows for every row. Null values have none."""
     best = others.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(other).alias(other))
     both = rows.select("*", F.lit(1).alias("_kind"), F.lit(None).cast(others.schema[other].dataType).alias(other)).unionByName(best.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy(value, "_kind")
+    seen = lambda *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     held = F.when(F.col("_kind") == 0, F.struct(F.col(value).alias("v"), F.col(other).alias("o")))
-    before = F.last(held, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(held, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    before = F.last(held, ignorenulls=True).over(seen(F.asc(value), F.asc("_kind")))
+    after = F.last(held, ignorenulls=True).over(seen(F.desc(value), F.desc("_kind")))
     near = both.withColumns({"_a": before, "_b": after}).where("_kind = 1")
     side = lambda c: F.when(F.col(c).isNotNull() & F.col(value).isNotNull(), F.struct(F.abs(F.col(f"{c}.v") - F.col(value)).alias("d"), F.col(f"{c}.o").alias("o")))
     return near.withColumn(other, F.least(side("_a"), side("_b"))["o"]).select(*rows.columns, other)

@@ -1,5 +1,6 @@
 """Scalars, layout, validation, maths and assembly on small tables of our own."""
 
+import bisect
 import json
 import random
 
@@ -206,6 +207,16 @@ def test_nearest_against_all_pairs(spark):
     assert {r.i: r.o for r in got} == want and len(got) == len(rows)
 
 
+def test_nearest_in_a_large_key(spark):
+    rng = random.Random(2)
+    rows, others = [(i, "a", rng.randrange(10**6) / 4) for i in range(20_000)], [(i, "a", rng.randrange(10**6) / 4) for i in range(3_000)]
+    found = lay.nearest(spark.createDataFrame(rows, "i int, k string, v double"), spark.createDataFrame(others, "o int, k string, v double"), ["k"], "v", "o")
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()  # such a frame is quadratic in a key's rows
+    line = sorted({v: o for o, _, v in reversed(others)}.items())
+    at = lambda v: line[max(bisect.bisect_left(line, (v, -1)) - 1, 0) :][:2]
+    assert {r.i: r.o for r in found.collect()} == {i: min((abs(x - v), o) for x, o in at(v))[1] for i, _, v in rows}
+
+
 def test_stream(spark, tmp_path):
     from foliospark.streaming.papers import issue_stream
 
